@@ -26,11 +26,14 @@ BASE_TABLES = (
 
 def _plan_ids(sk: str) -> str:
     """Plan identity columns computed from a supplier key expression."""
+    contract = (f"concat(CASE WHEN {sk} % 5 = 0 THEN 'S' ELSE 'H' END, "
+                f"lpad(cast(cast(floor({sk} / 1000) AS bigint) AS string), 4, '0'))")
+    plan = f"lpad(cast({sk} % 1000 AS string), 3, '0')"
     return f"""
-      concat(CASE WHEN {sk} % 5 = 0 THEN 'S' ELSE 'H' END, lpad(cast({sk} AS string), 4, '0')) AS contract_id,
-      lpad(cast({sk} % 1000 AS string), 3, '0') AS plan_id,
+      {contract} AS contract_id,
+      {plan} AS plan_id,
       '000' AS segment_id,
-      concat('P', lpad(cast({sk} AS string), 6, '0')) AS plan_key"""
+      concat({contract}, {plan}, '000') AS plan_key"""
 
 
 # name -> (sql text, dependencies)
@@ -166,7 +169,8 @@ WHERE x.r IN (SELECT p_partkey % 500 FROM {{part}})
 _view("pricing", ("lineitem",), f"""
 SELECT {_plan_ids('l.l_suppkey')},
   lpad(cast(l.l_partkey AS string), 11, '0') AS ndc,
-  CASE WHEN l.l_quantity >= 40 THEN 2 WHEN l.l_quantity >= 25 THEN 4 ELSE 1 END AS days_supply,
+  CASE WHEN l.l_quantity >= 40 THEN 90 WHEN l.l_quantity >= 25 THEN 60 ELSE 30 END AS days_supply,
+  CASE WHEN l.l_quantity >= 40 THEN 2 WHEN l.l_quantity >= 25 THEN 4 ELSE 1 END AS days_supply_code,
   l.l_extendedprice / l.l_quantity / 100.0 AS unit_cost
 FROM {{lineitem}} l
 """)

@@ -24,7 +24,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.6g}") + 0.0
+        return float(v) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())
@@ -48,10 +48,29 @@ def _norm(v):
     return v
 
 
+def _coarse(x):
+    if isinstance(x, float):
+        return f"{x:.3g}"
+    return str(x)
+
+
+def _close(x, y) -> bool:
+    if isinstance(x, float) and isinstance(y, float):
+        return abs(x - y) <= 1e-6 * max(1.0, abs(x), abs(y))
+    return x == y
+
+
+def _close_row(a, b) -> bool:
+    return len(a) == len(b) and all(_close(x, y) for x, y in zip(a, b))
+
+
 def normalise_rows(cols: list[str], rows) -> list[tuple]:
     order = sorted(range(len(cols)), key=lambda i: cols[i].lower())
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+    # sort on non-float values first, then coarse floats, so tiny float noise
+    # does not reorder rows
+    return sorted(out, key=lambda t: (tuple((x is None, str(x)) for x in t if not isinstance(x, float)),
+                                      tuple(_coarse(x) for x in t)))
 
 
 def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> dict:
@@ -68,10 +87,10 @@ def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> dict:
     if res["columns_match"]:
         a = normalise_rows(s_cols, s_rows)
         b = normalise_rows(d_cols, d_rows)
-        res["values_match"] = a == b
-        if not res["values_match"]:
-            diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
-            res["first_diff"] = diff
+        diff = [(x, y) for x, y in zip(a, b) if not _close_row(x, y)]
+        res["values_match"] = len(a) == len(b) and not diff
+        if diff:
+            res["first_diff"] = diff[:3]
     else:
         res["spark_cols"] = sorted(s_cols)
         res["oracle_cols"] = sorted(d_cols)
