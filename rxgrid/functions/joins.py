@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count is at most this many rows.  The
 # count is an action on a small reference table; a large side falls back to a
 # shuffle join (sort-merge, AQE skew split) instead of exhausting executors.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 500_000
 CONF_KEY = "rxgrid.broadcast.maxRows"
 
 
@@ -24,8 +25,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     itself never scans more than the bound.
     """
     limit = max_rows if max_rows is not None else max_broadcast_rows(df)
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    # Persist while checking: when the side is small the check has computed
+    # every partition, so the join reads it from the cache instead of
+    # recomputing it; when it is large only a prefix was touched and the
+    # cache is dropped again.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(limit + 1).count()
+    if n <= limit:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def broadcast_fixed(df: DataFrame) -> DataFrame:

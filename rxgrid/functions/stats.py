@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,9 @@ def ranked(
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + order
+    # the range partitioner samples its input before the shuffle reads it:
+    # keep the input so it is computed once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     r = (
         df.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
@@ -109,8 +113,20 @@ def ntile(
     order_cols: Sequence[str | Column],
     group_cols: Sequence[str] = (),
     out_col: str = "ntile",
+    max_window_rows: int = 100_000,
 ) -> DataFrame:
-    """``NTILE(n) OVER (PARTITION BY group ORDER BY order)`` without a single-task window."""
+    """``NTILE(n) OVER (PARTITION BY group ORDER BY order)``.
+
+    A window is used as is when the whole input is provably small (at most
+    ``max_window_rows``, e.g. one row per plan); otherwise ranks come from
+    the range-partitioned ``ranked`` so no group lands in one task.
+    """
+    limit = max_window_rows
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.limit(limit + 1).count() <= limit:
+        w = Window.partitionBy(*group_cols).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
+        return cached.withColumn(out_col, F.ntile(n).over(w))
+    cached.unpersist()
     rk = ranked(df, order_cols, group_cols)
     q = F.floor(F.col("_n") / n)
     rem = F.col("_n") - q * n

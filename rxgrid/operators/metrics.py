@@ -128,8 +128,10 @@ def formulary_metrics(plan_info: DataFrame, formulary: DataFrame, insulin_ref: D
         .drop("formulary_id", "_nf")
     )
     multi_plans = pf.where(F.col("_nf") > 1).select("plan_key", "formulary_id")
-    multi = multi_plans.join(rows, "formulary_id").groupBy("plan_key").agg(*_formulary_sums())
-    stats = single.unionByName(multi)
+    stats = single
+    if multi_plans.limit(1).count() > 0:  # plan-grain check; CMS plans carry one formulary
+        multi = multi_plans.join(rows, "formulary_id").groupBy("plan_key").agg(*_formulary_sums())
+        stats = single.unionByName(multi)
 
     total = F.col("total_drugs")
     out = stats.select(
