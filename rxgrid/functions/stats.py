@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxgrid.functions.joins import broadcast_if_small
+from rxgrid.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
 
@@ -43,17 +44,24 @@ def ranked(
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + order
-    # the range partitioner samples its input before the shuffle reads it:
-    # keep the input so it is computed once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # The range partitioner samples its input before the shuffle reads it:
+    # keep the input so it is computed once.  The numbered rows are then
+    # checkpointed (reliable, to the cluster's shared checkpoint dir): both
+    # the count table and the join below must see the very same partition
+    # bounds and positions, and a separately planned exchange would sample
+    # its own bounds.  The checkpoint also cuts the lineage for retries.
+    ensure_checkpoint_dir(spark)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
     r = (
-        df.repartitionByRange(n_parts, *keys)
+        src.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
         .drop("_mid")
+        .checkpoint(eager=True)
     )
+    src.unpersist()
     stats = r.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")
     )

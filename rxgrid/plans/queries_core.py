@@ -55,3 +55,55 @@ def g13(ctx):
 @q("G16_training_pairs")
 def g16(ctx):
     return ctx.training_pairs
+
+
+# --- H ranking and explanations --------------------------------------------
+from rxgrid.operators import features as I  # noqa: E402
+from rxgrid.operators import ranking as H  # noqa: E402
+
+
+@q("H1_top5_plans")
+def h1(ctx):
+    return H.top_plans(ctx.training_pairs, 5)
+
+
+@q("H3_explanations")
+def h3(ctx):
+    return H.explain(H.top_plans(ctx.training_pairs, 5))
+
+
+@q("H4_explanation_stats")
+def h4(ctx):
+    return H.explanation_stats(H.explain(H.top_plans(ctx.training_pairs, 5)))
+
+
+@q("H4_explanation_sample")
+def h4s(ctx):
+    return H.explanation_sample(H.explain(H.top_plans(ctx.training_pairs, 5)))
+
+
+# --- I ranking features, labels, split, NDCG ---------------------------------
+
+
+@q("I8_ranking_matrix")
+def i8(ctx):
+    return I.ranking_matrix(ctx.training_pairs)
+
+
+@q("I9_relevance_labels")
+def i9(ctx):
+    m = I.ranking_matrix(ctx.training_pairs)
+    return I.relevance_labels(m).select("bene_synth_id", "plan_key", "ranking_cost_objective", "relevance_label")
+
+
+@q("I10_group_split")
+def i10(ctx):
+    m = I.group_split(I.ranking_matrix(ctx.training_pairs))
+    return I.split_overlap(m)
+
+
+@q("I12_ndcg_baseline")
+def i12(ctx):
+    m = I.relevance_labels(I.ranking_matrix(ctx.training_pairs))
+    m = m.withColumn("score", -(F.col("annual_premium") + F.col("total_drug_oop")))
+    return I.mean_ndcg(I.ndcg_at_k(m, "score", "relevance_label"))
