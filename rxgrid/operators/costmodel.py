@@ -128,18 +128,18 @@ def cost_rules(beneficiary_cost: DataFrame) -> DataFrame:
     ded = F.when(F.coalesce(F.col("deductible_applies").cast("boolean"), F.lit(False)), 1).when(
         F.upper(F.coalesce(F.col("ded_applies_yn").cast("string"), F.lit("N"))) == "Y", 1
     ).otherwise(0)
-    rule = F.struct(
-        F.coalesce(try_int("cost_type_pref"), F.lit(0)).alias("t"),
-        F.coalesce(try_double("cost_amt_pref"), F.lit(0.0)).alias("a"),
-    )
-    agg = bc.groupBy(
+    ctype = F.coalesce(try_int("cost_type_pref"), F.lit(0))
+    amt = F.coalesce(try_double("cost_amt_pref"), F.lit(0.0))
+    # one coherent (type, amount) rule per key: the lowest type and its amount
+    # (fixed-width buffers keep this a HashAggregate)
+    return bc.groupBy(
         "plan_key",
         F.coalesce(try_int("tier"), F.lit(0)).alias("tier"),
         F.coalesce(try_int("days_supply"), F.lit(1)).alias("days_supply_code"),
-    ).agg(F.min(rule).alias("_r"), F.max(ded).alias("deductible_applies"))
-    return agg.select(
-        "plan_key", "tier", "days_supply_code",
-        F.col("_r.t").alias("cost_type_pref"), F.col("_r.a").alias("cost_amt_pref"), "deductible_applies",
+    ).agg(
+        F.min(ctype).alias("cost_type_pref"),
+        F.min_by(amt, ctype * F.lit(1e12) + amt).alias("cost_amt_pref"),
+        F.max(ded).alias("deductible_applies"),
     )
 
 

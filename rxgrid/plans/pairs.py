@@ -162,18 +162,27 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
     With ``keep_empty`` every pair of a beneficiary without prescriptions keeps
     one row with a null ndc (so the pair aggregate sees every pair).
     """
-    b = beneficiaries(inp.beneficiary, policy)
+    b = inp.beneficiary.select("bene_synth_id", "state", "county_code")
     rx = G.normalize_prescriptions(inp.prescriptions)
     drugs = b.join(rx, "bene_synth_id", "left" if keep_empty else "inner")
-    plans = broadcast_if_small(plan_side(inp, policy))
+    # The drug rows are small next to what they expand into (x plans in the
+    # county); fix their partition count so AQE does not coalesce the
+    # expansion and the cost expressions into a couple of tasks.
+    n_parts = int(inp.beneficiary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drugs = drugs.repartition(n_parts, "bene_synth_id")
+    # only what the cost needs travels with the pair x drug rows; the pair
+    # attributes are attached after the aggregate (narrow shuffles)
+    plans = broadcast_if_small(
+        plan_side(inp, policy).select("plan_key", "formulary_id", "state", "county_code", "plan_deductible")
+    )
     rows = drugs.join(plans, ["state", "county_code"])
 
-    fm = broadcast_if_small(G.formulary_map(inp.formulary))
+    fm = broadcast_if_small(G.formulary_map(inp.formulary), bound_from=inp.formulary)
     rows = rows.join(fm, ["formulary_id", "ndc"], "left").withColumn(
         "in_formulary", F.when(F.col("formulary_tier").isNotNull(), 1).otherwise(0)
     )
     if inp.pricing is not None:
-        pm = broadcast_if_small(G.pricing_map(inp.pricing, pricing_policy))
+        pm = broadcast_if_small(G.pricing_map(inp.pricing, pricing_policy), bound_from=inp.pricing)
         rows = rows.join(pm, ["plan_key", "ndc"], "left")
     else:
         for c in ("unit_cost_1", "unit_cost_2", "unit_cost_4", "unit_cost_any"):
@@ -226,8 +235,14 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
 def training_pairs(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, policy: CostPolicy = COST) -> DataFrame:
     """The pair table with OOP parts, annual cost, objective and trade-off flag."""
     rows = pair_drug_rows(inp, pricing_policy, policy, keep_empty=True)
-    attrs = [F.any_value(c).alias(c) for c in BENE_ATTRS + PLAN_ATTRS]
-    agg = rows.groupBy("bene_synth_id", "plan_key").agg(*attrs, *G.pair_cost_aggregates())
+    # Numeric sums per pair (a HashAggregate with map-side partial sums; the
+    # county rides along as a key, it is fixed per beneficiary), then the
+    # beneficiary attributes (one shuffle of the beneficiary table, by bene)
+    # and the plan attributes (size-checked broadcast) are attached.
+    agg = rows.groupBy("bene_synth_id", "plan_key", "state", "county_code").agg(*G.pair_cost_aggregates())
+    bene = beneficiaries(inp.beneficiary, policy)
+    plans = broadcast_if_small(plan_side(inp, policy).drop("formulary_id"))
+    agg = agg.join(bene, ["bene_synth_id", "state", "county_code"]).join(plans, ["plan_key", "state", "county_code"])
     has_drugs = F.col("_n_drugs") > 0
     fallback = F.least(
         F.col("total_rx_cost_est"),
