@@ -161,46 +161,67 @@ def nearby_counties(zip_with_county: DataFrame, origins: DataFrame, radius_miles
 
 
 def zip_pharmacy_distances(origins: DataFrame, pharmacy_network: DataFrame, zipcode: DataFrame,
-                           pharmacy_type: str | None = None) -> DataFrame:
-    """Distance from each origin ZIP to every in-network pharmacy ZIP of the candidate plans.
-
-    ``origins`` has (origin_id, zip_code, plan_key).  Distances are computed
-    between ZIP centroids; ``pharmacy_type`` optionally filters the network
-    (T7: the derived types are standard / preferred_retail / preferred_mail).
+                           pharmacy_type: str | None = None, retail_only: bool = True) -> DataFrame:
+    """Distance from each origin ZIP to the in-network pharmacies of its candidate plans.
+
+    ``origins`` has (zip_code, plan_key), one row per distinct pair (requests
+    sharing a ZIP share the work).  Pharmacies are first counted per
+    (plan, pharmacy ZIP, preferred) so each origin meets pharmacy ZIPs, not
+    individual pharmacies; distances are between ZIP centroids (acos form,
+    rounded to cents of a mile as published).  ``pharmacy_type`` filters on
+    the derived type (T7); by default every retail-offering pharmacy counts.
     """
     from rxgrid.operators.bronze import tf_pharmacy_network
 
     net = tf_pharmacy_network(pharmacy_network)
     if pharmacy_type:
         net = net.where(F.col("pharmacy_type") == pharmacy_type)
+    elif retail_only:
+        net = net.where(F.col("offers_retail"))
+    per_zip = net.groupBy("plan_key", F.col("pharmacy_zipcode").alias("p_zip")).agg(
+        F.count(F.lit(1)).alias("n_pharmacies"),
+        F.sum(F.when(F.col("is_preferred_retail"), 1).otherwise(0)).alias("n_preferred"),
+    )
     z = broadcast_if_small(zipcode.select("zip_code", "lat", "lng"))
-    net = net.select("plan_key", "pharmacy_number", "pharmacy_zipcode", "is_preferred_retail", "pharmacy_type")
-    net = net.join(z.withColumnRenamed("zip_code", "pharmacy_zipcode").withColumnRenamed("lat", "p_lat")
-                   .withColumnRenamed("lng", "p_lng"), "pharmacy_zipcode")
-    o = origins.join(z.withColumnRenamed("lat", "o_lat").withColumnRenamed("lng", "o_lng"), "zip_code")
-    j = o.join(net, "plan_key")
-    return j.withColumn(
-        "distance_miles", acos_miles(F.col("o_lat"), F.col("o_lng"), F.col("p_lat"), F.col("p_lng"))
-    ).drop("o_lat", "o_lng", "p_lat", "p_lng")
-
-
-def plan_network_accessibility(distances: DataFrame, keys=("origin_id", "plan_key")) -> DataFrame:
-    """E5: per (origin, plan): nearest, within 5 / 10 miles, preferred within 10,
-    average distance and the accessibility score; 999 / 0 when no pharmacy."""
+    pz = z.select(F.col("zip_code").alias("p_zip"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    oz = z.select(F.col("zip_code").alias("zip_code"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
+    per_zip = per_zip.join(pz, "p_zip")
+    o = origins.select("zip_code", "plan_key").distinct().join(oz, "zip_code")
+    j = o.join(per_zip, "plan_key")
+    d = acos_miles(F.col("o_lat"), F.col("o_lng"), F.col("p_lat"), F.col("p_lng"))
+    return j.select(
+        "zip_code", "plan_key", "p_zip", "n_pharmacies", "n_preferred",
+        F.round(d.cast("decimal(24,6)"), 2).cast("double").alias("distance_miles"),
+    )
+
+
+def plan_network_accessibility(distances: DataFrame, keys=("zip_code", "plan_key")) -> DataFrame:
+    """E5: per (origin, plan): nearest preferred pharmacy (999 when none), preferred within
+    5 / 10 miles, all within 10 miles, mean preferred distance (999 when none) and the
+    accessibility score min(100, 100 / (1 + nearest / 5) + min(50, 5 * preferred within 10))."""
     d = F.col("distance_miles")
+    pref = F.col("n_preferred")
     agg = distances.groupBy(*keys).agg(
-        F.min(d).alias("nearest_pharmacy_miles"),
-        F.sum(F.when(d <= 5, 1).otherwise(0)).alias("pharmacies_within_5mi"),
-        F.sum(F.when(d <= 10, 1).otherwise(0)).alias("pharmacies_within_10mi"),
-        F.sum(F.when((d <= 10) & F.col("is_preferred_retail"), 1).otherwise(0)).alias("preferred_within_10mi"),
-        F.avg(d).alias("avg_pharmacy_distance"),
+        F.min(F.when(pref > 0, d)).alias("_nearest"),
+        F.sum(F.when(d <= 5, pref).otherwise(0)).alias("preferred_within_5mi"),
+        F.sum(F.when(d <= 10, pref).otherwise(0)).alias("preferred_within_10mi"),
+        F.sum(F.when(d <= 10, F.col("n_pharmacies")).otherwise(0)).alias("total_within_10mi"),
+        (F.sum(pref * d) / F.nullif(F.sum(pref), F.lit(0))).alias("_avg_pref"),
     )
-    nearest = F.col("nearest_pharmacy_miles")
+    nearest = F.coalesce(F.col("_nearest"), F.lit(999.0))
     score = F.least(
         F.lit(100.0),
         F.lit(100.0) / (1 + nearest / 5.0) + F.least(F.lit(50.0), 5.0 * F.col("preferred_within_10mi")),
     )
-    return agg.withColumn("network_access_score", score)
+    return agg.select(
+        *keys,
+        nearest.alias("nearest_preferred_miles"),
+        F.col("preferred_within_5mi").cast("long").alias("preferred_within_5mi"),
+        F.col("preferred_within_10mi").cast("long").alias("preferred_within_10mi"),
+        F.col("total_within_10mi").cast("long").alias("total_within_10mi"),
+        F.coalesce(F.col("_avg_pref"), F.lit(999.0)).alias("avg_preferred_distance"),
+        score.alias("network_accessibility_score"),
+    )
 
 
 __all__ = [

@@ -301,9 +301,13 @@ SELECT concat('R', lpad(cast(c.c_custkey AS string), 8, '0')) AS request_id,
   lpad(cast(c.c_nationkey AS string), 5, '0') AS county_code,
   lpad(cast((c.c_custkey % 12) * 25 + c.c_nationkey AS string), 5, '0') AS zip_code,
   cast(c.c_custkey % 4 * 25 AS double) AS min_drug_coverage_pct,
-  cast(c.c_custkey % 5 * 10 + 20 AS double) AS ml_weight,
-  CASE c.c_custkey % 3 WHEN 0 THEN 'cost' WHEN 1 THEN 'access' ELSE 'coverage' END AS priority,
-  cast(c.c_custkey % 4 * 25 AS double) AS distance_weight
+  cast(c.c_custkey % 5 * 10 + 20 AS double) AS ml_influence_pct,
+  cast(c.c_custkey % 5 + 1 AS double) AS cost_priority,
+  cast(c.c_custkey % 3 + 1 AS double) AS access_priority,
+  cast(c.c_custkey % 4 + 1 AS double) AS coverage_priority,
+  cast(c.c_custkey % 4 * 25 AS double) AS distance_penalty_rate,
+  c.c_custkey % 7 = 0 AS local_only,
+  cast(25 + c.c_custkey % 4 * 25 AS double) AS max_distance
 FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 """)
 
