@@ -319,6 +319,27 @@ FROM {requests} r JOIN {prescriptions} p ON p.bene_synth_id = r.bene_synth_id
 """)
 
 
+# Indication-based coverage: plan x rxcui x disease (the part type) for every
+# (supplier, part) pair that appears in the line items.
+_view("indication_coverage", ("lineitem", "part"), f"""
+SELECT {_plan_ids('x.sk')},
+  cast(x.pk % 500 AS string) AS rxcui,
+  x.disease
+FROM (
+  SELECT DISTINCT l.l_suppkey AS sk, p.p_partkey AS pk, p.p_type AS disease
+  FROM {{lineitem}} l JOIN {{part}} p ON p.p_partkey = l.l_partkey
+) x
+""")
+
+# Drug search queries: each distinct second word of a part name (name search)
+# and each distinct 5-digit NDC fragment of a prescribed drug (number search).
+_view("drug_queries", ("part", "prescriptions"), """
+SELECT DISTINCT split_part(p_name, ' ', 2) AS query_text FROM {part}
+UNION ALL
+SELECT DISTINCT substring(ndc, 5, 5) AS query_text FROM {prescriptions}
+""")
+
+
 def _order(names: tuple[str, ...] | list[str]) -> list[str]:
     """Views needed for ``names`` in dependency order."""
     out: list[str] = []
