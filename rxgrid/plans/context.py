@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from rxgrid.operators import geo, metrics
@@ -47,7 +48,8 @@ class Context:
     def training_pairs(self) -> DataFrame:
         from rxgrid.plans.pairs import training_pairs
 
-        return training_pairs(self.pair_inputs())
+        # reused by many registered queries in one session; spills to disk when large
+        return training_pairs(self.pair_inputs()).persist(StorageLevel.MEMORY_AND_DISK)
 
     def pair_inputs(self, with_metrics: bool = True) -> PairInputs:
         return PairInputs(

@@ -336,7 +336,7 @@ FROM (
 _view("drug_queries", ("part", "prescriptions"), """
 SELECT DISTINCT split_part(p_name, ' ', 2) AS query_text FROM {part}
 UNION ALL
-SELECT DISTINCT substring(ndc, 5, 5) AS query_text FROM {prescriptions}
+SELECT DISTINCT substring(ndc, 7, 5) AS query_text FROM {prescriptions}
 """)
 
 
