@@ -224,6 +224,92 @@ def plan_network_accessibility(distances: DataFrame, keys=("zip_code", "plan_key
     )
 
 
+def nearby_counties_rounded(zip_with_county: DataFrame, origins: DataFrame, radius_miles: float = 50.0) -> DataFrame:
+    """E3 as published: centroid distances rounded to 0.1 mile, same state, within the radius."""
+    zc = zip_with_county.select(F.col("zip_code").alias("_zip"), F.col("state").alias("_ostate"),
+                                F.col("lat").alias("_olat"), F.col("lng").alias("_olng"))
+    o = origins.join(zc, origins["zip_code"] == zc["_zip"]).drop("_zip")
+    cent = broadcast_if_small(county_centroids(zip_with_county))
+    j = o.join(cent, o["_ostate"] == cent["state"])
+    d = F.round(acos_miles(F.col("_olat"), F.col("_olng"), F.col("c_lat"), F.col("c_lng")).cast("decimal(24,6)"), 1)
+    return j.withColumn("distance_miles", d.cast("double")).where(F.col("distance_miles") <= radius_miles).select(
+        "origin_id", "county_code", "county", "state", "distance_miles")
+
+
+def representative_zip(zip_with_county: DataFrame) -> DataFrame:
+    """Per county the ZIP with the largest population (unknown last), then the smallest ZIP."""
+    w = Window.partitionBy("county_code").orderBy(F.col("population").desc_nulls_last(), F.col("zip_code"))
+    return zip_with_county.where(F.col("county_code").isNotNull()).withColumn("_rn", F.row_number().over(w)).where(
+        "_rn = 1").select("county_code", "zip_code", "city", "state")
+
+
+def county_pharmacy_links(plan_info: DataFrame, pharmacy_network: DataFrame, zip_with_county: DataFrame) -> DataFrame:
+    """One row per (county, plan, pharmacy) where the pharmacy's ZIP lies in the county
+    the plan row serves (three equi-joins)."""
+    from rxgrid.operators.bronze import tf_pharmacy_network
+
+    z = broadcast_if_small(zip_with_county.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
+        F.col("zip_code").alias("pharmacy_zipcode"), "city", F.col("state").alias("z_state"), "county",
+        F.col("county_code").alias("z_county"), "lat", "lng"))
+    p = broadcast_if_small(plan_info.select("plan_key", "plan_name", "contract_name", "premium", "deductible",
+                                            "state", "county_code"))
+    n = tf_pharmacy_network(pharmacy_network).select("plan_key", "pharmacy_number", "pharmacy_zipcode",
+                                                     "is_preferred_retail", "is_preferred_mail", "is_in_area")
+    j = n.join(z, "pharmacy_zipcode").join(p, "plan_key").where(F.col("z_county") == F.col("county_code"))
+    return j.drop("z_county")
+
+
+def county_pharmacy_summary(links: DataFrame) -> DataFrame:
+    """Per county and pharmacy: plans served, preferred links, mean premium, the first six
+    plan names in order; ranked within the county by plans served then preferred links."""
+    pref = (F.coalesce("is_preferred_retail", F.lit(False)) | F.coalesce("is_preferred_mail", F.lit(False))).cast("int")
+    g = links.groupBy("county_code", "pharmacy_number", "pharmacy_zipcode", "city", "z_state", "county", "lat", "lng").agg(
+        F.count_distinct("plan_key").alias("plans_served"), F.sum(pref).alias("preferred_plan_links"),
+        F.avg("premium").alias("avg_premium"),
+        F.array_join(F.slice(F.array_sort(F.collect_set("plan_name")), 1, 6), ", ").alias("sample_plan_names"))
+    w = Window.partitionBy("county_code").orderBy(F.col("plans_served").desc(), F.col("preferred_plan_links").desc(),
+                                                  F.col("pharmacy_number"))
+    return g.withColumnRenamed("z_state", "state").withColumn("rank", F.row_number().over(w))
+
+
+def county_access_headline(summary: DataFrame) -> DataFrame:
+    """Per county pharmacies, pharmacies with a preferred link, plans served at most."""
+    return summary.groupBy("county_code").agg(
+        F.count(F.lit(1)).alias("pharmacies"),
+        F.sum(F.when(F.col("preferred_plan_links") > 0, 1).otherwise(0)).alias("pharmacies_with_preferred"),
+        F.max("plans_served").alias("max_plans_served"))
+
+
+def nearby_comparison_plans(requests: DataFrame, nearby: DataFrame, plan_info: DataFrame) -> DataFrame:
+    """Plans (with a premium) of the nearby counties other than the request's own, as
+    comparison-only rows tagged with the county distance; one row per (request, plan)
+    keeping the nearest (J2)."""
+    from rxgrid.operators.decision import dedupe_candidates
+
+    p = broadcast_if_small(plan_info.where(F.col("premium").isNotNull() & (
+        F.col("plan_suppressed_yn").isNull() | (F.col("plan_suppressed_yn") != "Y"))).select(
+        "plan_key", "plan_name", F.col("state").alias("p_state"), F.col("county_code").alias("n_county"),
+        F.col("premium").cast("double").alias("premium")))
+    r = requests.select("request_id", F.col("county_code").alias("own_county"))
+    nb = nearby.withColumnRenamed("origin_id", "request_id").join(r, "request_id").where(
+        F.col("county_code") != F.col("own_county"))
+    comp = nb.join(p, (nb["county_code"] == p["n_county"]) & (nb["state"] == p["p_state"])).select(
+        "request_id", "plan_key", "plan_name", "premium", "distance_miles",
+        F.lit(False).alias("is_local"), F.lit(False).alias("service_area_eligible"), F.lit(True).alias("comparison_only"),
+        F.lit("Comparison only - outside selected service area").alias("eligibility_status"),
+        F.col("county").alias("location_county"))
+    return dedupe_candidates(comp)
+
+
+def plans_with_fallback(local: DataFrame, comparison: DataFrame) -> DataFrame:
+    """The local candidates, and for requests without any local plan the nearby ones."""
+    cols = ["request_id", "plan_key", "plan_name", "premium", "distance_miles", "is_local", "service_area_eligible",
+            "comparison_only", "eligibility_status", "location_county"]
+    loc = local.select(*cols)
+    fb = comparison.select(*cols).join(loc.select("request_id").distinct(), "request_id", "left_anti")
+    return loc.unionByName(fb)
+
+
 __all__ = [
     "resolve_zip_county", "dim_zipcode", "county_density", "plan_distance_features", "nearby_counties",
     "zip_pharmacy_distances", "plan_network_accessibility", "haversine_miles", "county_centroids",
