@@ -345,7 +345,7 @@ FROM (
 )
 """)
 register("D10_insulin_access_metrics", ["o_ins_access"], "SELECT * FROM o_ins_access")
-register("D11_insulin_friendliness", ["o_ins_cost_metrics", "o_ins_access"], f"""
+cte("o_friendly", ("o_ins_cost_metrics", "o_ins_access"), f"""
 SELECT * EXCLUDE (cost_risk, access_risk, cs, acs), CASE WHEN cost_risk THEN 1 ELSE 0 END AS insulin_cost_risk_flag,
   CASE WHEN access_risk THEN 1 ELSE 0 END AS insulin_access_risk_flag,
   CASE WHEN cost_risk OR access_risk THEN 1 ELSE 0 END AS insulin_risk_flag,
@@ -364,3 +364,7 @@ FROM (
   )
 )
 """)
+
+register("D11_insulin_friendliness", ["o_friendly"], "SELECT * FROM o_friendly")
+cte("o_cost_metrics", ("beneficiary_cost",),
+    "SELECT plan_key, " + ",\n  ".join(_d3) + "\nFROM beneficiary_cost WHERE plan_key IS NOT NULL GROUP BY plan_key")
