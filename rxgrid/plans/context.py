@@ -16,12 +16,16 @@ from rxgrid.sources.adapter import Adapter
 class Context:
     """Lazily built gold / ml inputs for one data directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.a = Adapter(spark, sf_dir)
+        self.tables = dict(tables or {})
 
     def t(self, name: str) -> DataFrame:
+        """A source table: a stored bronze table when one was given, else the adapter view."""
+        if name in self.tables:
+            return self.tables[name]
         return self.a.table(name)
 
     @cached_property
