@@ -279,6 +279,26 @@ def oop_estimate_columns() -> dict[str, Column]:
     }
 
 
+def legacy_oop_estimate() -> Column:
+    """The earlier multiplicative estimate - base cost x intensity x generic discount x
+    specialty / restriction / deductible (min(ded, 1000) / 3500) / network (x1.08)
+    penalties x insulin adjustment, plus 35 % of the deductible up to 800, at least 50."""
+    base = F.coalesce(F.col("total_rx_cost_est").cast("double"), F.lit(0.0))
+    num = F.greatest(F.coalesce(F.col("num_drugs"), F.lit(1)), F.lit(1))
+    fills = F.greatest(F.coalesce(F.col("avg_fills_per_year").cast("double"), F.lit(1.0)), F.lit(1.0))
+    intensity = (F.lit(0.20) + F.least(F.lit(0.25), 0.01 * (num - 1))
+                 + F.least(F.lit(0.15), 0.002 * F.greatest(fills - 12, F.lit(0.0))))
+    ded = F.coalesce(F.col("deductible"), F.lit(0.0))
+    est = (base * intensity * (1.0 - 0.22 * _ratio(F.col("formulary_generic_pct")))
+           * (1.0 + 0.25 * _ratio(F.col("formulary_specialty_pct")))
+           * (1.0 + 0.18 * _ratio(F.col("formulary_pa_rate")) + 0.12 * _ratio(F.col("formulary_st_rate"))
+              + 0.08 * _ratio(F.col("formulary_ql_rate")))
+           * (1.0 + F.least(ded, F.lit(1000.0)) / 3500.0)
+           * F.when(F.col("network_adequacy_flag") == 1, 1.08).otherwise(1.0)
+           * F.when(F.col("is_insulin_user") == 1, 0.92).otherwise(1.0))
+    return F.greatest(F.lit(50.0), est + F.least(ded, F.lit(800.0)) * 0.35)
+
+
 # ---------------------------------------------------------------------------
 # J9 - J13 scores and ranking
 
