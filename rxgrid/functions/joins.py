@@ -34,15 +34,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None, bound_from: D
     """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
 
     The bound is checked with a ``limit(max_rows + 1).count()`` so the check
-    itself never scans more than the bound.  ``bound_from`` is a cheaper
-    upper bound (e.g. the source rows of an aggregate): when the source is
-    already over the bound the aggregate is not computed just to be measured.
+    itself never scans more than the bound.  ``bound_from`` names a source
+    whose row count bounds ``df`` (``df`` is an aggregate or projection of
+    it); counting a stored source is a footer read.
     """
     limit = max_rows if max_rows is not None else max_broadcast_rows(df)
-    if bound_from is not None and bound_from.limit(limit + 1).count() > limit:
-        # the source exceeds the bound; the derived table may still be small,
-        # but proving it would cost a full extra computation: shuffle-join it
-        return df
+    if bound_from is not None:
+        # ``df`` has at most as many rows as its source (an aggregate, a projection):
+        # a source within the bound proves the bound without computing ``df`` first;
+        # a source over the bound is shuffle-joined rather than computed twice
+        return F.broadcast(df) if bound_from.limit(limit + 1).count() <= limit else df
     # Persist while checking: when the side is small the check has computed
     # every partition, so the join reads it from the cache instead of
     # recomputing it; when it is large only a prefix was touched and the

@@ -105,14 +105,14 @@ def plan_side(inp: PairInputs, policy: CostPolicy = COST) -> DataFrame:
             "plan_key", "total_drugs", "generic_tier_pct", "specialty_tier_pct", "pa_rate", "st_rate", "ql_rate",
             "restrictiveness_class",
         )
-        p = p.join(broadcast_if_small(fm), "plan_key", "left")
+        p = p.join(broadcast_if_small(fm, bound_from=inp.formulary_metrics), "plan_key", "left")
     else:
         for c in ("total_drugs", "generic_tier_pct", "specialty_tier_pct", "pa_rate", "st_rate", "ql_rate",
                   "restrictiveness_class"):
             p = p.withColumn(c, F.lit(None).cast("double"))
     if inp.network_metrics is not None:
         nm = inp.network_metrics.select("plan_key", "total_pharmacies", "preferred_pharmacies", "network_adequacy_flag")
-        p = p.join(broadcast_if_small(nm), "plan_key", "left")
+        p = p.join(broadcast_if_small(nm, bound_from=inp.network_metrics), "plan_key", "left")
     else:
         for c in ("total_pharmacies", "preferred_pharmacies", "network_adequacy_flag"):
             p = p.withColumn(c, F.lit(None).cast("long"))
@@ -122,7 +122,8 @@ def plan_side(inp: PairInputs, policy: CostPolicy = COST) -> DataFrame:
             F.col("distance_category").alias("_dcat"),
         )
         p = p.join(
-            broadcast_if_small(df), (p["plan_key"] == df["plan_key"]) & (p["county_code"] == df["_dcounty"]), "left"
+            broadcast_if_small(df, bound_from=inp.distance_features),
+            (p["plan_key"] == df["plan_key"]) & (p["county_code"] == df["_dcounty"]), "left"
         ).drop(df["plan_key"]).drop("_dcounty")
     else:
         p = p.withColumn("simulated_distance_miles", F.lit(None).cast("double")).withColumn(
@@ -173,7 +174,8 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
     # only what the cost needs travels with the pair x drug rows; the pair
     # attributes are attached after the aggregate (narrow shuffles)
     plans = broadcast_if_small(
-        plan_side(inp, policy).select("plan_key", "formulary_id", "state", "county_code", "plan_deductible")
+        plan_side(inp, policy).select("plan_key", "formulary_id", "state", "county_code", "plan_deductible"),
+        bound_from=inp.plan_info,
     )
     rows = drugs.join(plans, ["state", "county_code"])
 
@@ -191,7 +193,7 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
         "effective_rxcui", F.coalesce("rxcui", "formulary_rxcui")
     )
     ex = broadcast_if_small(G.excluded_map(inp.excluded_drugs).withColumnRenamed("rxcui", "_ex_rxcui")
-                            .withColumnRenamed("formulary_id", "_ex_form"))
+                            .withColumnRenamed("formulary_id", "_ex_form"), bound_from=inp.excluded_drugs)
     rows = rows.join(
         ex, (rows["formulary_id"] == ex["_ex_form"]) & (rows["effective_rxcui"] == ex["_ex_rxcui"]), "left"
     )
@@ -206,19 +208,22 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
         }
     ).drop("_ex_form", "_ex_rxcui")
 
-    cr = broadcast_if_small(G.cost_rules(inp.beneficiary_cost).withColumnRenamed("tier", "effective_tier"))
+    cr = broadcast_if_small(G.cost_rules(inp.beneficiary_cost).withColumnRenamed("tier", "effective_tier"),
+                            bound_from=inp.beneficiary_cost)
     rows = rows.join(cr, ["plan_key", "effective_tier", "days_supply_code"], "left")
     ir = G.insulin_rules(inp.insulin_cost)
     ir_exact = broadcast_if_small(
         ir.where(F.col("tier").isNotNull()).select(
             "plan_key", F.col("tier").alias("effective_tier"), "days_supply_code",
             F.col("pref_insulin_copay").alias("_ins_exact"),
-        )
+        ),
+        bound_from=inp.insulin_cost,
     )
     ir_any = broadcast_if_small(
         ir.where(F.col("tier").isNull()).select(
             "plan_key", "days_supply_code", F.col("pref_insulin_copay").alias("_ins_any")
-        )
+        ),
+        bound_from=inp.insulin_cost,
     )
     rows = rows.join(ir_exact, ["plan_key", "effective_tier", "days_supply_code"], "left").join(
         ir_any, ["plan_key", "days_supply_code"], "left"
@@ -241,7 +246,7 @@ def training_pairs(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
     # and the plan attributes (size-checked broadcast) are attached.
     agg = rows.groupBy("bene_synth_id", "plan_key", "state", "county_code").agg(*G.pair_cost_aggregates())
     bene = beneficiaries(inp.beneficiary, policy)
-    plans = broadcast_if_small(plan_side(inp, policy).drop("formulary_id"))
+    plans = broadcast_if_small(plan_side(inp, policy).drop("formulary_id"), bound_from=inp.plan_info)
     agg = agg.join(bene, ["bene_synth_id", "state", "county_code"]).join(plans, ["plan_key", "state", "county_code"])
     has_drugs = F.col("_n_drugs") > 0
     fallback = F.least(
