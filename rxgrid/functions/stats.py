@@ -41,7 +41,6 @@ def ranked(
 ) -> DataFrame:
     """Add a 0-based rank within ``group_cols`` by ``order_cols`` and the group size."""
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + order
     # The range partitioner samples its input before the shuffle reads it:
@@ -52,8 +51,11 @@ def ranked(
     # its own bounds.  The checkpoint also cuts the lineage for retries.
     ensure_checkpoint_dir(spark)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # without an explicit count AQE may merge adjacent ranges of a small input; merged
+    # ranges stay in order, which is all the numbering below needs
+    ranged = src.repartitionByRange(partitions, *keys) if partitions else src.repartitionByRange(*keys)
     r = (
-        src.repartitionByRange(n_parts, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))

@@ -156,6 +156,10 @@ def service_pairs(inp: PairInputs, policy: CostPolicy = COST) -> DataFrame:
     return b.join(p, ["state", "county_code"])
 
 
+def _aqe(spark) -> bool:
+    return spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+
+
 def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, policy: CostPolicy = COST,
                    keep_empty: bool = True) -> DataFrame:
     """Pair x drug rows with gross cost, coverage, per-fill and annual member cost.
@@ -167,9 +171,11 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
     rx = G.normalize_prescriptions(inp.prescriptions)
     drugs = b.join(rx, "bene_synth_id", "left" if keep_empty else "inner")
     # The drug rows are small next to what they expand into (x plans in the
-    # county); fix their partition count so AQE does not coalesce the
-    # expansion and the cost expressions into a couple of tasks.
-    n_parts = int(inp.beneficiary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # county): spread them over at least two partitions per core, so AQE does
+    # not coalesce the CPU-heavy expansion and cost expressions into a few tasks.
+    spark = inp.beneficiary.sparkSession
+    n_parts = max(2 * spark.sparkContext.defaultParallelism,
+                  int(spark.conf.get("spark.sql.shuffle.partitions")) if not _aqe(spark) else 0)
     drugs = drugs.repartition(n_parts, "bene_synth_id")
     # only what the cost needs travels with the pair x drug rows; the pair
     # attributes are attached after the aggregate (narrow shuffles)
