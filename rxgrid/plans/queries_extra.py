@@ -137,3 +137,31 @@ def j26(ctx):
         "request_id", "Rank", F.col("plan_key").alias("Plan"), (F.col("premium") * 12).alias("Estimated annual total"),
         F.lit("nearby").alias("Source"))
     return local.unionByName(near)
+
+
+@q("B4_B5_ingest_metadata")
+def b4(ctx):
+    """Load metadata (B4: timestamps, so rows only) and the business-column record hash."""
+    return B.add_record_hash(B.add_ingest_meta(ctx.t("pricing"), "pricing", 2025, "Q3")).select(
+        "plan_key", "ndc", "days_supply", "contract_year", "contract_quarter", "source_filename", "ingestion_ts",
+        "record_hash")
+
+
+@q("B12_snake_case_columns")
+def b12(ctx):
+    """CMS-style upper / camel-case headers renamed in one projection."""
+    raw = ctx.t("plan_info").toDF(*[c.upper() if i % 2 else "".join(w.title() for w in c.split("_"))
+                                    for i, c in enumerate(ctx.t("plan_info").columns)])
+    return S.standardize_columns(raw)
+
+
+@q("I4_affordability_terciles")
+def i4(ctx):
+    """I4: the notebook variant - seven standardised cost features, three classes."""
+    from rxgrid.operators import ml
+    from rxgrid.plans.queries_ml import _summary
+
+    feats = ["pref_avg_copay_amt", "pref_avg_coins_rate", "ded_applies_rate", "specialty_row_share", "avg_unit_cost",
+             "p90_unit_cost", "premium"]
+    return ml.affordability_index(_summary(ctx), feats, k_classes=3).select("plan_key", "affordability_index",
+                                                                           "affordability_class")

@@ -11,6 +11,8 @@ CORE = [
     "H1_top5_plans", "H3_explanations", "I9_relevance_labels", "J13_ranked_plans", "J16_flags_confidence",
     "B10_cost_derive", "B22_slv_basic_formulary", "C1_dim_plan", "D3_cost_metrics", "D8_pricing_metrics",
     "F4_zip_assignment", "F8_fill_allocation", "L1_drug_search", "K2_regret_summary", "N4_annual_progression",
+    "P1_incremental_insert_only", "P2_incremental_daily_summary", "E5_network_accessibility", "J3_requested_drug_coverage",
+    "A1_delimited_roundtrip", "D19_county_pharmacy_summary",
 ]
 
 
