@@ -83,3 +83,12 @@ UNION ALL SELECT 'agg_plan_network_metrics', count(*), avg(total_pharmacies), su
 UNION ALL SELECT 'plan_distance_features', count(*), avg(simulated_distance_miles),
   sum(CASE WHEN distance_category = 'far' THEN 1 ELSE 0 END) FROM o_distance_features
 """)
+
+register("F10_fill_events", ["prescriptions"], """
+SELECT bene_synth_id, ndc, fill_num,
+  CAST(DATE '2025-01-01' + CAST(floor((fill_num - 1) * 365.0 / greatest(CAST(fills_per_year AS integer), 1))
+    + floor((CAST(('0x' || substr(sha256(concat('42|', concat_ws('|', bene_synth_id, ndc, CAST(fill_num AS varchar)))), 1, 16))
+      AS UBIGINT) / 18446744073709551615.0) * 7) AS integer) AS DATE) AS srvc_dt
+FROM (SELECT bene_synth_id, ndc, fills_per_year,
+        unnest(generate_series(1, greatest(CAST(fills_per_year AS integer), 1))) AS fill_num FROM prescriptions)
+""")
