@@ -78,3 +78,24 @@ def test_sampling_is_partition_invariant(spark):
     for r in a:
         per.setdefault(r.bene_synth_id, set()).add(r.ndc)
     assert all(len(v) == 1 + int(k[1:]) % 6 for k, v in per.items())
+
+
+def test_pairs_do_not_depend_on_shuffle_partitions(spark):
+    """The pair cost model gives the same rows with 1 and 8 shuffle partitions."""
+    from rxgrid.plans.context import Context
+    from rxgrid.plans.pairs import training_pairs
+    from rxgrid.testing import normalise_rows
+    from tests.conftest import SMALL
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = training_pairs(Context(spark, SMALL).pair_inputs())
+            out.append(normalise_rows(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(out[0]) == len(out[1])
+    for a, b in zip(*out):
+        assert all((x == y) or (isinstance(x, float) and abs(x - y) <= 1e-6 * max(1.0, abs(x))) for x, y in zip(a, b))
