@@ -48,17 +48,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+    A checkpoint would keep the constraints of the plan before it, which grow without end in loops.
+    """
     at = new_folder(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxgrid.llm.common import U64, Words, cut, mix, slices, text_bytes, windows_hash
+from rxgrid.llm.common import U64, Words, mix, slices, stored, text_bytes, windows_hash
 
 BLOCK = 4
 
@@ -152,7 +152,7 @@ def contained_items(
         found = src.mapInArrow(_match_batches(sent, cfg), out.schema)
         if not following and out.isEmpty():
             return found
-        out = out.union(cut(found))
+        out = out.union(stored(found))
         sent.destroy()
         block = following
     return out
@@ -160,5 +160,5 @@ def contained_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, cfg: Decontam = Decontam(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that contain no test item."""
-    hit = cut(contained_items(docs, items, cfg, text, doc_id).select(F.col("doc_id").alias(doc_id)).distinct())
+    hit = stored(contained_items(docs, items, cfg, text, doc_id).select(F.col("doc_id").alias(doc_id)).distinct())
     return docs.join(hit, doc_id, "left_anti")
