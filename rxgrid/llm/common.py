@@ -26,6 +26,8 @@ BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_NOT_LETTER = np.ones(256, bool)
+_NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,7 +66,7 @@ def partitions(spark: SparkSession) -> int:
 
 def split_of(doc_id, modulus: int):
     """crc32 of the id's text, modulo `modulus` (null id: null)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,10 +94,10 @@ class Words:
 
     __slots__ = ("data", "starts", "ends", "hashes", "at")
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, letters: bool = False):
         self.data = b"\n".join(texts) + b"\n"
         a = np.frombuffer(self.data, np.uint8)
-        word = ~_SPACE[a]
+        word = ~(_NOT_LETTER if letters else _SPACE)[a]  # letters: ASCII punctuation separates too
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edge = np.concatenate([np.zeros(1, edge.dtype), edge])

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rxgrid.llm import bpe, decontam, neardup, quality, substring
-from rxgrid.llm.common import table
+from rxgrid.llm import bpe, decontam, html, langid, lm, neardup, quality, substring, toxicity, urls
+from rxgrid.llm.common import split_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_html_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP3_SQL = rf"""
@@ -66,21 +76,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(split_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = langid.train_and_predict(docs, held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_minhash_neardup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    out = bpe.encode(docs, corpus_pipeline.bpe_path())
+@query("op6_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), corpus_pipeline.bpe_path())
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 
 
-@query("op6_bpe")
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents"))
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(split_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    out = toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 OP8_SQL = rf"""
@@ -110,6 +131,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op10_kneser_ney")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(split_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    out = lm.train_and_score(table(spark, sf_dir, "documents"), held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
