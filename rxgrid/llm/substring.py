@@ -171,10 +171,10 @@ def _told(key: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple]:
 def _anchor_batches(window: int, buckets: int):
     def flush(anchor: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(anchor, kind="stable")
-        anchor, key = anchor[order], key[order]
-        first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        many = ~first
-        many[:-1] |= ~first[1:]
+        edge = np.concatenate([[True], anchor[order[1:]] != anchor[order[:-1]]])
+        first, many = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        first[order] = edge
+        many[order] = ~edge | np.concatenate([~edge[1:], [False]])
         rows = list(_bucketed(anchor[first], [anchor[first], key[first]], buckets))
         return _rows(rows + list(_told(key[many], anchor[many], buckets)))
 
@@ -200,18 +200,39 @@ def _anchor_batches(window: int, buckets: int):
     return run
 
 
-_REPLY = pa.schema([("key", pa.int64()), ("found", pa.binary())])
+_REPLY = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("found", pa.binary())])
+_REPLY_SQL = "bucket int, keys binary, found binary"
 
 
-def _replies(key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per document with its packed values."""
-    order = np.lexsort((values, key))
+def _replies(key: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed (key, value) entries for each bucket of documents."""
+    b = (mix(key.view(np.uint64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((values, key, b))
     key, values = key[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    last = np.append(first[1:], len(key))
-    for lo in range(0, len(first), 20_000):
-        part = [packed(values[a:b]) for a, b in zip(first[lo : lo + 20_000], last[lo : lo + 20_000], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[first[lo : lo + 20_000]]), pa.array(part, pa.binary())], schema=_REPLY)
+    edges = np.searchsorted(b[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    cols = [full, [packed(key[edges[k] : edges[k + 1]]) for k in full], [packed(values[edges[k] : edges[k + 1]]) for k in full]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REPLY, strict=True)], schema=_REPLY)
+
+
+def _per_document(kind):
+    """One row (key, found) per document of a partition's buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+        for batch in batches:
+            keys += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            values += [np.frombuffer(x, kind) for x in batch.column(2).to_pylist()]
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        last = np.append(first[1:], len(key))
+        for lo in range(0, len(first), 5_000):
+            part = [packed(value[a:b]) for a, b in zip(first[lo : lo + 5_000], last[lo : lo + 5_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first[lo : lo + 5_000]]), pa.array(part, pa.binary())], names=["key", "found"])
+
+    return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], types: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -229,16 +250,19 @@ def _gathered(batches: Iterator[pa.RecordBatch], types: list) -> tuple[list[np.n
     return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(sent, types, strict=True)], told
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    (anchor, key), told = _gathered(batches, [np.uint64, np.int64])
-    order = np.argsort(anchor, kind="stable")
-    anchor, key = anchor[order], key[order]
-    many = np.zeros(len(anchor), bool)
-    same = anchor[1:] == anchor[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    keys, values = [key[many], *told[0]], [anchor[many], *[np.frombuffer(x, np.uint64) for x in told[1]]]
-    yield from _replies(np.concatenate(keys), np.concatenate(values))
+def _shared_anchors(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (anchor, key), told = _gathered(batches, [np.uint64, np.int64])
+        order = np.argsort(anchor, kind="stable")
+        anchor, key = anchor[order], key[order]
+        many = np.zeros(len(anchor), bool)
+        same = anchor[1:] == anchor[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        keys, values = [key[many], *told[0]], [anchor[many], *[np.frombuffer(x, np.uint64) for x in told[1]]]
+        yield from _replies(np.concatenate(keys), np.concatenate(values), buckets)
+
+    return run
 
 
 def _order_of(doc_id: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -256,8 +280,9 @@ def _later(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> t
 
 def _window_batches(window: int, buckets: int):
     def flush(h, h2, doc, key, pos) -> pa.RecordBatch:
-        order, later = _later(h, h2, doc, pos)
-        h, h2, doc, key, pos = (x[order] for x in (h, h2, doc, key, pos))
+        order, later_ = _later(h, h2, doc, pos)
+        later = np.zeros(len(h), bool)
+        later[order] = later_  # entries stay in document order, in which the columns compress well
         own = [h[~later], h2[~later], np.stack([doc[~later], key[~later]], 1), pos[~later]]
         rows = list(_bucketed(h[~later], own, buckets))
         return _rows(rows + list(_told(key[later], pos[later].astype(np.int32), buckets)))
@@ -276,7 +301,7 @@ def _window_batches(window: int, buckets: int):
                 for k in range(b - a):
                     lo, hi = edge[k], edge[k + 1]
                     if lo < hi:
-                        mine = np.sort(np.frombuffer(b"".join(found[a + k]), np.uint64))
+                        mine = np.sort(np.frombuffer(found[a + k], np.uint64))
                         at = np.searchsorted(mine, anchor[lo:hi])
                         at[at == len(mine)] = 0
                         shared[lo:hi] = mine[at] == anchor[lo:hi]
@@ -293,13 +318,16 @@ def _window_batches(window: int, buckets: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    (h, h2, both, pos), told = _gathered(batches, [np.uint64, np.uint32, np.int64, np.int32])
-    doc, key = both.reshape(-1, 2).T
-    order, later = _later(h, h2, doc, pos) if len(h) else (np.zeros(0, int), np.zeros(0, bool))
-    keys = [key[order][later], *told[0]]
-    values = [pos[order][later], *[np.frombuffer(x, np.int32) for x in told[1]]]
-    yield from _replies(np.concatenate(keys), np.concatenate(values))
+def _repeats(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (h, h2, both, pos), told = _gathered(batches, [np.uint64, np.uint32, np.int64, np.int32])
+        doc, key = both.reshape(-1, 2).T
+        order, later = _later(h, h2, doc, pos) if len(h) else (np.zeros(0, int), np.zeros(0, bool))
+        keys = [key[order][later], *told[0]]
+        values = [pos[order][later], *[np.frombuffer(x, np.int32) for x in told[1]]]
+        yield from _replies(np.concatenate(keys), np.concatenate(values), buckets)
+
+    return run
 
 
 def _kept_batches(window: int, extra: list[int]):
@@ -311,7 +339,7 @@ def _kept_batches(window: int, extra: list[int]):
                 words = text.split()
                 n_words.append(len(words))
                 if parts:
-                    at = np.frombuffer(b"".join(parts), np.int32)
+                    at = np.frombuffer(parts, np.int32)
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + window, -1)
@@ -341,21 +369,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
     buckets = 4 * n
     body, ident = F.col(text).cast("string"), F.col(doc_id).cast("long")
     src = docs.select(_key(ident, body).alias("key"), ident.alias("id"), body.alias("text"))
-    shared = (
-        src.mapInArrow(_anchor_batches(window, buckets), _SENT_SQL)
-        .repartition(n, "bucket")
-        .mapInArrow(_shared_anchors, "key long, found binary")
-        .groupBy("key")
-        .agg(F.collect_list("found").alias("found"))
-    )
-    return (
-        src.join(shared, "key")
-        .mapInArrow(_window_batches(window, buckets), _SENT_SQL)
-        .repartition(n, "bucket")
-        .mapInArrow(_repeats, "key long, found binary")
-        .groupBy("key")
-        .agg(F.collect_list("found").alias("found"))
-    )
+    def settled(sent: DataFrame, decide, kind) -> DataFrame:
+        """Entries meet by hash bucket, decisions return by document."""
+        decided = sent.repartition(n, "bucket").mapInArrow(decide, _REPLY_SQL)
+        return decided.repartition(n, "bucket").mapInArrow(_per_document(kind), "key long, found binary")
+
+    shared = settled(src.mapInArrow(_anchor_batches(window, buckets), _SENT_SQL), _shared_anchors(buckets), np.uint64)
+    doubted = src.join(shared, "key")
+    return settled(doubted.mapInArrow(_window_batches(window, buckets), _SENT_SQL), _repeats(buckets), np.int32)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
