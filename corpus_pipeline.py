@@ -36,13 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the words of every 20-word window that starts earlier in the corpus; n_chars follows."""
-    out = substring.dedup(docs)
-    return out.select(
-        *[
-            F.col("kept_text").alias("text") if c == "text" else F.char_length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    out = substring.dedup(docs).drop("n_words", "n_removed")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,7 +291,7 @@ def _window_batches(window: int, buckets: int):
         kept: list[tuple] = []
         n = 0
         for batch in batches:
-            keys, texts, found = batch.column(0).to_numpy(), text_bytes(batch.column(2)), batch.column(3).to_pylist()
+            keys, texts, found = batch.column(0).to_numpy(), _unpacked(batch.column(2), batch.column(3)), batch.column(4).to_pylist()
             ids = _order_of(batch.column(1).fill_null(0).to_numpy(), np.asarray(batch.column(1).is_null()))
             for a, b in slices(texts):
                 words = Words(texts[a:b], lower=False)
@@ -330,10 +330,28 @@ def _repeats(buckets: int):
     return run
 
 
-def _kept_batches(window: int, extra: list[int]):
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column's texts compressed, as they are to be shuffled; null stays null."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        size, body = [], []
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            size.append(len(text or b""))
+            body.append(codec.compress(text, asbytes=True) if text else None)
+        names = ["body", "size", *batch.schema.names[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(size, pa.int64()), *batch.columns[1:]], names=names)
+
+
+def _unpacked(body, size) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    pairs = zip(body.to_pylist(), size.to_pylist(), strict=True)
+    return [codec.decompress(b, n, asbytes=True) if b else b"" for b, n in pairs]
+
+
+def _kept_batches(window: int, n_extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = text_bytes(batch.column(0)), batch.column(1).to_pylist()
+            texts, found = _unpacked(batch.column(0), batch.column(1)), batch.column(2).to_pylist()
             n_words, n_removed, kept = [], [], []
             for text, parts in zip(texts, found, strict=True):
                 words = text.split()
@@ -348,12 +366,10 @@ def _kept_batches(window: int, extra: list[int]):
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 else:
                     n_removed.append(0)
-                kept.append(b" ".join(words).decode())
-            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in extra] + new,
-                names=[f"c{i}" for i in range(len(extra))] + ["n_words", "n_removed", "kept_text"],
-            )
+                kept.append(b" ".join(words))
+            new = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            names = ["kept_text", "n_words", "n_removed", *[f"c{i}" for i in range(n_extra)]]
+            yield pa.RecordBatch.from_arrays(new + [batch.column(3 + i) for i in range(n_extra)], names=names)
 
     return run
 
@@ -375,18 +391,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
         return decided.repartition(n, "bucket").mapInArrow(_per_document(kind), "key long, found binary")
 
     shared = settled(src.mapInArrow(_anchor_batches(window, buckets), _SENT_SQL), _shared_anchors(buckets), np.uint64)
-    doubted = src.join(shared, "key")
+    packed_ = src.select("text", "key", "id").mapInArrow(_packed_batches, "body binary, size long, key long, id long")
+    doubted = packed_.join(shared, "key").select("key", "id", "body", "size", "found")
     return settled(doubted.mapInArrow(_window_batches(window, buckets), _SENT_SQL), _repeats(buckets), np.int32)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of `docs`, and n_words, n_removed, kept_text (kept words joined by one space)."""
+    """All columns of `docs`, the text replaced by its kept words joined by one space, and n_words, n_removed."""
     repeats = stored(repeated_windows(docs, window, text, doc_id), "substring-repeats")
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    rest = [c for c in docs.columns if c not in ("n_words", "n_removed", text)]
     body, ident = F.col(text).cast("string"), F.col(doc_id).cast("long")
-    cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(own)]
-    src = docs.select(_key(ident, body).alias("key"), body.alias("body"), *cols)
-    joined = src.join(repeats, "key", "left").select("body", "found", *[f"c{i}" for i in range(len(own))])
-    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own)] + ["n_words long, n_removed long, kept_text string"])
-    out = joined.mapInArrow(_kept_batches(window, list(range(2, 2 + len(own)))), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_words", "n_removed", "kept_text")
+    types = ", ".join(["", *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
+    own = [f"c{i}" for i in range(len(rest))]
+    src = docs.select(body.alias("text"), _key(ident, body).alias("key"), *[F.col(c).alias(n) for c, n in zip(rest, own, strict=True)])
+    small = src.mapInArrow(_packed_batches, f"body binary, size long, key long{types}")
+    joined = small.join(repeats, "key", "left").select("body", "size", "found", *own)
+    out = joined.mapInArrow(_kept_batches(window, len(rest)), f"kept_text string, n_words long, n_removed long{types}")
+    named = {**dict(zip(rest, own, strict=True)), text: "kept_text"}
+    return out.select(*[F.col(named[c]).alias(c) for c in docs.columns if c in named], "n_words", "n_removed")
