@@ -21,6 +21,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -44,26 +45,35 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
+        self.path = path
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.token = [self.tok.id_to_token(i) or "" for i in range(size)]
+        added = self.tok.get_added_tokens_decoder().values()
+        self.special = sorted((t.content for t in added), key=len, reverse=True)
+        self.token = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.token_bytes = [t.encode() for t in self.token]
-        suffix = model.get("end_of_word_suffix") or None
-        self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
-        self.final = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
-        self.suffix = suffix or ""
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.stems: dict[str, tuple[bytes, bytes]] = {}
 
+    @cached_property
+    def models(self) -> tuple:
+        """Bare BPE models for parts of a pre-token: inside it and at its end; and the suffix of an end."""
+        from tokenizers import Tokenizer, models
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        suffix = model.get("end_of_word_suffix") or None
+        inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        final = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
+        return inner, final, suffix or ""
+
+    def forget(self) -> None:
+        self.known, self.stems = {}, {}
+
     def _library(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         out = []
         for e in self.tok.encode_batch_fast(words, add_special_tokens=False):
@@ -111,11 +121,11 @@ class Codec:
 
     def part(self, symbols: str, last: bool) -> list[int]:
         """Ids of a part of a pre-token (byte symbols); `last`: the pre-token ends with it."""
-        return (self.final if last else self.inner).encode(symbols, add_special_tokens=False).ids if symbols else []
+        return self.models[last].encode(symbols, add_special_tokens=False).ids if symbols else []
 
     def _symbols(self, ids: list[int], last: bool) -> str:
         out = "".join([self.token[i] for i in ids])
-        return out[: len(out) - len(self.suffix)] if last and self.suffix else out
+        return out.removesuffix(self.models[2]) if last else out
 
     def join(self, left: list[int], right: list[int], last: bool) -> list[int]:
         """The encoding of the concatenation, from the encodings of both sides."""
@@ -241,6 +251,7 @@ def _encode_batches(path: str):
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        own.forget()
 
     return run
 

@@ -35,7 +35,7 @@ WINDOW = 20
 #: Rounds of renaming: each starts with pairs; those listed rename runs first.
 ROUNDS, RUN_ROUNDS = 3, (0, 2)
 #: Windows kept in a task before they are sent on.
-FLUSH = 1_500_000
+FLUSH = 500_000
 _FAR = 1 << 60
 
 
@@ -382,7 +382,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
     """(key, found): for each document with repeats, packed int32 starts of windows that start earlier elsewhere."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = 2 * n
     body, ident = F.col(text).cast("string"), F.col(doc_id).cast("long")
     src = docs.select(_key(ident, body).alias("key"), ident.alias("id"), body.alias("text"))
     def settled(sent: DataFrame, decide, kind) -> DataFrame:
@@ -390,10 +390,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
         decided = sent.repartition(n, "bucket").mapInArrow(decide, _REPLY_SQL)
         return decided.repartition(n, "bucket").mapInArrow(_per_document(kind), "key long, found binary")
 
-    shared = settled(src.mapInArrow(_anchor_batches(window, buckets), _SENT_SQL), _shared_anchors(buckets), np.uint64)
+    shared = settled(src.mapInArrow(_anchor_batches(window, buckets), _SENT_SQL), _shared_anchors(n), np.uint64)
     packed_ = src.select("text", "key", "id").mapInArrow(_packed_batches, "body binary, size long, key long, id long")
     doubted = packed_.join(shared, "key").select("key", "id", "body", "size", "found")
-    return settled(doubted.mapInArrow(_window_batches(window, buckets), _SENT_SQL), _repeats(buckets), np.int32)
+    return settled(doubted.mapInArrow(_window_batches(window, buckets), _SENT_SQL), _repeats(n), np.int32)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
