@@ -12,9 +12,12 @@ side*side tables of 2*rows rows each: square-root work compared with separate ba
    the hub; each other class is paired with it alone: no group is ever expanded into all its pairs.
 5. Pairs are verified on full shingle sets; verified links become components (minimum label).
 6. A bucket that holds classes apart from its hub's component goes on without that hub: its next most
-   central class is the hub, and pairs not in one component yet are verified again, `refinements` times
-   (a recall parameter like `side`).  These rounds use the 2*side tables (i, i) and (i, i+1) alone, which still meet a pair
-   of similarity 0.75 with probability above 0.999.
+   central class is the hub, and pairs not in one component yet are verified again (`hub_rounds` times).
+7. In buckets still open after these rounds, each class outside the bucket's largest component is verified
+   against the classes of other components (sizes must allow the similarity).  So every pair of classes
+   that meets in these tables ends in one component or is verified; nothing is capped.
+   Steps 6 and 7 use the 2*side tables (i, i) and (i, i+1) alone, which still meet a pair of similarity
+   0.75 with probability above 0.99999.
 
 Defined results: null or blank texts have size 0, link with nothing and are their own component; rows
 repeated with one id are copies of each other; null ids never link; extra columns are ignored.
@@ -37,9 +40,9 @@ from rxgrid.llm.common import U64, Words, mix, packed, slices, stored, text_byte
 class NearDup:
     width: int = 5
     percent: int = 75
-    side: int = 12
+    side: int = 16
     rows: int = 2
-    refinements: int = 3
+    hub_rounds: int = 2
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +164,20 @@ def _hub_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(hubs, "key").filter("a <> b").select("key", "a", "weight", "again", "b")
 
 
+def _outsider_pairs(keys: DataFrame, labels: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """keys(key, a, ...) -> pairs (a < b) of one bucket but different components, a or b outside its largest one."""
+    in_bucket = keys.select("key", F.col("a").alias("id")).join(labels, "id", "left").join(size, "id")
+    in_bucket = in_bucket.select("key", "id", "n_shingles", F.coalesce("label", "id").alias("label"))
+    parts = in_bucket.groupBy("key", "label").agg(F.count("*").alias("n"))
+    home = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("home"), F.count("*").alias("parts"))
+    home = home.filter("parts > 1").select("key", F.col("home.label").alias("home"))
+    member = stored(in_bucket.join(home, "key"))
+    outsider = member.filter("label <> home").select("key", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n_shingles").alias("nx"))
+    both = outsider.join(member, "key").filter("lx <> label AND (label = home OR x < id)")
+    both = both.filter(100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles"))
+    return both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
 def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Signatures of all documents, and (d1, d2, n_shingles, component_id) for every class."""
     sig = stored(signatures(docs, cfg, text, doc_id), "neardup-signatures")
@@ -204,7 +221,7 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
     labels = components(edges)
     tested = pairs
     left_over = hubbed.filter("again")
-    for _ in range(cfg.refinements):
+    for _ in range(cfg.hub_rounds):
 
         def apart(p: DataFrame, labels: DataFrame = labels) -> DataFrame:
             """Pairs that are not in one component yet."""
@@ -218,10 +235,14 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
         fresh = apart(left_over.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         fresh = stored(plausible(fresh))
         if fresh.isEmpty():
-            break
+            continue
         edges = stored(edges.union(verified(fresh, sets, cfg.percent)).distinct())
         tested = stored(tested.union(fresh))
         labels = components(edges)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(_outsider_pairs(left_over, labels, size, cfg.percent).join(known, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = components(stored(edges.union(verified(rest, sets, cfg.percent)).distinct()))
     out = classes.join(labels, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("component_id"))
     return sig, stored(out)
 
