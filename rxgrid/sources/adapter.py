@@ -238,10 +238,10 @@ SELECT concat('B', lpad(cast(o.o_custkey AS string), 8, '0')) AS bene_synth_id,
   CASE WHEN p.p_size % 7 = 0 THEN 1 ELSE 0 END AS has_step_therapy,
   CASE WHEN p.p_size % 3 = 0 THEN 1 ELSE 0 END AS has_quantity_limit,
   CASE WHEN l.l_partkey % 40 = 0 THEN 1 ELSE 0 END AS is_insulin,
-  sum(l.l_extendedprice) / 25.0 AS estimated_annual_drug_cost,
+  cast(sum(cast(l.l_extendedprice AS decimal(18,2))) AS double) / 175.0 AS estimated_annual_drug_cost,
   'orders' AS source_mode
 FROM {orders} o
-JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
 JOIN {part} p ON p.p_partkey = l.l_partkey
 GROUP BY o.o_custkey, l.l_partkey, p.p_name, p.p_type, p.p_brand, p.p_size
 """)
