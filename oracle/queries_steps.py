@@ -95,7 +95,7 @@ FROM (SELECT bene_synth_id, ndc, fills_per_year,
 
 register("I6_rule_labels", ["o_dim_plan", "pharmacy_network", "o_friendly"], """
 SELECT d.plan_key,
-  CASE WHEN coalesce(n.pref, 0.0) < 0.20 THEN 0 WHEN coalesce(n.pref, 0.0) < 0.60 THEN 1 ELSE 2 END AS network_adequacy_class,
+  CASE WHEN coalesce(n.pref, 0.0) < 0.20 OR coalesce(n.in_area, 0.0) < 0.60 THEN 1 ELSE 0 END AS network_adequacy_flag,
   CASE WHEN coalesce(f.insulin_exceeds_cap_any_flag, 0) = 1 OR coalesce(f.insulin_exceeds_cap_rate, 0.0) > 0.05 THEN 1 ELSE 0 END
     AS insulin_cap_violation_flag,
   CASE WHEN coalesce(f.insulin_restrictiveness_index, 0.0) > 20 OR coalesce(f.insulin_pa_rate, 0.0) > 0.20 THEN 1 ELSE 0 END
@@ -104,7 +104,8 @@ FROM o_dim_plan d
 LEFT JOIN (SELECT upper(trim(contract_id)) || lpad(upper(trim(CAST(plan_id AS varchar))), 3, '0')
              || lpad(upper(trim(CAST(segment_id AS varchar))), 3, '0') AS plan_key,
              avg(CASE WHEN upper(trim(preferred_status_retail)) = 'Y' THEN 1.0 WHEN upper(trim(preferred_status_retail)) = 'N'
-                      THEN 0.0 END) AS pref
+                      THEN 0.0 END) AS pref,
+             avg(CASE CAST(in_area_flag AS integer) WHEN 1 THEN 1.0 WHEN 0 THEN 0.0 END) AS in_area
            FROM pharmacy_network GROUP BY 1) n ON n.plan_key = d.plan_key
 LEFT JOIN o_friendly f ON f.plan_key = d.plan_key
 """)

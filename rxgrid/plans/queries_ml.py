@@ -92,7 +92,7 @@ def i5(ctx):
 
 @q("I6_rule_labels")
 def i6(ctx):
-    return _summary(ctx).select("plan_key", "network_adequacy_class", "insulin_cap_violation_flag", "insulin_access_risk_flag")
+    return _summary(ctx).select("plan_key", "network_adequacy_flag", "insulin_cap_violation_flag", "insulin_access_risk_flag")
 
 
 @q("I3_affordability_index")
@@ -102,7 +102,7 @@ def i3(ctx):
 
 @q("I7_suitability_classifier")
 def i7(ctx):
-    s = _summary(ctx).withColumn("label", F.col("network_adequacy_class").cast("double"))
+    s = ml.affordability_index(_summary(ctx)).withColumn("label", F.col("affordability_class").cast("double"))
     num = ["premium", "deductible", "pref_avg_copay_amt", "ded_applies_rate", "avg_unit_cost", "insulin_risk_flag"]
     _, pred, f1, acc = ml.suitability_classifier(s, "label", num, ["contract_id"])
     return pred.agg(F.count(F.lit(1)).alias("test_rows")).select(
