@@ -8,9 +8,9 @@
    each; nested classes follow from the paths themselves.  The members are the host's template.
 3. The template's slots are what remains between its tokens.  Slots of page furniture (navigation,
    headers, footers, asides, forms, adverts, notices, comments by name, class or id) are dropped; the main
-   slot is the deepest template path that still holds 60% of the host's remaining text.
+   slot is the deepest template path that leaves out no remaining text of any page it is on.
 4. Extraction reads each page again and joins the blocks inside the main slot.  A page without it, or of a
-   host without a template, gives its article or main element, or else its body, without furniture.
+   host without a template, gives its outermost article and main elements, or else its body, without furniture.
 
 Hosts meet only as sums, so a host with a third of all pages costs one row a task.
 
@@ -105,10 +105,10 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             yield "break", "", hidden
 
 
-def slots(page: str) -> dict[str, tuple[int, int, bool]]:
-    """Per container path: occurrences, characters of text below it outside furniture, furniture."""
-    found: dict[str, list] = {}
-    open_: list[str] = []
+def slots(page: str) -> dict[str, tuple[int, int, int, bool]]:
+    """Per container path ('': the page): occurrences, characters of text below it and beside it outside furniture, furniture."""
+    found: dict[str, list] = {"": [1, 0, False]}
+    open_ = [""]
     for kind, value, hidden in events(page):
         if kind == "open":
             own = found.setdefault(value, [0, 0, hidden])
@@ -120,11 +120,12 @@ def slots(page: str) -> dict[str, tuple[int, int, bool]]:
             n = len(value.strip())
             for path in open_:
                 found[path][1] += n
-    return {p: tuple(x) for p, x in found.items()}
+    total = found[""][1]
+    return {p: (n, chars, total - chars, furniture) for p, (n, chars, furniture) in found.items()}
 
 
-def blocks(page: str, main: str | None) -> str | None:
-    """Text of the blocks below the path `main` (None: anywhere), outside furniture; null if there is no such path."""
+def blocks(page: str, main: frozenset[str] | None) -> str | None:
+    """Text of the blocks below the paths `main` (None: anywhere), outside furniture; null if there is no such path."""
     out: list[str] = []
     own: list[str] = []
     inside, seen = 0, main is None
@@ -142,7 +143,7 @@ def blocks(page: str, main: str | None) -> str | None:
                 own.append(value)
             continue
         flush()
-        if main is not None and value == main:
+        if main is not None and value in main:
             if kind == "open":
                 seen, inside = True, inside + 1
             elif kind == "close":
@@ -152,13 +153,13 @@ def blocks(page: str, main: str | None) -> str | None:
 
 
 def main_text(page: str, main: str | None) -> str:
-    """The main slot's text; without the slot, an article or main element's, else the whole body's."""
+    """The main slot's text; without the slot, the outermost article and main elements', else the whole body's."""
     if main is not None:
-        text = blocks(page, main)
+        text = blocks(page, frozenset([main]))
         if text is not None:
             return text
-    own = [p for p, x in slots(page).items() if not x[2] and re.match(r"(article|main)\b", p.rpartition("/")[2])]
-    return blocks(page, min(own, key=lambda p: (p.count("/"), p)) if own else None) or ""
+    own = [p for p, x in slots(page).items() if not x[3] and re.match(r"(article|main)\b", p.rpartition("/")[2])]
+    return blocks(page, frozenset(own) or None) or ""
 
 
 def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,21 +167,22 @@ def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush() -> pa.RecordBatch:
         rows = [(h, p, *x) for (h, p), x in sums.items()]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "pages", "occurrences", "digest", "chars", "furniture"]
+            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "pages", "occurrences", "digest", "chars", "left_out", "furniture"]
         )
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             key = xxhash.xxh64_intdigest((page or "").encode()) % _PRIME
-            for path, (n, chars, furniture) in {"": (1, 0, False), **slots(page or "")}.items():
-                own = sums.setdefault((host, path), [0, 0, 0, 0, furniture])
+            for path, (n, chars, left_out, furniture) in slots(page or "").items():
+                own = sums.setdefault((host, path), [0, 0, 0, 0, 0, furniture])
                 own[0] += 1
                 own[1] += n
                 own[2] = (own[2] + key * n) % _PRIME
                 own[3] += chars
+                own[4] += left_out
         if len(sums) > 100_000:
             yield flush()
             sums.clear()
@@ -190,21 +192,20 @@ def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, n_tokens): each host's main slot and the size of its template, from pages(host, html)."""
     parts_ = pages.select("host", "html").mapInArrow(
-        _slot_batches, "host string, path string, pages long, occurrences long, digest long, chars long, furniture boolean"
+        _slot_batches, "host string, path string, pages long, occurrences long, digest long, chars long, left_out long, furniture boolean"
     )
     digest = F.pmod(F.sum(F.col("digest").cast("decimal(38,0)")), F.lit(_PRIME).cast("decimal(38,0)")).cast("long")
     tokens = parts_.groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), digest.alias("digest"),
-        F.sum("chars").alias("chars"), F.first("furniture").alias("furniture"),
+        F.sum("chars").alias("chars"), F.sum("left_out").alias("left_out"), F.first("furniture").alias("furniture"),
     )
     tokens = stored(tokens, "html-tokens")
     size = tokens.filter("path = ''").select("host", F.col("pages").alias("host_pages"))
     classes = tokens.filter("path <> ''").groupBy("host", "digest", "pages", "occurrences").agg(F.count("*").alias("members"))
     valid = classes.join(size, "host").filter("members >= 2 AND occurrences = pages AND 2 * pages >= host_pages")
     template = tokens.join(valid.select("host", "digest", "pages", "occurrences"), ["host", "digest", "pages", "occurrences"], "left_semi")
-    slot = template.filter("NOT furniture AND path <> '' AND chars > 0").select("host", "path", "chars", F.size(F.split("path", "/")).alias("depth"))
-    most = slot.groupBy("host").agg(F.max("chars").alias("most"))
-    main = slot.join(most, "host").filter("10 * chars >= 6 * most").groupBy("host").agg(F.max(F.struct("depth", "chars", "path")).alias("x"))
+    slot = template.filter("NOT furniture AND path <> '' AND chars > 0").select("host", "path", "chars", "left_out", F.size(F.split("path", "/")).alias("depth"))
+    main = slot.filter("left_out = 0").groupBy("host").agg(F.max(F.struct("depth", "chars", "path")).alias("x"))
     n_tokens = template.filter("path <> ''").groupBy("host").agg(F.count("*").alias("n_tokens"))
     return main.select("host", F.col("x.path").alias("main")).join(n_tokens, "host")
 

@@ -227,6 +227,16 @@ def test_html_main_text(spark, none):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_main_slot_keeps_the_whole_article(spark):
+    page = "<html><body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body>{1}</div></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, f"long{i} " * 20)) for i in range(6)]
+    rows += [(6, "http://a.example/6", page.format(6, "short"))]
+    rows += [(7, "http://b.example/", "<html><body><p>x</p><article id=a>One</article><article id=b>Two</article></body></html>")]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"Title {i} Lead {i} " + " ".join([f"long{i}"] * 20) for i in range(6))
+    assert text[6] == "Title 6 Lead 6 short" and html.main_text(rows[7][2], None) == "One Two"
+
+
 def test_url_filter(spark):
     rows = [
         (1, "HTTP://Example.COM/en/x?q=1"), (2, "https://www.example.com/en/1"), (3, "http://a.net/es/1"), (4, "http://a.net/de/1"), (5, None), (6, "nothing"),
