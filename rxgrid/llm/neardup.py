@@ -15,9 +15,9 @@ side*side tables of 2*rows rows each: square-root work compared with separate ba
    central class is the hub, and pairs not in one component yet are verified again (`hub_rounds` times).
 7. In buckets still open after these rounds, each class outside the bucket's largest component is verified
    against the classes of other components (sizes must allow the similarity).  So every pair of classes
-   that meets in these tables ends in one component or is verified; nothing is capped.
-   Steps 6 and 7 use the 2*side tables (i, i) and (i, i+1) alone, which still meet a pair of similarity
-   0.75 with probability above 0.99999.
+   that meets in a table ends in one component or is verified; nothing is capped.
+   A pair of similarity s shares no table with probability 2q - q^2, q = (1 - s^rows)^side, which is
+   `miss`: 3.6e-6 at 0.75.
 
 Defined results: null or blank texts have size 0, link with nothing and are their own component; rows
 repeated with one id are copies of each other; null ids never link; extra columns are ignored.
@@ -45,6 +45,12 @@ class NearDup:
     hub_rounds: int = 2
 
 
+def miss(cfg: NearDup, similarity: float) -> float:
+    """Probability that a pair shares no half on one of the sides, so meets in no table."""
+    q = (1 - similarity**cfg.rows) ** cfg.side
+    return 2 * q - q * q
+
+
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, and their offsets."""
     words = Words(texts, lower=True)
@@ -158,10 +164,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(keys: DataFrame) -> DataFrame:
-    """keys(key, a, weight, again) -> the same with b: the hub of the bucket, for each other class in it."""
+    """keys(key, a, weight) -> the same with b: the hub of the bucket, for each other class in it."""
     hubs = keys.groupBy("key").agg(F.max(F.struct("weight", (-F.col("a")).alias("neg"))).alias("hub"), F.count("*").alias("n"))
     hubs = stored(hubs.filter("n > 1").select("key", (-F.col("hub.neg")).alias("b")))
-    return keys.join(hubs, "key").filter("a <> b").select("key", "a", "weight", "again", "b")
+    return keys.join(hubs, "key").filter("a <> b").select("key", "a", "weight", "b")
 
 
 def _outsider_pairs(keys: DataFrame, labels: DataFrame, size: DataFrame, percent: int) -> DataFrame:
@@ -194,12 +200,11 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
     )
     left, right = F.filter("live", lambda x: x["slot"] < cfg.side), F.filter("live", lambda x: x["slot"] >= cfg.side)
     live = stored(live.filter((F.size(left) > 0) & (F.size(right) > 0)))
-    again = F.pmod(F.col("r.slot") - F.col("l.slot"), F.lit(cfg.side)) < 2
     keys = stored(
         live.select(F.col("id").alias("a"), "weight", left.alias("l"), right.alias("r"))
         .select("a", "weight", F.explode("l").alias("l"), "r")
         .select("a", "weight", "l", F.explode("r").alias("r"))
-        .select(F.xxhash64("l.slot", "l.half", "r.slot", "r.half").alias("key"), "a", "weight", again.alias("again"))
+        .select(F.xxhash64("l.slot", "l.half", "r.slot", "r.half").alias("key"), "a", "weight")
     )
     hubbed = stored(_hub_pairs(keys))
     pairs = hubbed.select("a", "b").distinct()
@@ -213,14 +218,14 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
 
     pairs = stored(plausible(pairs))
     members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    members = stored(members.union(hubbed.filter("again").select("a")).distinct())
+    members = stored(members.union(hubbed.select("a")).distinct())
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     # an id may repeat with other texts: only the text with the class's own digest counts, below
     sets = stored(src.join(members, "id", "left_semi").mapInArrow(_set_batches(cfg.width), "id long, shingles binary"), "neardup-sets")
     edges = stored(verified(pairs, sets, cfg.percent).distinct())
     labels = components(edges)
     tested = pairs
-    left_over = hubbed.filter("again")
+    left_over = hubbed
     for _ in range(cfg.hub_rounds):
 
         def apart(p: DataFrame, labels: DataFrame = labels) -> DataFrame:

@@ -227,6 +227,19 @@ def test_html_main_text(spark, none):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_near_duplicates_of_every_table(spark):
+    """Documents 1 and 2 are linked and meet in table (0, 3) alone, whose hub 0 is linked to neither."""
+    rng = np.random.default_rng(451)
+    rows = []
+    for i, at in enumerate((rng.choice(np.arange(5, 75, 10), 3, replace=False), (), rng.choice(np.arange(10, 75, 10), 2, replace=False))):
+        rows.append((i, " ".join(f"new{k}y{len(at)}" if k in at else f"w451x{k}" for k in range(80))))
+    want = brute_components(rows)
+    assert want == {0: 0, 1: 1, 2: 1}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDup(side=4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert neardup.miss(neardup.NearDup(), 0.75) < 1e-5
+
+
 def test_html_main_slot_keeps_the_whole_article(spark):
     page = "<html><body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body>{1}</div></article></body></html>"
     rows = [(i, f"http://a.example/{i}", page.format(i, f"long{i} " * 20)) for i in range(6)]
