@@ -1,17 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted arrays, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney model of order 3 or 2: counted in Spark, stored as sorted arrays, memory-mapped by workers.
 
-Training (two passes over the training texts, then one merge):
+Training (two passes over the training texts, then a merge for each lower order):
 1. words: tasks count their words' 64-bit hashes and send sorted (hash, count) columns by hash range;
    each range becomes one sorted file, a word's id is its rank over all ranges;
-2. bigrams: keys (id of context << 32 | id of word) are counted by tasks and sent by range of the
+2. order 3: trigrams (id of context << 32 | id of context, id of word) are counted by tasks and sent by hash of
+   the middle word; a frequent one is spread by the context pair's hash, and a pair of two frequent words by
+   the trigram's; each bucket (`fine` of them, so that one is small in memory) becomes one file of counts sorted by 64-bit hash, and tells for each bigram in how many contexts it occurs (its count
+   at order 2; a bigram that begins a text keeps its plain count) and its total and followers as a context;
+   order 2: keys (id of context << 32 | id of word) are counted by tasks and sent by range of the
    context; contexts so frequent that a range would grow large are spread by the key's hash instead;
    each bucket becomes one sorted file of keys and counts;
 3. per id: how many followers it has with count 1, 2 and 3+, and in how many contexts it occurs.
 The driver sees only a few numbers for each bucket.  Nothing is pruned: the model grows with the corpus.
 
 Scoring maps the files (a folder that is not local is copied once per worker) and needs no shuffle.
-Every text starts in its own context and closes with one end token.  Words never met have the share
-1/(V+1) of the lowest order.  Discounts come from counts of counts at both orders.
+Every text starts in its own context (its first token has no longer one) and closes with one end token.  Words never met have the share
+1/(V+1) of the lowest order.  Discounts come from counts of counts at every order.
 
 Defined results: null and empty texts are one end token; a null id counts as training text; repeated
 rows count repeatedly; without training texts all scores are log10 of a uniform guess over the end
@@ -52,11 +56,18 @@ class Model:
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     types: int = 0  # distinct bigrams
     low_backoff: float = 0.0
+    order: int = 2
+    top_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of trigrams
 
     @property
     def n_words(self) -> int:
         return self.offsets[-1]
 
+    @property
+    def fine(self) -> int:
+        """Buckets of trigrams and, at order 3, of bigrams."""
+        return self.buckets * max(1, min(16, 4096 // self.buckets)) if self.order == 3 else self.buckets
+
     @property
     def end(self) -> int:
         return self.n_words
@@ -218,8 +229,8 @@ def _key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _bigram_bucket(key: np.ndarray, model: Model) -> np.ndarray:
     context = (key >> U64(32)).astype(np.int64)
-    by_range = context * model.buckets // (model.begin + 1)
-    spread = (mix(key) % U64(model.buckets)).astype(np.int64)
+    by_range = context * model.fine // (model.begin + 1)
+    spread = (mix(key) % U64(model.fine)).astype(np.int64)
     return np.where(np.isin(context, np.array(model.hot, np.int64)), spread, by_range)
 
 
@@ -253,6 +264,139 @@ def _bigram_files(model: Model):
     return run
 
 
+# trigrams
+
+
+def _trigram_hash(pair: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(pair) + token.astype(np.uint64))
+
+
+def _pairs(context: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The token before the context; -1 at the start of a text, whose context has no token before it."""
+    before = np.concatenate([[-1], context[:-1]])
+    before[off[:-1]] = -1
+    return before
+
+
+def _trigram_bucket(pair: np.ndarray, h: np.ndarray, model: Model) -> np.ndarray:
+    hot = np.array(model.hot, np.int64)
+    middle = pair & U64(0xFFFFFFFF)
+    by_pair = np.where(np.isin((pair >> U64(32)).astype(np.int64), hot), mix(h), mix(pair))
+    return (np.where(np.isin(middle.astype(np.int64), hot), by_pair, mix(middle)) % U64(model.fine)).astype(np.int64)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of the rows of `values`."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
+
+
+def _trigram_batches(model: Model):
+    """Tasks count trigrams and send (pair) and (token, count) columns by bucket."""
+
+    def counted(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = _trigram_hash(pair, token)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        at = order[first]
+        return pair[at], token[at], np.add.reduceat(n[order], first).astype(np.uint32) if len(first) else n
+
+    def rows(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = _trigram_bucket(pair, _trigram_hash(pair, token), model)
+        return _rows_by(bucket, pair, np.stack([token, n], 1), model.fine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for lo, hi in slices(texts):
+                words = Words(texts[lo:hi], lower=True)
+                context, token, off = _sequences(words, _ids(words.hashes, model)[0], model)
+                before = _pairs(context, off)
+                before[before < 0] = model.begin  # two begins: the first token of a text
+                own.append(counted(_key(before, context), token.astype(np.uint32), np.ones(len(token), np.uint32)))
+                size += len(own[-1][0])
+                if size > FLUSH // 2:
+                    own = [counted(*[np.concatenate(x) for x in zip(*own, strict=True)])]
+                    size = len(own[0][0])
+                    if size > FLUSH // 4:
+                        yield rows(*own[0])
+                        own, size = [], 0
+        if own:
+            yield rows(*counted(*[np.concatenate(x) for x in zip(*own, strict=True)]))
+
+    return run
+
+
+def _trigram_files(model: Model):
+    """Writes each bucket; sends, by bigram bucket, bigrams with (contexts) or (total, followers with count 1, 2, 3+)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = found.setdefault(k, ([], []))
+                own[0].append(np.frombuffer(a, np.uint64))
+                own[1].append(np.frombuffer(b, np.uint32).reshape(-1, 2))
+        tally = np.zeros(4, np.int64)
+        for bucket in list(found):
+            pairs, more = found.pop(bucket)
+            pair, more = np.concatenate(pairs), np.concatenate(more)
+            h = _trigram_hash(pair, more[:, 0])
+            order = np.argsort(h, kind="stable")
+            h, pair, more = h[order], pair[order], more[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.add.reduceat(more[:, 1].astype(np.int64), first)
+            h, pair, token = h[first], pair[first], more[first, 0]
+            del order, more
+            start = pair == _key(np.array(model.begin), np.array(model.begin))
+            _write(model.folder, f"trigrams-{bucket}", h[~start])
+            _write(model.folder, f"trigram-counts-{bucket}", n[~start].astype(np.uint32))
+            tally += [int((n[~start] == c).sum()) for c in (1, 2, 3, 4)]
+            low = _sums((pair & U64(0xFFFFFFFF)) << U64(32) | token.astype(np.uint64), np.where(start, n, 1))
+            as_context = np.stack([n, n == 1, n == 2, n >= 3], 1)[~start]
+            high = _sums(pair[~start], as_context)
+            for key, value in (low, high):
+                if len(key):
+                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(tally)]), pa.array([b""])], schema=_ROW)
+
+    return run
+
+
+def _middle_files(model: Model):
+    """Writes each bucket's bigrams; sends, per id range, (id, kind) columns: kind 1, 2, 3 followers by count, 4 contexts, 5 total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found.setdefault(k, []).append((a, b))
+        tally = np.zeros(5, np.int64)
+        for bucket in list(found):
+            keys, values = [], []
+            for a, b in found.pop(bucket):
+                keys.append(np.frombuffer(a, np.uint64))
+                own = np.frombuffer(b, np.uint32).astype(np.int64).reshape(len(keys[-1]), -1)
+                values.append(np.pad(own, ((0, 0), (0, 4) if own.shape[1] == 1 else (1, 0))))
+            k, v = _sums(np.concatenate(keys), np.concatenate(values))
+            _write(model.folder, f"bigrams-{bucket}", k)
+            _write(model.folder, f"bigram-values-{bucket}", v.astype(np.uint32))
+            n = v[:, 0]
+            tally += [len(n), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
+            context, token = k >> U64(32) << U64(3), (k & U64(0xFFFFFFFF)) << U64(3)
+            code = np.concatenate([context | np.minimum(n, 3).astype(np.uint64), token | U64(4), context | U64(5)])
+            u, c = _sums(code, np.concatenate([np.ones(2 * len(n), np.int64), n]))
+            yield _rows_by(_range_of(u >> U64(3), model), u, c.astype(np.uint32), model.buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(tally)]), pa.array([b""])], schema=_ROW)
+
+    return run
+
+
 def _id_files(model: Model):
     schema = pa.schema([("tally", pa.list_(pa.int64()))])
 
@@ -260,7 +404,7 @@ def _id_files(model: Model):
         for bucket, (keys, counts) in _merged(batches).items():
             k, n = _sorted_counts(keys, counts)
             lo, hi = _range_start(bucket, model), _range_start(bucket + 1, model)
-            dense = np.zeros((hi - lo, 4), np.uint32)
+            dense = np.zeros((hi - lo, 5), np.uint64)
             dense[(k >> U64(3)).astype(np.int64) - lo, (k & U64(7)).astype(np.int64) - 1] = n
             _write(model.folder, f"ids-{bucket}", dense)
             contexts = dense[:, 3]
@@ -280,8 +424,10 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return min(max(d1, 0.05), 1.0), min(max(d2, 0.05), 2.0), min(max(d3, 0.05), 3.0)
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
-    """Counts a model from the texts of a table."""
+def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """Counts a model of order 2 or 3 from the texts of a table."""
+    if order not in (2, 3):
+        raise ValueError("order 2 or 3")
     spark = texts.sparkSession
     n = partitions(spark)
     folder = new_folder(spark, "lm")
@@ -298,50 +444,69 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     n_tokens = sum(r.total for r in words) + n_texts
     limit = n_tokens / (8 * n)
     hot = [offsets[r.bucket] + i for r in words for i, c in zip(r.top[::2], r.top[1::2], strict=True) if c > limit]
-    model = Model(folder, n, offsets, (*sorted(hot), offsets[-1] + 1), n_texts, n_tokens)
+    model = Model(folder, n, offsets, (*sorted(hot), offsets[-1] + 1), n_texts, n_tokens, order=order)
 
     def keys(words: Words) -> np.ndarray:
         context, token, _ = _sequences(words, _ids(words.hashes, model)[0], model)
         return _key(context, token)
 
-    sent = src.mapInArrow(_counted(keys, lambda k: _bigram_bucket(k, model), n), _ROW_SQL)
-    told = stored(sent.repartition(n, "bucket").mapInArrow(_bigram_files(model), _ROW_SQL), "lm-followers")
+    top = [0] * 4
+    if order == 3:
+        sent = src.mapInArrow(_trigram_batches(model), _ROW_SQL)
+        told = stored(sent.repartition(n, "bucket").mapInArrow(_trigram_files(model), _ROW_SQL), "lm-bigrams")
+        totals = [np.frombuffer(r.a, np.int64) for r in told.filter("bucket < 0").collect()]
+        top = np.sum(totals, axis=0).tolist() if totals else top
+        sent, files = told.filter("bucket >= 0"), _middle_files(model)
+    else:
+        sent, files = src.mapInArrow(_counted(keys, lambda k: _bigram_bucket(k, model), n), _ROW_SQL), _bigram_files(model)
+    told = stored(sent.repartition(n, "bucket").mapInArrow(files, _ROW_SQL), "lm-followers")
     totals = [np.frombuffer(r.a, np.int64) for r in told.filter("bucket < 0").collect()]
     types, *tally = np.sum(totals, axis=0).tolist() if totals else [0] * 5
     parts = told.filter("bucket >= 0").repartition(n, "bucket").mapInArrow(_id_files(model), "tally array<long>").collect()
     low = np.sum([r.tally for r in parts], axis=0).tolist() if parts else [0] * 5
     low_d = _discounts(*low[:4])
     backoff = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * low[4]) / types if types else 1.0
-    return Model(folder, n, offsets, model.hot, n_texts, n_tokens, _discounts(*tally), low_d, types, backoff)
+    return Model(folder, n, offsets, model.hot, n_texts, n_tokens, _discounts(*tally), low_d, types, backoff, order, _discounts(*top))
 
 
 def _by_id(ids: np.ndarray, model: Model) -> np.ndarray:
-    """(followers with count 1, 2, 3+, contexts) of ids; zeros for -1."""
+    """(followers with count 1, 2, 3+, contexts, total at order 2 of a model of order 3) of ids; zeros for -1."""
     u, back = np.unique(ids, return_inverse=True)
-    out = np.zeros((len(u), 4), np.int64)
+    out = np.zeros((len(u), 5), np.int64)
     bucket = np.where(u >= 0, _range_of(u, model), -1)
     for b in np.unique(bucket[bucket >= 0]).tolist():
-        dense = _mapped(model.folder, f"ids-{b}", np.uint32).reshape(-1, 4)
+        dense = _mapped(model.folder, f"ids-{b}", np.uint64).reshape(-1, 5)
         if len(dense):
             here = np.flatnonzero(bucket == b)
             out[here] = dense[u[here] - _range_start(b, model)]
     return out[back]
 
 
-def _bigram_counts(key: np.ndarray, model: Model) -> np.ndarray:
-    u, back = np.unique(key, return_inverse=True)
-    out = np.zeros(len(u), np.int64)
-    bucket = _bigram_bucket(u, model)
+def _found(key: np.ndarray, bucket: np.ndarray, model: Model, names: tuple[str, str], width: int) -> np.ndarray:
+    """Rows of `width` values of keys in the files `names` of their buckets; zeros where a key is not there."""
+    out = np.zeros((len(key), width), np.int64)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(model.buckets + 1))
+    edges = np.searchsorted(bucket[order], np.arange(model.fine + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        keys = _mapped(model.folder, f"bigrams-{b}", np.uint64)
+        keys = _mapped(model.folder, f"{names[0]}-{b}", np.uint64)
         if len(keys):
             here = order[edges[b] : edges[b + 1]]
-            at = np.minimum(np.searchsorted(keys, u[here]), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == u[here])
-            out[here[hit]] = _mapped(model.folder, f"bigram-counts-{b}", np.uint32)[at[hit]]
-    return out[back]
+            at = np.minimum(np.searchsorted(keys, key[here]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key[here])
+            out[here[hit]] = _mapped(model.folder, f"{names[1]}-{b}", np.uint32).reshape(-1, width)[at[hit]]
+    return out
+
+
+def _bigram_values(key: np.ndarray, model: Model) -> np.ndarray:
+    """Counts of bigrams; for order 3 with (total, followers with count 1, 2, 3+) as a context."""
+    u, back = np.unique(key, return_inverse=True)
+    names, width = (("bigrams", "bigram-values"), 5) if model.order == 3 else (("bigrams", "bigram-counts"), 1)
+    return _found(u, _bigram_bucket(u, model), model, names, width)[back]
+
+
+def _trigram_counts(pair: np.ndarray, token: np.ndarray, model: Model) -> np.ndarray:
+    h, first, back = np.unique(_trigram_hash(pair, token), return_index=True, return_inverse=True)
+    return _found(h, _trigram_bucket(pair[first], h, model), model, ("trigrams", "trigram-counts"), 1)[back, 0]
 
 
 def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -362,10 +527,22 @@ def log10_probabilities(words: Words, model: Model) -> tuple[np.ndarray, np.ndar
     seen[off[:-1]] = model.n_texts
     both = (context >= 0) & (token >= 0)
     c = np.zeros(len(token), np.int64)
-    c[both] = _bigram_counts(_key(context[both], token[both]), model)
+    c[both] = _bigram_values(_key(context[both], token[both]), model)[:, 0]
+    if model.order == 3:
+        seen = np.where(context == model.begin, model.n_texts, followers[:, 4])
     known = seen > 0
     back = followers[:, :3] @ np.array(model.discounts)
     p[known] = (_discounted(c, model.discounts)[known] + back[known] * p[known]) / seen[known]
+    if model.order == 3:
+        before = _pairs(context, off)
+        pairs = np.flatnonzero((before >= 0) & (context >= 0))
+        pair = _key(before[pairs], context[pairs])
+        value = _bigram_values(pair, model)
+        pairs, pair, value = pairs[value[:, 1] > 0], pair[value[:, 1] > 0], value[value[:, 1] > 0]
+        c = np.zeros(len(pairs), np.int64)
+        met = token[pairs] >= 0
+        c[met] = _trigram_counts(pair[met], token[pairs[met]], model)
+        p[pairs] = (_discounted(c, model.top_discounts) + value[:, 2:] @ np.array(model.top_discounts) * p[pairs]) / value[:, 1]
     return np.log10(p), count, off
 
 
@@ -396,6 +573,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
-    model = train(docs.filter(~F.coalesce(held_out, F.lit(False))))
+def train_and_score(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
+    model = train(docs.filter(~F.coalesce(held_out, F.lit(False))), order=order)
     return score(docs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

@@ -208,6 +208,48 @@ def test_kneser_ney(spark, sample, odd, none):
     assert lm.score(odd, lm.train(none)).count() == odd.count()
 
 
+def brute_kneser_ney(texts, order):
+    """log10 p of every token of every text, by counts in dictionaries."""
+    seqs = [["<s>", *words(t, True), "</s>"] for t in texts]
+    grams = {k: collections.Counter(tuple(q[i - k + 1 : i + 1]) for q in seqs for i in range(k - 1, len(q))) for k in range(2, order + 1)}
+    grams[1] = None
+    for k in range(order - 1, 0, -1):
+        left = collections.Counter(g[1:] for g in grams[k + 1])
+        if k > 1:
+            left.update({g: n for g, n in grams[k].items() if g[0] == "<s>"})
+        grams[k] = left
+    cut = {}
+    for k, own in grams.items():
+        n = collections.Counter(own.values())
+        cut[k] = (0.0, *lm._discounts(n[1], n[2], n[3], n[4]))
+    by = {k: collections.defaultdict(list) for k in grams}
+    for k, own in grams.items():
+        for g, n in own.items():
+            by[k][g[:-1]].append(n)
+    size = len(grams[1])
+
+    def p(h, w):
+        k = len(h) + 1
+        low = p(h[1:], w) if h else 1 / (size + 1)
+        near = by[k].get(h)
+        if not near:
+            return low
+        n = grams[k].get((*h, w), 0)
+        return (n - cut[k][min(n, 3)] + sum(cut[k][min(x, 3)] for x in near) * low) / sum(near)
+
+    return [sum(np.log10(p(tuple(q[max(0, i - order + 1) : i]), q[i])) for i in range(1, len(q))) for q in seqs]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_orders(spark, order):
+    rng = np.random.default_rng(order)
+    texts = ["", "a", *[" ".join("abcdef"[int(x)] for x in rng.integers(0, 6, int(rng.integers(1, 30)))) for _ in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, order=order)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_kneser_ney(texts, order))
+    assert lm.train(docs.limit(0)).order == 3
+
+
 PAGE = (
     '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="#">Home {0}</a></nav><div class="cookie-notice">We use</div>'
     "<div id='c{0}'><article><h1>Head {0}</h1><p>One &amp;  two<br>three <b>bo</b>ld {0}<p>Four</article></div><div class=comments><p>Nice {0}</div>"
