@@ -289,7 +289,20 @@ def test_html_main_slot_keeps_the_whole_article(spark):
     rows += [(7, "http://b.example/", "<html><body><p>x</p><article id=a>One</article><article id=b>Two</article></body></html>")]
     text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(text[i] == f"Title {i} Lead {i} " + " ".join([f"long{i}"] * 20) for i in range(6))
-    assert text[6] == "Title 6 Lead 6 short" and html.main_text(rows[7][2], None) == "One Two"
+    assert text[6] == "Title 6 Lead 6 short" and html.main_text(rows[7][2], frozenset(), frozenset())[0] == "One Two"
+
+
+def test_html_template_text_and_marks_of_every_element(spark):
+    page = (
+        "<html><body><ol class=breadcrumb><li>Up<li>{0}</ol><article><h1 class=header>Title {0}</h1><p class=advert>Buy {0}<p>Own {0} "
+        + "text{0} " * 20 + "<p>Share this story<ul class=comments><li>Nice {0}</ul><table class=sidebar><tr><td>Side {0}</table></article></body></html>"
+    )
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)] + [(6, "http://a.example/x", "<html><body><p>No article</body></html>")]
+    rows += [(7 + i, f"http://b.example/{i}", f"<html><body><p>One copy of a text<p>{i}</body></html>") for i in range(4)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"Title {i} Own {i} " + " ".join([f"text{i}"] * 20) for i in range(6))
+    assert all(got[i].main_slot == "html/body/article" for i in range(6)) and got[6].text == "No article"
+    assert all(got[7 + i].text == f"One copy of a text {i}" for i in range(4))
 
 
 def test_url_filter(spark):
