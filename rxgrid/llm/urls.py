@@ -5,7 +5,8 @@ default is weak supervision: 1 where a word of the host is in a short list of se
 rules are policy and no labels: learning from them would only repeat their suffixes.  Features: length, host length, depth, digit ratio,
 character entropy, hyphens, subdomains, parameters, and statistics of the host's last label and of its
 last two over all labelled URLs of the table (smoothed share blocked, number).  Trees are
-trained by Spark ML on at most `fit_rows` labelled URLs, chosen by hash.
+trained by Spark ML on at most `fit_rows` labelled URLs, chosen by hash: of the rarer label up to half of them, of the
+other up to the rest, each weighted back to its number in the table.
 
 Defined results: a null URL or one without `://` has empty host and path; where there is nothing to
 learn from (no labelled URL, or one label only) that label's verdict, or `allow`, is given; ties between rules
@@ -119,17 +120,20 @@ def judge(
     rows = lexical(judged_by_rules(parts(src), rules)).withColumn("label", (weak_label() if label is None else label).cast("double"))
     rows = stored(_with_suffix_statistics(rows, cfg), "urls")
     labelled = rows.filter("label IS NOT NULL")
-    kinds = [r.label for r in labelled.select("label").distinct().limit(2).collect()]
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     out = ["page_id", "host", "path", "rule"]
-    if len(kinds) < 2:
-        verdict = "block" if kinds == [1.0] else "allow"
+    if len(counts) < 2:
+        verdict = "block" if list(counts) == [1.0] else "allow"
         return rows.select(*out, F.coalesce("rule_verdict", F.lit(verdict)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    sample = labelled.orderBy(F.xxhash64("url", "page_id")).limit(cfg.fit_rows)
+    rare = min(counts, key=lambda y: (counts[y], y))
+    taken = {rare: min(counts[rare], cfg.fit_rows // 2)}
+    taken |= {y: min(n, cfg.fit_rows - taken[rare]) for y, n in counts.items() if y != rare}
+    drawn = [
+        labelled.filter(F.col("label") == y).orderBy(F.xxhash64("url", "page_id")).limit(k).withColumn("weight", F.lit(counts[y] / k)) for y, k in taken.items()
+    ]
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = stored(sample.select(*FEATURES, "label"), "url-sample")
-    if train.select("label").distinct().count() < 2:  # the rarer label is outside the sample
-        return rows.select(*out, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    model = GBTClassifier(maxIter=cfg.trees, maxDepth=cfg.depth, seed=2).fit(assemble.transform(train))
+    train = stored(drawn[0].union(drawn[1]).select(*FEATURES, "label", "weight"), "url-sample")
+    model = GBTClassifier(maxIter=cfg.trees, maxDepth=cfg.depth, seed=2, weightCol="weight").fit(assemble.transform(train))
     scored = model.transform(assemble.transform(rows)).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(*out, verdict.alias("verdict"), "block_score")

@@ -323,6 +323,13 @@ def test_url_filter(spark):
     assert spam.filter("(verdict = 'block') <> (host = 'cheap-pills.org')").count() == 0
 
 
+def test_url_filter_fits_a_rare_label(spark):
+    rows = [(i, f"http://weather{i}.org/") for i in range(400)] + [(400 + i, f"http://cheap-pills-{i}{i}{i}.biz/") for i in range(2)]
+    label = F.when(F.col("host").contains("pills"), 1).otherwise(0)
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.UrlFilter(fit_rows=20), rules=(), label=label).collect()
+    assert all((r.verdict == "block") == (r.page_id >= 400) and r.block_score is not None for r in got)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
