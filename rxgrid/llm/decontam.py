@@ -14,8 +14,8 @@ Items are processed in blocks of at most `item_block` rows, each with one pass o
 what is broadcast has a fixed bound however large the benchmark is.
 
 Defined results: null or blank documents and items match nothing; an item under `width` words is one
-shingle of its own length and is searched exactly among the documents' windows of that length; repeated
-items match separately; extra columns are ignored (`decontaminate` keeps those of the documents).
+shingle of its own length and is searched exactly among the documents' windows of that length; an item of
+fewer than `BLOCK` shingles is searched exactly by each of its shingles; repeated items match separately; extra columns are ignored (`decontaminate` keeps those of the documents).
 """
 
 from __future__ import annotations
@@ -57,14 +57,18 @@ class _Index:
         h, off = windows_hash(words.hashes, words.at, cfg.width)
         self.sets = [np.unique(h[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
         self.short: dict[int, dict[int, list[int]]] = {}
+        self.few: dict[int, list[int]] = {}  # shingles of items too small for the smallest window
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         xor, mul = _family(cfg)
         by_class: dict[int, list[int]] = {}
         for k, (s, n) in enumerate(zip(self.sets, n_words.tolist(), strict=True)):
             if 0 < n < cfg.width:
                 self.short.setdefault(n, {}).setdefault(int(s[0]), []).append(k)
+            elif n and len(s) < BLOCK:
+                for x in s.tolist():
+                    self.few.setdefault(x, []).append(k)
             elif n:
-                by_class.setdefault(max(BLOCK, 1 << (len(s) - 1).bit_length()), []).append(k)
+                by_class.setdefault(1 << (len(s) - 1).bit_length(), []).append(k)
         for u, members in by_class.items():
             value = np.concatenate([[mix(((s ^ xor[j]) * mul[j]).min()[None] ^ U64(j))[0] for j in range(cfg.hashes)] for s in (self.sets[k] for k in members)])
             item = np.repeat(np.array(members), cfg.hashes)
@@ -101,6 +105,10 @@ class _Index:
                     for w in np.flatnonzero(hi > lo).tolist():
                         d = int(doc[pick[hit[w]]])
                         found.update((d, int(k)) for k in item[lo[w] : hi[w]])
+        if self.few:
+            for w in np.flatnonzero(np.isin(h, np.fromiter(self.few, np.uint64, len(self.few)))).tolist():
+                d = int(np.searchsorted(off, w, "right") - 1)
+                found.update((d, k) for k in self.few[int(h[w])])
         for width, table in self.short.items():
             g, o = windows_hash(words.hashes, words.at, width)
             keys = np.fromiter(table, np.uint64, len(table))

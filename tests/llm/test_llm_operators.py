@@ -139,6 +139,16 @@ def test_bpe_tree(leaf):
         assert own.joined([(k, own.piece_ids(x, k)) for x, k in own.pieces(t, leaf)]) == want
 
 
+def test_decontamination_finds_every_item_of_one_shingle():
+    cfg = decontam.Decontam()
+    items = [(i, b" ".join(b"i%dx%d" % (i, k) for k in range(5))) for i in range(4000)]
+    docs = [t + b" " + b" ".join(b"d%dx%d" % (i, k) for k in range(10)) for i, t in items]
+    docs_words = decontam.Words(docs, lower=True)
+    h, off = decontam.windows_hash(docs_words.hashes, docs_words.at, cfg.width)
+    got = decontam._Index(items, cfg).candidates(h, off, docs_words, cfg)
+    assert set(got) >= {(i, i) for i, _ in items}
+
+
 def test_language_id(spark, sample, odd, none):
     held = split_of(F.col("doc_id"), 4) == 2
     lang = {r.doc_id: r.lang for r in sample.collect()}
