@@ -167,6 +167,11 @@ def contained_items(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, cfg: Decontam = Decontam(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that contain no test item."""
-    hit = stored(contained_items(docs, items, cfg, text, doc_id).select(F.col("doc_id").alias(doc_id)).distinct())
-    return docs.join(hit, doc_id, "left_anti")
+    """The documents that contain no test item; rows without an id go by the hash of their own text."""
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        hit = stored(contained_items(rows, items, cfg, text, key).select(F.col("doc_id").alias(key)).distinct())
+        return rows.join(hit, key, "left_anti").select(*docs.columns)
+
+    unnamed = docs.filter(F.col(doc_id).isNull()).withColumn("_text_hash", F.xxhash64(text))
+    return clean(docs.filter(F.col(doc_id).isNotNull()), doc_id).union(clean(unnamed, "_text_hash"))

@@ -149,6 +149,14 @@ def test_decontamination_finds_every_item_of_one_shingle():
     assert set(got) >= {(i, i) for i, _ in items}
 
 
+def test_decontaminate_drops_texts_without_an_id(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, item), (None, "clean text"), (None, None), (1, "before " + item), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.decontaminate(docs, items)
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("2", "clean"), ("None", "None"), ("None", "clean text")]
+
+
 def test_language_id(spark, sample, odd, none):
     held = split_of(F.col("doc_id"), 4) == 2
     lang = {r.doc_id: r.lang for r in sample.collect()}
