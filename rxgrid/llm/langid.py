@@ -137,13 +137,38 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def _lowest_batches(k: int):
+    """The k smallest distinct hashes of each language that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang, order = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            for x in set(lang.tolist()):
+                low[x] = np.unique(np.concatenate([low.get(x, order[:0]), order[lang == x]]))[:k]
+        langs = [x for x, own in low.items() for _ in range(len(own))]
+        orders = np.concatenate([*low.values(), np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int64())], names=["lang", "o"])
+
+    return run
+
+
+def sample(src: DataFrame, langs: tuple[str, ...], cfg: LangId) -> DataFrame:
+    """From (text, lang), an equal share of `fit_rows` distinct texts of every language: those of smallest hash."""
+    keyed = src.withColumn("o", F.xxhash64("text", F.lit(4)))
+    lowest = _lowest_batches(max(1, cfg.fit_rows // len(langs)))
+    low = keyed.select("lang", "o").mapInArrow(lowest, "lang string, o long").repartition("lang").mapInArrow(lowest, "lang string, o long")
+    bound = {r.lang: r.o for r in low.groupBy("lang").agg(F.max("o").alias("o")).collect()}
+    at_most = F.coalesce(*[F.when(F.col("lang") == x, F.lit(bound[x])) for x in langs])
+    return keyed.filter(F.col("o") <= at_most).select("text", "lang").distinct()
+
+
 def fit(rows: DataFrame, cfg: LangId = LangId()) -> LangModel | None:
     """Learns from (text, lang)."""
     spark = rows.sparkSession
     src = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     src = src.filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> 'und'")
-    counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = tuple(sorted(counts))
+    langs = tuple(sorted(r.lang for r in src.select("lang").distinct().collect()))
     if not langs:
         return None
     freq = src.select("text").mapInArrow(_frequency_batches(cfg), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -153,12 +178,7 @@ def fit(rows: DataFrame, cfg: LangId = LangId()) -> LangModel | None:
         if b >= 0:
             seen[b] = n
     idf = np.log((1 + df.get(-1, 0)) / (1 + seen)) + 1
-    share = F.lit(0)
-    for lang, n in counts.items():
-        want = 1.2 * cfg.fit_rows / len(langs) / n
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, want) * 1_000_000))).otherwise(share)
-    order = F.xxhash64("text", F.lit(4))
-    chosen = src.filter(F.pmod(order, F.lit(1_000_000)) < share).withColumn("o", order).orderBy("o").limit(cfg.fit_rows).drop("o")
+    chosen = sample(src, langs, cfg)
     sent = spark.sparkContext.broadcast(idf)
     examples = [
         (np.append(np.frombuffer(r.at, np.int32), cfg.dims), np.append(np.frombuffer(r.x, np.float32), 1.0), langs.index(r.lang))

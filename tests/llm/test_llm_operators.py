@@ -169,6 +169,14 @@ def test_language_id(spark, sample, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_sample_is_of_distinct_texts_per_language(spark):
+    rows = [(f"copy {i % 3}", "en") for i in range(900)] + [(f"text {x} {i}", x) for x in ("de", "en", "fr") for i in range(100)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    cfg = langid.LangId(fit_rows=60)
+    got = [tuple(r) for r in langid.sample(docs, ("de", "en", "fr"), cfg).collect()]
+    assert len(set(got)) == len(got) and collections.Counter(x for _, x in got) == {"de": 20, "en": 20, "fr": 20}
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(3)
     rows, marks = [], []
