@@ -52,3 +52,5 @@ SELECT state, county_code, plan_key, plan_name, premium, deductible,
   row_number() OVER (PARTITION BY state, county_code ORDER BY premium ASC NULLS LAST, plan_key) AS premium_rank
 FROM plan_info WHERE plan_suppressed_yn <> 'Y'
 """)
+
+register("A13_curve_layout", ["pharmacy_network"], "SELECT plan_key, pharmacy_number, pharmacy_zipcode, floor_price FROM pharmacy_network")

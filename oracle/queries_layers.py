@@ -287,7 +287,7 @@ for k in range(1, 8):
 register("D3_cost_metrics", ["beneficiary_cost"],
          "SELECT plan_key, " + ",\n  ".join(_d3) + "\nFROM beneficiary_cost WHERE plan_key IS NOT NULL GROUP BY plan_key")
 
-register("D6_formulary_metrics_nb", ["o_dim_plan", "o_slv_formulary"], """
+cte("o_formulary_nb", ("o_dim_plan", "o_slv_formulary"), """
 SELECT p.plan_key, count(DISTINCT f.ndc) AS formulary_breadth_ndc, count(DISTINCT f.rxcui) AS formulary_breadth_rxcui,
   avg(CAST(f.tier_level_value AS double)) AS avg_tier_level,
   avg(coalesce(CAST(f.quantity_limit_flag AS double), 0.0)) AS ql_rate,
@@ -300,7 +300,8 @@ SELECT p.plan_key, count(DISTINCT f.ndc) AS formulary_breadth_ndc, count(DISTINC
 FROM o_dim_plan p LEFT JOIN o_slv_formulary f ON f.formulary_id = p.formulary_id
 GROUP BY p.plan_key
 """)
-register("D7_network_metrics_nb", ["pharmacy_network"], f"""
+register("D6_formulary_metrics_nb", ["o_formulary_nb"], "SELECT * FROM o_formulary_nb")
+cte("o_network_nb", ("pharmacy_network",), f"""
 SELECT plan_key, count(DISTINCT upper(trim(pharmacy_number))) AS network_size,
   avg(CAST({_yn('preferred_status_retail')} AS double)) AS preferred_retail_share,
   avg(CAST({_yn('preferred_status_mail')} AS double)) AS preferred_mail_share,
@@ -312,12 +313,14 @@ FROM (SELECT *, upper(trim(contract_id)) || lpad(upper(trim(CAST(plan_id AS varc
                 || lpad(upper(trim(CAST(segment_id AS varchar))), 3, '0') AS pk FROM pharmacy_network) x
 GROUP BY plan_key
 """)
-register("D8_pricing_metrics", ["pricing"], """
+register("D7_network_metrics_nb", ["o_network_nb"], "SELECT * FROM o_network_nb")
+cte("o_pricing_metrics", ("pricing",), """
 SELECT plan_key, avg(CAST(unit_cost AS double)) AS avg_unit_cost, count(DISTINCT ndc) AS priced_ndc_count,
   quantile_cont(CAST(unit_cost AS double), 0.9) AS p90_unit_cost, quantile_cont(CAST(unit_cost AS double), 0.1) AS p10_unit_cost,
   quantile_cont(CAST(unit_cost AS double), 0.9) - quantile_cont(CAST(unit_cost AS double), 0.1) AS p90_p10_spread_unit_cost
 FROM pricing WHERE plan_key IS NOT NULL GROUP BY plan_key
 """)
+register("D8_pricing_metrics", ["o_pricing_metrics"], "SELECT * FROM o_pricing_metrics")
 cte("o_ins_cost_metrics", ("o_slv_insulin",), """
 SELECT plan_key, min(insulin_min_copay_all_channels) AS insulin_min_copay_plan,
   max(insulin_max_copay_all_channels) AS insulin_max_copay_plan,

@@ -12,8 +12,93 @@ FROM (SELECT e.*, coalesce(i.ins, 0) AS ins FROM pde_events e
       LEFT JOIN (SELECT DISTINCT ndc, 1 AS ins FROM insulin_ref WHERE ndc IS NOT NULL) i ON i.ndc = e.prod_srvc_id)
 GROUP BY 1
 """)
-cte("o_legacy", ("o_bene_year", "beneficiary", "o_active_plans", "o_cost_metrics", "o_friendly", "o_network_metrics",
-                 "o_formulary_metrics"), """
+# One row per plan with all plan aggregates; numbers are doubles with 0 for nothing, categories UNKNOWN.
+cte("o_plan_summary", ("o_dim_plan", "o_formulary_nb", "o_network_nb", "o_pricing_metrics", "o_cost_metrics", "o_friendly"), """
+SELECT plan_key, coalesce(contract_type, 'UNKNOWN') AS contract_type, coalesce(state, 'UNKNOWN') AS state,
+  coalesce(county_code, 'UNKNOWN') AS county_code, coalesce(snp, 'UNKNOWN') AS snp,
+  coalesce(CAST(COLUMNS(* EXCLUDE (plan_key, contract_type, state, county_code, snp)) AS double), 0.0)
+FROM (
+  SELECT p.plan_key, CASE WHEN p.is_ma_pd THEN 'MA' WHEN p.is_pdp THEN 'PDP' END AS contract_type, p.state, p.county_code,
+    CAST(p.snp AS varchar) AS snp, p.premium, p.deductible, f.* EXCLUDE (plan_key), n.* EXCLUDE (plan_key), u.* EXCLUDE (plan_key),
+    c.* EXCLUDE (plan_key), i.* EXCLUDE (plan_key)
+  FROM o_dim_plan p LEFT JOIN o_formulary_nb f ON f.plan_key = p.plan_key LEFT JOIN o_network_nb n ON n.plan_key = p.plan_key
+  LEFT JOIN o_pricing_metrics u ON u.plan_key = p.plan_key LEFT JOIN o_cost_metrics c ON c.plan_key = p.plan_key
+  LEFT JOIN o_friendly i ON i.plan_key = p.plan_key
+)
+""")
+
+INDEX_FEATURES = ("premium", "deductible", "pref_avg_copay_amt", "pref_median_copay_amt", "pref_avg_coins_rate",
+                  "nonpref_avg_copay_amt", "ded_applies_rate", "specialty_row_share")
+LABEL_FEATURES = ("premium", "deductible", "pref_avg_copay_amt", "pref_p90_copay_amt", "pref_avg_coins_rate", "pref_p90_coins_rate",
+                  "ded_applies_rate")
+
+
+def _z(c, std):
+    return f"CASE WHEN coalesce({std}({c}) OVER (), 0) = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / {std}({c}) OVER () END"
+
+
+def pca_sql(source, cols, std):
+    """(plan_key, affordability_index): the scores on the first principal component of the z-scores.
+
+    The covariance matrix, squared over and over with its trace kept at 1, turns into v v' for the leading
+    eigenvector v; the column of the largest diagonal entry gives v with its largest loading positive.
+    """
+    n = len(cols)
+    cov = ", ".join(f"covar_samp(z[{i + 1}], z[{j + 1}])" for i in range(n) for j in range(n))
+    return f"""
+WITH RECURSIVE zs AS (SELECT plan_key, [{', '.join(_z(f'coalesce(CAST({c} AS double), 0.0)', std) for c in cols)}] AS z FROM {source}),
+power AS (
+  SELECT 0 AS k, m FROM (SELECT [{cov}] AS m FROM zs)
+  UNION ALL
+  SELECT k + 1, list_transform(p, lambda x: x / t) FROM (
+    SELECT k, p, list_sum(list_transform(range({n}), lambda i: p[i * {n + 1} + 1])) AS t FROM (
+      SELECT k, list_transform(range({n * n}), lambda i: list_sum(list_transform(range({n}),
+        lambda j: m[(i // {n}) * {n} + j + 1] * m[j * {n} + i % {n} + 1]))) AS p FROM power WHERE k < 40))
+),
+top AS (
+  SELECT m, list_position(d, list_max(d)) AS b FROM (
+    SELECT m, list_transform(range({n}), lambda i: m[i * {n + 1} + 1]) AS d FROM power WHERE k = 40)
+),
+v AS (SELECT list_transform(range({n}), lambda i: m[i * {n} + b] / sqrt(m[(b - 1) * {n + 1} + 1])) AS v FROM top)
+SELECT plan_key, list_sum(list_transform(range({n}), lambda i: z[i + 1] * v[i + 1])) AS affordability_index FROM zs, v
+"""
+
+
+cte("o_index", ("o_cost_metrics", "o_dim_plan"), pca_sql(
+    "(SELECT c.*, p.premium, p.deductible FROM o_cost_metrics c LEFT JOIN o_dim_plan p ON p.plan_key = c.plan_key)", INDEX_FEATURES, "stddev_pop"))
+register("I3_affordability_index", ["o_index"], """
+SELECT plan_key, affordability_index,
+  CASE WHEN affordability_index <= q[1] THEN 0 WHEN affordability_index <= q[2] THEN 1 WHEN affordability_index <= q[3] THEN 2 ELSE 3 END
+    AS affordability_class
+FROM o_index, (SELECT quantile_cont(affordability_index, [0.25, 0.5, 0.75]) AS q FROM o_index)
+""")
+cte("o_label_index", ("o_plan_summary",), pca_sql("o_plan_summary", LABEL_FEATURES, "stddev_samp"))
+
+
+def _third(c, q):
+    return f"CASE WHEN {c} <= {q}[1] THEN 0 WHEN {c} <= {q}[2] THEN 1 ELSE 2 END"
+
+
+cte("o_plan_labels", ("o_plan_summary", "o_label_index"), f"""
+SELECT s.*, x.affordability_index, {_third('x.affordability_index', 'qa')} AS affordability_class,
+  {_third('restrictiveness_index', 'qr')} AS restrictiveness_class,
+  {_third('insulin_friendliness_score', 'qi')} AS insulin_friendliness_class,
+  CASE WHEN preferred_retail_share < 0.20 OR in_area_share < 0.60 THEN 1 ELSE 0 END AS network_adequacy_flag,
+  CASE WHEN insulin_exceeds_cap_any_flag = 1 OR insulin_exceeds_cap_rate > 0.05 THEN 1 ELSE 0 END AS insulin_cap_violation_flag,
+  CASE WHEN insulin_restrictiveness_index > 20 OR insulin_pa_rate > 0.20 THEN 1 ELSE 0 END AS access_risk,
+  {', '.join(_z(c, 'stddev_samp') + f' AS {c}_z' for c in LABEL_FEATURES)}
+FROM o_plan_summary s JOIN o_label_index x ON x.plan_key = s.plan_key,
+  (SELECT quantile_cont(affordability_index, [0.33, 0.66]) AS qa FROM o_label_index),
+  (SELECT quantile_cont(restrictiveness_index, [0.33, 0.66]) AS qr, quantile_cont(insulin_friendliness_score, [0.33, 0.66]) AS qi
+   FROM o_plan_summary)
+""")
+register("I4_affordability_terciles", ["o_plan_labels"], "SELECT plan_key, affordability_index, affordability_class FROM o_plan_labels")
+register("I2_label_classes", ["o_plan_labels"], """
+SELECT plan_key, restrictiveness_index, restrictiveness_class, insulin_friendliness_score, insulin_friendliness_class FROM o_plan_labels
+""")
+register("I5_plan_feature_summary", ["o_plan_summary"], "SELECT * FROM o_plan_summary")
+register("I1_plan_zscores", ["o_plan_labels"], "SELECT plan_key, " + ", ".join(f"{c}_z" for c in LABEL_FEATURES) + " FROM o_plan_labels")
+cte("o_legacy", ("o_bene_year", "beneficiary", "o_active_plans", "o_plan_labels"), """
 SELECT *, annual_premium + oop_deductible_component + oop_copay_component + oop_coins_component - oop_insulin_raw
   + oop_insulin_capped + insulin_access_penalty + network_penalty AS y_annual_oop
 FROM (
@@ -22,24 +107,19 @@ FROM (
     CASE WHEN insulin_user_flag = 1 AND coalesce(insulin_access_risk_flag, 0) = 1 THEN 150.0 ELSE 0.0 END AS insulin_access_penalty,
     CASE WHEN coalesce(network_adequacy_flag, 0) = 1 THEN 100.0 ELSE 0.0 END AS network_penalty
   FROM (
-    SELECT y.bene_id, p.plan_key, p.county_code, b.risk_segment, fm.restrictiveness_class, nm.network_adequacy_flag,
-      fr.insulin_risk_flag, fr.insulin_access_risk_flag,
-      CASE WHEN coalesce(fr.insulin_exceeds_cap_any_flag, 0) = 1 OR coalesce(fr.insulin_exceeds_cap_rate, 0.0) > 0.05
-           THEN 1 ELSE 0 END AS insulin_cap_violation_flag,
+    SELECT y.bene_id, p.plan_key, p.county_code, b.risk_segment, l.restrictiveness_class, l.network_adequacy_flag,
+      l.insulin_risk_flag, l.access_risk AS insulin_access_risk_flag, l.insulin_cap_violation_flag,
       coalesce(CAST(p.premium AS double), 0.0) * 12.0 AS annual_premium,
-      y.fills * coalesce(cm.pref_copay_share, 0.0) * coalesce(cm.pref_avg_copay_amt, 0.0) AS oop_copay_component,
-      y.total_rx_cost * coalesce(cm.pref_coinsurance_share, 0.0) * coalesce(cm.pref_avg_coins_rate, 0.0) AS oop_coins_component,
-      coalesce(cm.ded_applies_rate, 0.0) * least(coalesce(CAST(p.deductible AS double), 0.0), y.total_rx_cost) AS oop_deductible_component,
+      y.fills * coalesce(l.pref_copay_share, 0.0) * coalesce(l.pref_avg_copay_amt, 0.0) AS oop_copay_component,
+      y.total_rx_cost * coalesce(l.pref_coinsurance_share, 0.0) * coalesce(l.pref_avg_coins_rate, 0.0) AS oop_coins_component,
+      coalesce(l.ded_applies_rate, 0.0) * least(coalesce(CAST(p.deductible AS double), 0.0), y.total_rx_cost) AS oop_deductible_component,
       CASE WHEN y.insulin_fills > 0 THEN 1 ELSE 0 END AS insulin_user_flag,
-      y.insulin_rx_cost * coalesce(cm.pref_avg_coins_rate, 0.0) + y.insulin_fills * coalesce(cm.pref_avg_copay_amt, 0.0) * 0.1
+      y.insulin_rx_cost * coalesce(l.pref_avg_coins_rate, 0.0) + y.insulin_fills * coalesce(l.pref_avg_copay_amt, 0.0) * 0.1
         AS oop_insulin_raw
     FROM o_bene_year y
     JOIN beneficiary b ON b.bene_synth_id = y.bene_id
     JOIN o_active_plans p ON p.state = b.state AND p.county_code = b.county_code
-    LEFT JOIN o_cost_metrics cm ON cm.plan_key = p.plan_key
-    LEFT JOIN o_friendly fr ON fr.plan_key = p.plan_key
-    LEFT JOIN o_network_metrics nm ON nm.plan_key = p.plan_key
-    LEFT JOIN o_formulary_metrics fm ON fm.plan_key = p.plan_key
+    LEFT JOIN o_plan_labels l ON l.plan_key = p.plan_key
   )
 )
 """)
@@ -69,14 +149,6 @@ FROM (
   )
 )
 """)
-register("I1_plan_zscores", ["o_dim_plan"], """
-SELECT plan_key, premium, deductible,
-  CASE WHEN sp IS NULL OR sp = 0 THEN 0.0 ELSE (premium - mp) / sp END AS premium_z,
-  CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (deductible - md) / sd END AS deductible_z
-FROM (SELECT plan_key, premium, deductible FROM o_dim_plan WHERE premium IS NOT NULL) d,
-  (SELECT avg(premium) AS mp, stddev_samp(premium) AS sp, avg(deductible) AS md, stddev_samp(deductible) AS sd
-   FROM o_dim_plan WHERE premium IS NOT NULL) s
-""")
 register("I2_premium_terciles", ["o_dim_plan"], """
 SELECT plan_key, premium, CASE WHEN premium <= q1 THEN 0 WHEN premium <= q2 THEN 1 ELSE 2 END AS premium_band
 FROM (SELECT plan_key, premium FROM o_dim_plan WHERE premium IS NOT NULL) d,
@@ -95,3 +167,29 @@ register("I14_data_fingerprint", ["plan_info", "formulary", "prescriptions"], "S
              _fp("plan_info", ["plan_key", "county_code", "formulary_id"]),
              _fp("formulary", ["formulary_id", "ndc", "rxcui"]),
              _fp("prescriptions", ["bene_synth_id", "ndc", "fills_per_year"])]) + ")")
+
+# Gradients of the first tree: equal scores leave every list in plan order, and each pair is wrong by a half.
+register("I11_lambda_gradients", ["o_labels"], """
+SELECT * FROM (WITH place AS (
+  SELECT bene_synth_id AS b, plan_key, pow(2.0, relevance_label) - 1 AS gain,
+    1 / log2(row_number() OVER (PARTITION BY bene_synth_id ORDER BY plan_key) + 1) AS discount,
+    row_number() OVER (PARTITION BY bene_synth_id ORDER BY plan_key) AS pos,
+    1 / log2(row_number() OVER (PARTITION BY bene_synth_id ORDER BY relevance_label DESC) + 1) AS best
+  FROM o_labels
+),
+ideal AS (SELECT b, sum(gain * best) AS ideal FROM place GROUP BY b),
+pair AS (
+  SELECT x.b, x.plan_key AS first, y.plan_key AS second, sign(x.gain - y.gain) AS side,
+    0.5 * abs(x.gain - y.gain) * abs(x.discount - y.discount) / ideal AS pull
+  FROM place x JOIN place y ON x.b = y.b AND x.pos <= 30 AND y.pos > x.pos JOIN ideal i ON i.b = x.b WHERE ideal > 0
+),
+total AS (SELECT b, 2 * sum(pull) AS t FROM pair GROUP BY b),
+part AS (
+  SELECT b, first AS plan_key, -side * pull AS g, 0.5 * pull AS h FROM pair
+  UNION ALL SELECT b, second, side * pull, 0.5 * pull FROM pair
+),
+scale AS (SELECT b, CASE WHEN t > 0 THEN log2(1 + t) / t ELSE 1.0 END AS f FROM total)
+SELECT p.b AS bene_synth_id, p.plan_key, coalesce(sum(x.g) * any_value(f), 0.0) AS gradient, coalesce(sum(x.h) * any_value(f), 0.0) AS curvature
+FROM place p LEFT JOIN part x ON x.b = p.b AND x.plan_key = p.plan_key LEFT JOIN scale s ON s.b = p.b
+GROUP BY p.b, p.plan_key)
+""")

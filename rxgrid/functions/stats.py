@@ -1,14 +1,14 @@
-"""Scale-safe exact order statistics: global rank, exact quantiles, ntile.
-
-Spark's exact ``percentile`` and an un-partitioned ``Window.orderBy`` both put
-a whole group in one task; with one key holding a third of the rows that is
-one task holding a third of the data.  Instead we range-partition on
-(group, value), sort within partitions, and number rows by
-``monotonically_increasing_id`` (partition index in the high bits, position in
-the low bits).  A small per-(partition, group) count table, turned into
-offsets, gives every row its exact 0-based rank within its group.  Quantiles
-then keep only the <= 2 rows per requested fraction and interpolate
-(``quantile_cont`` / ``percentile`` semantics, R-7).
+"""Exact order statistics by digit selection: quantiles and NTILE without a sort.
+
+A double becomes a 64-bit code of the same order.  To find the value of a given rank, the codes between the
+smallest and the largest are cut into 65,536 digits and rows are counted per digit; the digit whose running
+count reaches the rank is kept, and the codes that it really holds are cut again, until all of its rows are
+equal: four rounds at most for any distribution of doubles, mostly one or two.  Equal values share one count,
+each task sends at most 65,536 counts per group and open interval, and no group is ever sorted or held in a
+task, however many rows or equal values it has.  Rounds read the stored codes and write the open intervals
+(at most one per wanted rank) to the shared folder, so that Spark knows their size when it joins.
+NTILE finds the first row of every tile the same way, with eight bytes of the tie-breaking key at a time
+among the rows of one value, and compares each row with these few rows.
 """
 
 from __future__ import annotations
@@ -16,71 +16,69 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxgrid.functions.joins import broadcast_if_small
-from rxgrid.session import ensure_checkpoint_dir
+from rxgrid.session import shared_table
 
-_POS_BITS = 33
+_ALL = "_all"
+DIGITS = 1 << 16
+_BELOW = -(1 << 63) + 1
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds)
+def _code(value: Column) -> Column:
+    """64-bit integer that orders like the double (both zeros alike)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.when(value == 0, F.lit(0.0)).otherwise(value))
+    return bits.cast("long")
 
 
-def ranked(
-    df: DataFrame,
-    order_cols: Sequence[str | Column],
-    group_cols: Sequence[str] = (),
-    partitions: int | None = None,
-    rank_col: str = "_rank",
-    size_col: str = "_n",
-) -> DataFrame:
-    """Add a 0-based rank within ``group_cols`` by ``order_cols`` and the group size."""
-    spark = df.sparkSession
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keys = [F.col(g) for g in group_cols] + order
-    # The range partitioner samples its input before the shuffle reads it:
-    # keep the input so it is computed once.  The numbered rows are then
-    # checkpointed (reliable, to the cluster's shared checkpoint dir): both
-    # the count table and the join below must see the very same partition
-    # bounds and positions, and a separately planned exchange would sample
-    # its own bounds.  The checkpoint also cuts the lineage for retries.
-    ensure_checkpoint_dir(spark)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # without an explicit count AQE may merge adjacent ranges of a small input; merged
-    # ranges stay in order, which is all the numbering below needs
-    ranged = src.repartitionByRange(partitions, *keys) if partitions else src.repartitionByRange(*keys)
-    r = (
-        ranged
-        .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
-        .drop("_mid")
-        .checkpoint(eager=True)
-    )
-    src.unpersist()
-    stats = r.groupBy("_pid", *group_cols).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")
-    )
-    w_prev = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0))).withColumn(
-        size_col, F.sum("_cnt").over(Window.partitionBy(*group_cols))
-    )
-    # at most (partitions + groups) rows; broadcast when that is small
-    stats = broadcast_if_small(stats.select("_pid", *group_cols, "_off", "_first", size_col))
-    s = stats.alias("_s")
-    j = r.alias("_r").join(s, _null_safe_on(r.alias("_r"), s, ["_pid", *group_cols]))
-    out_cols = [F.col(f"_r.{c}") for c in r.columns if c not in ("_pid", "_pos")]
-    return j.select(
-        *out_cols,
-        (F.col("_s._off") + F.col("_r._pos") - F.col("_s._first")).alias(rank_col),
-        F.col(f"_s.{size_col}").alias(size_col),
-    )
+def _ordered(bits: Column) -> Column:
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(_BELOW * -1)))
+
+
+def _digit(code: Column, lo: Column, hi: Column) -> Column:
+    """Which of the 65,536 parts of [lo, hi] holds the code; never decreases with it."""
+    half = F.shiftright(hi, 1) - F.shiftright(lo, 1)  # the whole span may exceed 64 bits
+    narrow = F.call_function("div", code - lo, F.call_function("div", hi - lo, F.lit(DIGITS)) + 1)
+    wide = F.call_function("div", F.shiftright(code, 1) - F.shiftright(lo, 1), F.call_function("div", half, F.lit(DIGITS)) + 1)
+    return F.when(half >= (1 << 61), wide).otherwise(narrow).cast("int")
+
+
+def _selected(rows: DataFrame, group: list[str], asks: DataFrame, payload: str) -> DataFrame:
+    """(group, k, part, rest, n, code, payload): the wanted ranks' code is the same on n rows, `rest` of them come before.
+
+    `rows` has the group, `_code` and the payload (a function of the code); `asks` has (group, lo, hi, k, rest,
+    part): the k-th wanted rank is the 0-based rank `rest` among the group's codes from lo to hi.
+    """
+    found = []
+    while True:
+        interval = [*group, "lo", "hi"]
+        opened = asks.select(*[F.col(c).alias(f"_g_{c}") for c in group], "lo", "hi").distinct()
+        same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(opened[f"_g_{c}"]) for c in group])
+        inside = rows.join(opened, same & rows["_code"].between(opened["lo"], opened["hi"]))
+        counts = inside.groupBy(*interval, _digit(F.col("_code"), F.col("lo"), F.col("hi")).alias("_digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi"), F.min(payload).alias(payload))
+        before = Window.partitionBy(*interval).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        a = asks.select(*[F.col(c).alias(f"_a_{c}") for c in interval], "k", "rest", "part")
+        mine = reduce(lambda x, y: x & y, [counts[c].eqNullSafe(a[f"_a_{c}"]) for c in interval])
+        hit = counts.join(a, mine & (a["rest"] >= counts["_before"]) & (a["rest"] < counts["_before"] + counts["n"]))
+        hit = hit.select(*group, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "n", payload, "k", "part", (F.col("rest") - F.col("_before")).alias("rest"))
+        hit = shared_table(hit, "ranks")
+        found.append(hit.where("lo = hi").select(*group, "k", "part", "rest", "n", F.col("lo").alias("code"), payload))
+        asks = hit.where("lo <> hi")
+        if asks.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), found)
+
+
+def _asks(rows: DataFrame, group: list[str], wanted: list[Column]) -> DataFrame:
+    """Wanted ranks of each group over all of its codes; `wanted` are structs (k, rest, part) that may use the row count `_n`."""
+    ends = rows.groupBy(*group).agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    return shared_table(ends.select(*group, "lo", "hi", F.inline(F.array(*wanted))), "ranks")
+
+
+def _ask(k, rest: Column, part: Column) -> Column:
+    return F.struct(F.lit(k).cast("int").alias("k"), rest.cast("long").alias("rest"), part.cast("double").alias("part"))
 
 
 def exact_quantiles(
@@ -91,57 +89,67 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group: one output column per name.
 
-    Groups whose values are all null are absent (join to the group list when
-    they are needed).  Equals ``percentile`` / ``quantile_cont``.
+    Groups whose values are all null or NaN are absent (join to the group list
+    when they are needed).  Equals ``percentile`` / ``quantile_cont``.
     """
-    x = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(
+    group = [_ALL, *group_cols]
+    x = df.select(F.lit(0).alias(_ALL), *group_cols, F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    rk = ranked(x, ["_v"], group_cols)
-    n1 = F.col("_n") - 1
-    keep = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("_rank") == F.floor(n1 * F.lit(q))) | (F.col("_rank") == F.ceil(n1 * F.lit(q)))
-            for q in fractions.values()
-        ],
-    )
-    picked = rk.where(keep)
+    rows = x.withColumn("_bits", _code(F.col("_v"))).select(*group, "_v", _ordered(F.col("_bits")).alias("_code"))
+    rows = shared_table(rows, "codes")
+    asks = []
+    for i, q in enumerate(fractions.values()):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        asks += [_ask(2 * i, F.floor(h), h - F.floor(h)), _ask(2 * i + 1, F.ceil(h), h - F.floor(h))]
+    hits = _selected(rows, group, _asks(rows, group, asks), "_v")
     aggs = []
-    for name, q in fractions.items():
-        h = n1 * F.lit(q)
-        lo = F.max(F.when(F.col("_rank") == F.floor(h), F.col("_v")))
-        hi = F.max(F.when(F.col("_rank") == F.ceil(h), F.col("_v")))
-        frac = F.max(h - F.floor(h))
-        aggs.append((lo + frac * (hi - lo)).alias(name))
-    return picked.groupBy(*group_cols).agg(*aggs)
-
-
-def ntile(
-    df: DataFrame,
-    n: int,
-    order_cols: Sequence[str | Column],
-    group_cols: Sequence[str] = (),
-    out_col: str = "ntile",
-    max_window_rows: int = 100_000,
-) -> DataFrame:
-    """``NTILE(n) OVER (PARTITION BY group ORDER BY order)``.
-
-    A window is used as is when the whole input is provably small (at most
-    ``max_window_rows``, e.g. one row per plan); otherwise ranks come from
-    the range-partitioned ``ranked`` so no group lands in one task.
-    """
-    limit = max_window_rows
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.limit(limit + 1).count() <= limit:
-        w = Window.partitionBy(*group_cols).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
-        return cached.withColumn(out_col, F.ntile(n).over(w))
-    cached.unpersist()
-    rk = ranked(df, order_cols, group_cols)
-    q = F.floor(F.col("_n") / n)
-    rem = F.col("_n") - q * n
-    big = rem * (q + 1)
-    bucket = F.when(F.col("_rank") < big, F.floor(F.col("_rank") / (q + 1)) + 1).otherwise(
-        rem + F.floor((F.col("_rank") - big) / q) + 1
-    )
-    return rk.withColumn(out_col, bucket.cast("int")).drop("_rank", "_n")
+    for i, name in enumerate(fractions):
+        lo, hi = (F.max(F.when(F.col("k") == 2 * i + s, F.col("_v"))) for s in (0, 1))
+        part = F.max(F.when(F.col("k") == 2 * i, F.col("part")))
+        # equal ends are taken as they are: infinite ones have no difference
+        aggs.append(F.when(lo == hi, lo).otherwise(lo + part * (hi - lo)).alias(name))
+    return hits.groupBy(*group).agg(*aggs).drop(_ALL)
+
+
+def _chunk(key: Column, i: int) -> Column:
+    """Bytes 8i .. 8i + 7 of a text as a 64-bit integer of the same order (missing bytes: 0)."""
+    bytes_ = F.substring(key.cast("binary"), 8 * i + 1, 8)
+    above = F.conv(F.rpad(F.hex(bytes_), 16, "0"), 16, 10).cast("decimal(20,0)")
+    return (above - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def ntile(df: DataFrame, n: int, value_col: str, tie_col: str, out_col: str = "ntile") -> DataFrame:
+    """``NTILE(n) OVER (ORDER BY value ASC NULLS FIRST, tie)``; (value, tie) is unique, tie is a text without zero bytes."""
+    v, tie = F.col(value_col).cast("double"), F.col(tie_col).cast("string")
+    # a null is below all doubles, whose codes do not reach the smallest long
+    bits = F.when(v.isNull(), F.lit(0).cast("long")).otherwise(_code(F.coalesce(v, F.lit(0.0))))
+    x = df.select(F.lit(0).alias(_ALL), tie.alias("_tie"), v.isNull().alias("_null"), bits.alias("_bits"))
+    code = F.when(F.col("_null"), F.lit(_BELOW)).otherwise(_ordered(F.col("_bits")))
+    rows = shared_table(x.select(_ALL, "_tie", code.alias("_code"), F.octet_length("_tie").alias("_bytes")), "codes")
+    total, widest = rows.agg(F.count(F.lit(1)), F.max("_bytes")).first()
+    size, more = divmod(total, n)
+    starts = [j * size + min(j, more) for j in range(1, n)]
+    wanted = [_ask(k, F.lit(s), F.lit(0.0)) for k, s in enumerate(starts) if s < total]
+    if not wanted:
+        return df.withColumn(out_col, F.lit(1))
+    hits = _selected(rows, [_ALL], _asks(rows, [_ALL], wanted), "_code")
+    # the first row of each tile: its value, then eight bytes of its key after the other among the rows that share them
+    parts = hits.select("k", "rest", F.col("code").alias("_value"))
+    same = ["_value"]
+    chunks = [f"_c{i}" for i in range(-(-(widest or 0) // 8))]
+    keyed = rows.select(F.col("_code").alias("_value"), *[_chunk(F.col("_tie"), i).alias(c) for i, c in enumerate(chunks)])
+    for c in chunks:
+        ties = shared_table(keyed.withColumn("_code", F.col(c)).join(parts.select("k", "rest", *same), same).select("k", "rest", "_code"), "ties")
+        ends = ties.groupBy("k").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.max("rest").alias("rest"))
+        asks = ends.select(F.col("k").alias("tile"), "lo", "hi", F.lit(0).alias("k"), "rest", F.lit(0.0).alias("part"))
+        found = _selected(ties.select(F.col("k").alias("tile"), "_code"), ["tile"], asks, "_code")
+        parts = parts.drop("rest").join(found.select(F.col("tile").alias("k"), "rest", F.col("code").alias(c)), "k")
+        same.append(c)
+    place = F.struct(*same)
+    firsts = parts.groupBy().agg(F.collect_list(place).alias("_firsts"))  # one row of at most n - 1 places
+    out = df.withColumn("_tie_key", tie).withColumn("_null", v.isNull()).withColumn("_bits", bits)
+    out = out.withColumns({"_value": code, **{c: _chunk(F.col("_tie_key"), i) for i, c in enumerate(same[1:])}})
+    reached = F.size(F.filter("_firsts", lambda first: first <= place))
+    out = out.crossJoin(F.broadcast(firsts)).withColumn(out_col, (reached + 1).cast("int"))
+    return out.drop("_firsts", "_tie_key", "_null", "_bits", *same)

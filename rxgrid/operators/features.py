@@ -117,9 +117,10 @@ def mean_ndcg(per_group: DataFrame, ks=(3, 5, 10)) -> DataFrame:
                          F.count(F.lit(1)).alias("n_groups"))
 
 
-def zscore(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
-    """Z-score columns from one aggregate (sample std); 0 when std is 0 or null."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
+def zscore(df: DataFrame, cols: list[str], suffix: str = "_z", sample: bool = True) -> DataFrame:
+    """Z-score columns from one aggregate (sample or population std); 0 when std is 0 or null."""
+    std = F.stddev_samp if sample else F.stddev_pop
+    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[std(c).alias(f"_s_{c}") for c in cols])
     j = df.crossJoin(F.broadcast(stats))  # one row of statistics
     out = {}
     for c in cols:

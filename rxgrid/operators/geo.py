@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from rxgrid.functions.columns import contract_type, county_code5
 from rxgrid.functions.draws import stable_uniform
-from rxgrid.functions.geo import acos_miles, distance_category_training, haversine_miles
+from rxgrid.functions import grid
+from rxgrid.functions.geo import distance_category_training, haversine_miles
 from rxgrid.functions.joins import broadcast_if_small
 from rxgrid.operators.metrics import active_plans
+from rxgrid.session import shared_table
 
 DEFAULT_DISTANCE_SEED = 42
 
@@ -139,37 +141,22 @@ def county_centroids(zip_with_county: DataFrame) -> DataFrame:
     )
 
 
-def nearby_counties(zip_with_county: DataFrame, origins: DataFrame, radius_miles: float = 50.0) -> DataFrame:
-    """For many origin ZIPs at once, counties of the same state whose centroid is
-    within ``radius_miles`` (acos distance, km -> miles), nearest first.
+def nearby_counties(zip_with_county: DataFrame, origins: DataFrame, radius_miles: float = 50.0, digits: int | None = 1) -> DataFrame:
+    """For many origin ZIPs at once, counties of the same state whose centroid is within
+    ``radius_miles`` (acos distance in miles, rounded as published before the comparison).
 
-    ``origins`` has (origin_id, zip_code).  The join is an equi-join on state
-    (every origin meets only its own state's counties), then a distance filter.
+    ``origins`` has (origin_id, zip_code).  Origins meet the centroids of near grid cells only.
     """
-    zc = zip_with_county.select(
-        F.col("zip_code").alias("_zip"), F.col("state").alias("_ostate"), F.col("lat").alias("_olat"),
-        F.col("lng").alias("_olng"),
-    )
-    o = origins.join(zc, origins["zip_code"] == zc["_zip"]).drop("_zip")
-    cent = county_centroids(zip_with_county)
-    cent = broadcast_if_small(cent)
-    j = o.join(cent, o["_ostate"] == cent["state"])
-    d = acos_miles(F.col("_olat"), F.col("_olng"), F.col("c_lat"), F.col("c_lng"))
-    return j.withColumn("distance_miles", d).where(F.col("distance_miles") <= radius_miles).select(
-        "origin_id", "county_code", "county", "state", "distance_miles"
-    )
+    at = zip_with_county.select("zip_code", "state", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    o = origins.select("origin_id", "zip_code").join(at, "zip_code").drop("zip_code")
+    near = grid.within(o, county_centroids(zip_with_county), radius_miles, ["state"], digits, ("_lat", "_lng"), ("c_lat", "c_lng"))
+    return near.select("origin_id", "county_code", "county", "state", "distance_miles")
 
 
-def zip_pharmacy_distances(origins: DataFrame, pharmacy_network: DataFrame, zipcode: DataFrame,
-                           pharmacy_type: str | None = None, retail_only: bool = True) -> DataFrame:
-    """Distance from each origin ZIP to the in-network pharmacies of its candidate plans.
-
-    ``origins`` has (zip_code, plan_key), one row per distinct pair (requests
-    sharing a ZIP share the work).  Pharmacies are first counted per
-    (plan, pharmacy ZIP, preferred) so each origin meets pharmacy ZIPs, not
-    individual pharmacies; distances are between ZIP centroids (acos form,
-    rounded to cents of a mile as published).  ``pharmacy_type`` filters on
-    the derived type (T7); by default every retail-offering pharmacy counts.
+def pharmacies_by_zip(pharmacy_network: DataFrame, zipcode: DataFrame, pharmacy_type: str | None = None, retail_only: bool = True) -> DataFrame:
+    """(plan_key, p_zip, n_pharmacies, n_preferred, p_lat, p_lng): a plan's pharmacies counted per ZIP.
+
+    ``pharmacy_type`` filters on the derived type (T7); by default every retail-offering pharmacy counts.
     """
     from rxgrid.operators.bronze import tf_pharmacy_network
 
@@ -182,58 +169,57 @@ def zip_pharmacy_distances(origins: DataFrame, pharmacy_network: DataFrame, zipc
         F.count(F.lit(1)).alias("n_pharmacies"),
         F.sum(F.when(F.col("is_preferred_retail"), 1).otherwise(0)).alias("n_preferred"),
     )
-    z = broadcast_if_small(zipcode.select("zip_code", "lat", "lng"))
-    pz = z.select(F.col("zip_code").alias("p_zip"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
-    oz = z.select(F.col("zip_code").alias("zip_code"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
-    per_zip = per_zip.join(pz, "p_zip")
-    o = origins.select("zip_code", "plan_key").distinct().join(oz, "zip_code")
-    j = o.join(per_zip, "plan_key")
-    d = acos_miles(F.col("o_lat"), F.col("o_lng"), F.col("p_lat"), F.col("p_lng"))
-    return j.select(
-        "zip_code", "plan_key", "p_zip", "n_pharmacies", "n_preferred",
-        F.round(d.cast("decimal(24,6)"), 2).cast("double").alias("distance_miles"),
+    at = zipcode.select(F.col("zip_code").alias("p_zip"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    return per_zip.join(at, "p_zip")
+
+
+def _origins(origins: DataFrame, zipcode: DataFrame) -> DataFrame:
+    return origins.select("zip_code", "plan_key").distinct().join(zipcode.select("zip_code", "lat", "lng"), "zip_code")
+
+
+def zip_pharmacy_distances(origins: DataFrame, pharmacy_network: DataFrame, zipcode: DataFrame,
+                           pharmacy_type: str | None = None, retail_only: bool = True) -> DataFrame:
+    """Distance from each origin ZIP to every in-network pharmacy ZIP of its candidate plans.
+
+    ``origins`` has (zip_code, plan_key), one row per distinct pair (requests sharing a ZIP share the
+    work); distances are between ZIP centroids, rounded to cents of a mile as published.  The result is
+    all pairs by definition: a plan's share of them is dealt by the cells of its pharmacies.
+    """
+    per_zip = pharmacies_by_zip(pharmacy_network, zipcode, pharmacy_type, retail_only)
+    return grid.all_pairs(_origins(origins, zipcode), per_zip, "plan_key", digits=2).select(
+        "zip_code", "plan_key", "p_zip", "n_pharmacies", "n_preferred", "distance_miles"
     )
 
 
-def plan_network_accessibility(distances: DataFrame, keys=("zip_code", "plan_key")) -> DataFrame:
-    """E5: per (origin, plan): nearest preferred pharmacy (999 when none), preferred within
-    5 / 10 miles, all within 10 miles, mean preferred distance (999 when none) and the
+def plan_access(origins: DataFrame, pharmacy_network: DataFrame, zipcode: DataFrame) -> DataFrame:
+    """E5 without the mean: per (origin ZIP, plan) the nearest preferred pharmacy (999 when none; rings
+    that grow until it is found), preferred within 5 / 10 miles, all within 10 miles, and the
     accessibility score min(100, 100 / (1 + nearest / 5) + min(50, 5 * preferred within 10))."""
-    d = F.col("distance_miles")
-    pref = F.col("n_preferred")
-    agg = distances.groupBy(*keys).agg(
-        F.min(F.when(pref > 0, d)).alias("_nearest"),
-        F.sum(F.when(d <= 5, pref).otherwise(0)).alias("preferred_within_5mi"),
-        F.sum(F.when(d <= 10, pref).otherwise(0)).alias("preferred_within_10mi"),
-        F.sum(F.when(d <= 10, F.col("n_pharmacies")).otherwise(0)).alias("total_within_10mi"),
-        (F.sum(pref * d) / F.nullif(F.sum(pref), F.lit(0))).alias("_avg_pref"),
-    )
+    keys = ["zip_code", "plan_key"]
+    per_zip = shared_table(pharmacies_by_zip(pharmacy_network, zipcode), "pharmacies")
+    o = shared_table(_origins(origins, zipcode).join(per_zip.select("plan_key").distinct(), "plan_key", "left_semi"), "origins")
+    d, pref = F.col("distance_miles"), F.col("n_preferred")
+    near = grid.within(o, per_zip, 10.0, ["plan_key"], digits=2).groupBy(*keys).agg(
+        F.sum(F.when(d <= 5, pref).otherwise(0)).alias("p5"), F.sum(pref).alias("p10"), F.sum("n_pharmacies").alias("t10"))
+    first = grid.nearest(o, per_zip.where(pref > 0), keys, ["p_zip"], 1, ["plan_key"], digits=2)
+    j = o.join(near, keys, "left").join(first.select(*keys, d.alias("_nearest")), keys, "left")
     nearest = F.coalesce(F.col("_nearest"), F.lit(999.0))
-    score = F.least(
-        F.lit(100.0),
-        F.lit(100.0) / (1 + nearest / 5.0) + F.least(F.lit(50.0), 5.0 * F.col("preferred_within_10mi")),
-    )
-    return agg.select(
-        *keys,
-        nearest.alias("nearest_preferred_miles"),
-        F.col("preferred_within_5mi").cast("long").alias("preferred_within_5mi"),
-        F.col("preferred_within_10mi").cast("long").alias("preferred_within_10mi"),
-        F.col("total_within_10mi").cast("long").alias("total_within_10mi"),
-        F.coalesce(F.col("_avg_pref"), F.lit(999.0)).alias("avg_preferred_distance"),
-        score.alias("network_accessibility_score"),
-    )
+    count = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("p5", "p10", "t10")}
+    score = F.least(F.lit(100.0), F.lit(100.0) / (1 + nearest / 5.0) + F.least(F.lit(50.0), 5.0 * count["p10"]))
+    return j.select(
+        *keys, nearest.alias("nearest_preferred_miles"), count["p5"].alias("preferred_within_5mi"),
+        count["p10"].alias("preferred_within_10mi"), count["t10"].alias("total_within_10mi"), score.alias("network_accessibility_score"))
 
 
-def nearby_counties_rounded(zip_with_county: DataFrame, origins: DataFrame, radius_miles: float = 50.0) -> DataFrame:
-    """E3 as published: centroid distances rounded to 0.1 mile, same state, within the radius."""
-    zc = zip_with_county.select(F.col("zip_code").alias("_zip"), F.col("state").alias("_ostate"),
-                                F.col("lat").alias("_olat"), F.col("lng").alias("_olng"))
-    o = origins.join(zc, origins["zip_code"] == zc["_zip"]).drop("_zip")
-    cent = broadcast_if_small(county_centroids(zip_with_county))
-    j = o.join(cent, o["_ostate"] == cent["state"])
-    d = F.round(acos_miles(F.col("_olat"), F.col("_olng"), F.col("c_lat"), F.col("c_lng")).cast("decimal(24,6)"), 1)
-    return j.withColumn("distance_miles", d.cast("double")).where(F.col("distance_miles") <= radius_miles).select(
-        "origin_id", "county_code", "county", "state", "distance_miles")
+def plan_network_accessibility(origins: DataFrame, pharmacy_network: DataFrame, zipcode: DataFrame) -> DataFrame:
+    """E5: `plan_access` and the mean distance over all preferred pharmacies of the plan (999 when none)."""
+    pref = F.col("n_preferred")
+    mean = zip_pharmacy_distances(origins, pharmacy_network, zipcode).groupBy("zip_code", "plan_key").agg(
+        (F.sum(pref * F.col("distance_miles")) / F.nullif(F.sum(pref), F.lit(0))).alias("_mean"))
+    out = plan_access(origins, pharmacy_network, zipcode).join(mean, ["zip_code", "plan_key"], "left")
+    return out.withColumn("avg_preferred_distance", F.coalesce("_mean", F.lit(999.0))).select(
+        "zip_code", "plan_key", "nearest_preferred_miles", "preferred_within_5mi", "preferred_within_10mi", "total_within_10mi",
+        "avg_preferred_distance", "network_accessibility_score")
 
 
 def representative_zip(zip_with_county: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def formulary_metrics(plan_info: DataFrame, formulary: DataFrame, insulin_ref: D
         round_half_up(pct(F.col("insulin_drug_count"), total)).alias("insulin_coverage_pct"),
     )
     # NTILE(3) over the restriction average, plan_key breaking ties (T4)
-    out = ntile(out, 3, [F.col("avg_restriction_count").asc_nulls_first(), F.col("plan_key")], out_col="_tile")
+    out = ntile(out, 3, "avg_restriction_count", "plan_key", out_col="_tile")
     return out.withColumn("restrictiveness_class", F.col("_tile") - 1).drop("_tile")
 
 

@@ -46,7 +46,7 @@ def j23(ctx):
 def e5(ctx):
     _, _, gated = _gated(ctx)
     prof = J.effective_profile(ctx.t("requests"), ctx.t("beneficiary"), ctx.t("request_medications"))
-    return recommend.access_metrics(ctx, gated, prof)
+    return recommend.access_metrics(ctx, gated, prof, mean=True)
 
 
 def _scored(ctx):

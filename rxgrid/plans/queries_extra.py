@@ -14,7 +14,7 @@ from rxgrid.operators import geo
 from rxgrid.operators import gold as GD
 from rxgrid.operators import silver as S
 from rxgrid.plans.registry import q
-from rxgrid.sources import io, schemas
+from rxgrid.sources import io, layout, schemas
 
 
 @q("A4_zip_csv_ingest")
@@ -40,6 +40,25 @@ def a13(ctx):
     return out.select("formulary_id", "ndc", "rxcui", "tier_level_value")
 
 
+@q("A13_curve_layout")
+def a13_curve(ctx):
+    """The network clustered along a space-filling curve over three of its columns: the content does not change."""
+    return _curve(ctx).select("plan_key", "pharmacy_number", "pharmacy_zipcode", "floor_price")
+
+
+@q("A13_files_per_lookup")
+def a13_files(ctx):
+    return layout.files_per_lookup(_curve(ctx), ["plan_key", "pharmacy_number", "pharmacy_zipcode"])
+
+
+def _curve(ctx):
+    key = "_curve"
+    if key not in ctx.__dict__:
+        at = io.scratch_path(ctx.spark, "network-curve")
+        ctx.__dict__[key] = layout.write_clustered(ctx.t("pharmacy_network"), at, ["plan_key", "pharmacy_number", "pharmacy_zipcode"], 64)
+    return ctx.__dict__[key]
+
+
 def _land(ctx, name):
     p = io.scratch_path(ctx.spark, f"{name}-src")
     ctx.t(name).write.parquet(p)
@@ -153,15 +172,3 @@ def b12(ctx):
     raw = ctx.t("plan_info").toDF(*[c.upper() if i % 2 else "".join(w.title() for w in c.split("_"))
                                     for i, c in enumerate(ctx.t("plan_info").columns)])
     return S.standardize_columns(raw)
-
-
-@q("I4_affordability_terciles")
-def i4(ctx):
-    """I4: the notebook variant - seven standardised cost features, three classes."""
-    from rxgrid.operators import ml
-    from rxgrid.plans.queries_ml import _summary
-
-    feats = ["pref_avg_copay_amt", "pref_avg_coins_rate", "ded_applies_rate", "specialty_row_share", "avg_unit_cost",
-             "p90_unit_cost", "premium"]
-    return ml.affordability_index(_summary(ctx), feats, k_classes=3).select("plan_key", "affordability_index",
-                                                                           "affordability_class")

@@ -12,6 +12,7 @@ from rxgrid.operators import drugs as L
 from rxgrid.operators import geo
 from rxgrid.operators import sampling as S
 from rxgrid.plans.registry import q
+from rxgrid.session import shared_table
 
 
 def _bene_pharmacy(ctx):
@@ -43,7 +44,7 @@ def _nearby(ctx):
     key = "_nearby"
     if key not in ctx.__dict__:
         origins = ctx.t("requests").select(F.col("request_id").alias("origin_id"), "zip_code")
-        ctx.__dict__[key] = geo.nearby_counties_rounded(ctx.zip_county, origins, 50.0)
+        ctx.__dict__[key] = shared_table(geo.nearby_counties(ctx.zip_county, origins, 50.0), "nearby")
     return ctx.__dict__[key]
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from rxgrid.functions.columns import contract_type
+from rxgrid.functions.draws import stable_fraction
 from rxgrid.operators import claims as D
 from rxgrid.operators import features as I
 from rxgrid.operators import gold as GD
+from rxgrid.operators import lambdamart as LM
 from rxgrid.operators import metrics
 from rxgrid.operators import ml
 from rxgrid.operators import silver as S
 from rxgrid.plans.registry import q
+from rxgrid.session import shared_table
 
 
 def _plan_level(ctx):
@@ -26,21 +32,39 @@ def _plan_level(ctx):
     return ctx.__dict__[key]
 
 
+def _summary(ctx):
+    """The plan dimension with all plan aggregates, one row per plan."""
+    key = "_summary"
+    if key not in ctx.__dict__:
+        cost, ins, net = _plan_level(ctx)
+        form = GD.formulary_metrics_nb(ctx.t("plan_info"), S.slv_basic_formulary(ctx.t("formulary"), ctx.t("insulin_ref")))
+        plans = GD.dim_plan(ctx.t("plan_info")).select(
+            "plan_key", contract_type("is_ma_pd", "is_pdp").alias("contract_type"), "state", "county_code",
+            F.col("snp").cast("string").alias("snp"), "premium", "deductible")
+        out = ml.plan_feature_summary(plans, form, net, GD.pricing_metrics(ctx.t("pricing")), cost, ins)
+        ctx.__dict__[key] = shared_table(out, "plan-summary")
+    return ctx.__dict__[key]
+
+
+def _labels(ctx):
+    key = "_plan_labels"
+    if key not in ctx.__dict__:
+        ctx.__dict__[key] = shared_table(ml.plan_labels(_summary(ctx)), "plan-labels")
+    return ctx.__dict__[key]
+
+
+#: What the legacy pair cost reads of the label table.
+LEGACY_COLUMNS = ["pref_copay_share", "pref_avg_copay_amt", "pref_coinsurance_share", "pref_avg_coins_rate", "ded_applies_rate",
+                  "insulin_risk_flag", "insulin_access_risk_flag", "insulin_cap_violation_flag", "network_adequacy_flag",
+                  "restrictiveness_class"]
+
+
 def _legacy(ctx):
     key = "_legacy"
     if key in ctx.__dict__:
         return ctx.__dict__[key]
-    cost, ins, _ = _plan_level(ctx)
     plans = metrics.active_plans(ctx.t("plan_info")).select("plan_key", "state", "county_code", "premium", "deductible")
-    plans = plans.join(cost.select("plan_key", "pref_copay_share", "pref_avg_copay_amt", "pref_coinsurance_share",
-                                   "pref_avg_coins_rate", "ded_applies_rate"), "plan_key", "left")
-    plans = plans.join(ins.select("plan_key", "insulin_risk_flag", "insulin_access_risk_flag",
-                                  "insulin_exceeds_cap_any_flag", "insulin_exceeds_cap_rate"), "plan_key", "left")
-    plans = plans.join(ctx.network_metrics.select("plan_key", "network_adequacy_flag"), "plan_key", "left")
-    plans = plans.join(ctx.formulary_metrics.select("plan_key", "restrictiveness_class"), "plan_key", "left")
-    plans = plans.withColumn("insulin_cap_violation_flag", F.when(
-        (F.coalesce("insulin_exceeds_cap_any_flag", F.lit(0)) == 1)
-        | (F.coalesce("insulin_exceeds_cap_rate", F.lit(0.0)) > 0.05), 1).otherwise(0))
+    plans = plans.join(_labels(ctx).select("plan_key", *LEGACY_COLUMNS), "plan_key", "left")
     by = D.bene_year_summary(ctx.t("pde_events"), ctx.t("insulin_ref").where(F.col("ndc").isNotNull()))
     bene = ctx.t("beneficiary").select(F.col("bene_synth_id").alias("bene_id"), "state", "county_code", "risk_segment")
     pairs = by.join(bene, "bene_id").join(plans, ["state", "county_code"])
@@ -63,26 +87,21 @@ def g19(ctx):
         "explain_insulin_access", "explain_restrict")
 
 
-def _summary(ctx):
-    key = "_summary"
-    if key not in ctx.__dict__:
-        cost, ins, net = _plan_level(ctx)
-        plans = GD.dim_plan(ctx.t("plan_info")).select("plan_key", "contract_id", "premium", "deductible")
-        price = GD.pricing_metrics(ctx.t("pricing"))
-        ctx.__dict__[key] = ml.rule_labels(ml.plan_feature_summary(plans, cost, ins, net, price))
-    return ctx.__dict__[key]
-
-
 @q("I1_plan_zscores")
 def i1(ctx):
-    plans = GD.dim_plan(ctx.t("plan_info")).select("plan_key", "premium", "deductible").where(F.col("premium").isNotNull())
-    return I.zscore(plans, ["premium", "deductible"])
+    return _labels(ctx).select("plan_key", *[f"{c}_z" for c in ml.LABEL_FEATURES])
 
 
 @q("I2_premium_terciles")
 def i2(ctx):
     plans = GD.dim_plan(ctx.t("plan_info")).select("plan_key", "premium").where(F.col("premium").isNotNull())
-    return ml.quantile_bucket(plans, "premium", "premium_band")
+    return ml.quantile_class(plans, "premium", "premium_band")
+
+
+@q("I2_label_classes")
+def i2_labels(ctx):
+    return _labels(ctx).select("plan_key", "restrictiveness_index", "restrictiveness_class", "insulin_friendliness_score",
+                               "insulin_friendliness_class")
 
 
 @q("I5_plan_feature_summary")
@@ -92,43 +111,76 @@ def i5(ctx):
 
 @q("I6_rule_labels")
 def i6(ctx):
-    return _summary(ctx).select("plan_key", "network_adequacy_flag", "insulin_cap_violation_flag", "insulin_access_risk_flag")
+    return _labels(ctx).select("plan_key", "network_adequacy_flag", "insulin_cap_violation_flag", "insulin_access_risk_flag")
 
 
 @q("I3_affordability_index")
 def i3(ctx):
-    return ml.affordability_index(_summary(ctx)).select("plan_key", "affordability_index", "affordability_class")
+    plans = GD.dim_plan(ctx.t("plan_info")).select("plan_key", "premium", "deductible")
+    costed = GD.cost_metrics(ctx.t("beneficiary_cost")).join(plans, "plan_key", "left")
+    return ml.affordability_index(costed).select("plan_key", "affordability_index", "affordability_class")
+
+
+@q("I4_affordability_terciles")
+def i4(ctx):
+    return _labels(ctx).select("plan_key", "affordability_index", "affordability_class")
 
 
 @q("I7_suitability_classifier")
 def i7(ctx):
-    s = ml.affordability_index(_summary(ctx)).withColumn("label", F.col("affordability_class").cast("double"))
-    num = ["premium", "deductible", "pref_avg_copay_amt", "ded_applies_rate", "avg_unit_cost", "insulin_risk_flag"]
-    _, pred, f1, acc = ml.suitability_classifier(s, "label", num, ["contract_id"])
+    _, pred, f1, acc = ml.label_classifier(_labels(ctx))
     return pred.agg(F.count(F.lit(1)).alias("test_rows")).select(
         "test_rows", F.lit(f1).alias("f1"), F.lit(acc).alias("accuracy"))
 
 
+def _labeled(ctx):
+    """Labelled pairs: a fifth of the beneficiaries is for testing, an eighth of the others decides when to stop."""
+    key = "_labeled_pairs"
+    if key not in ctx.__dict__:
+        lab = I.group_split(I.relevance_labels(I.ranking_matrix(ctx.training_pairs)))
+        held = stable_fraction(F.concat(F.lit("stop|"), "bene_synth_id"), 42) < 0.125
+        ctx.__dict__[key] = shared_table(lab.withColumn("split", F.when((F.col("split") == "train") & held, "stop").otherwise(F.col("split"))), "labeled")
+    return ctx.__dict__[key]
+
+
+def _lambdamart(ctx):
+    key = "_lambdamart"
+    if key not in ctx.__dict__:
+        ctx.__dict__[key] = LM.fit(_labeled(ctx).where("split <> 'test'"), I.RANK_FEATURES, F.col("split") == "stop")
+    return ctx.__dict__[key]
+
+
 def _ranked(ctx):
     key = "_ranked_models"
     if key not in ctx.__dict__:
-        lab = I.group_split(I.relevance_labels(I.ranking_matrix(ctx.training_pairs)))
+        lab = _labeled(ctx)
         lr_m, gbt_m = ml.fit_rankers(lab.where(F.col("split") == "train"))
-        ctx.__dict__[key] = ml.score_pairs(lab, lr_m, gbt_m)
+        ctx.__dict__[key] = LM.score(ml.score_pairs(lab, lr_m, gbt_m), _lambdamart(ctx))
     return ctx.__dict__[key]
 
 
 @q("I11_ranker_ndcg")
 def i11(ctx):
     scored = _ranked(ctx).where(F.col("split") == "test")
-    a = I.mean_ndcg(I.ndcg_at_k(scored, "linear_score", "relevance_label")).withColumn("model", F.lit("pairwise_logistic"))
-    b = I.mean_ndcg(I.ndcg_at_k(scored, "gbt_score", "relevance_label")).withColumn("model", F.lit("gbt_regressor"))
-    return a.unionByName(b)
+    models = {"pairwise_logistic": "linear_score", "gbt_regressor": "gbt_score", "lambdamart": "lambdamart_score"}
+    rows = [I.mean_ndcg(I.ndcg_at_k(scored, c, "relevance_label")).withColumn("model", F.lit(m)) for m, c in models.items()]
+    return reduce(lambda x, y: x.unionByName(y), rows)
+
+
+@q("I11_ranker_importances")
+def i11_importances(ctx):
+    return LM.importances(ctx.spark, _lambdamart(ctx))
+
+
+@q("I11_lambda_gradients")
+def i11_gradients(ctx):
+    """Gradients of the first tree: all scores equal, so lists are in plan order."""
+    return LM.list_gradients(_labeled(ctx).withColumn("score", F.lit(0.0)), "score")
 
 
 @q("I13_batch_scores")
 def i13(ctx):
-    return _ranked(ctx).select("bene_synth_id", "plan_key", "split", "linear_score", "gbt_score")
+    return _ranked(ctx).select("bene_synth_id", "plan_key", "split", "linear_score", "gbt_score", "lambdamart_score")
 
 
 @q("I14_data_fingerprint")

@@ -11,6 +11,7 @@ from rxgrid.operators import quality as M
 from rxgrid.operators import sampling as S
 from rxgrid.plans.registry import q
 from rxgrid.sources import io
+from rxgrid.sources import ledger
 from rxgrid.sources import schemas
 from rxgrid.streaming import incremental as P
 
@@ -37,9 +38,10 @@ def a3(ctx):
 @q("A6_shard_union")
 def a6(ctx):
     names = ctx.t("drug_names")
-    p1 = io.write_delimited(names.select("rxcui", "drug_name", "tty"), io.scratch_path(ctx.spark, "shard-a"))
-    p2 = io.write_delimited(names.select("rxcui", "drug_synonym", "ndc"), io.scratch_path(ctx.spark, "shard-b"))
-    return io.read_shards(ctx.spark, [p1, p2, "/nonexistent/shard"]).select("rxcui", "drug_name", "tty", "drug_synonym", "ndc")
+    parts = [names.select("rxcui", "drug_name", "tty"), names.select("rxcui", "drug_synonym", "ndc"), names.select("drug_name", "tty")]
+    paths = [io.write_delimited(p, io.scratch_path(ctx.spark, "shard")) for p in parts]
+    table, _ = io.read_shards(ctx.spark, [*paths, io.scratch_path(ctx.spark, "no-shard")])
+    return table.select("rxcui", "drug_name", "tty", "drug_synonym", "ndc")
 
 
 @q("A7_claims_file")
@@ -57,9 +59,10 @@ def a9(ctx):
     mid = ev.agg(((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2).alias("m")).first()["m"]
     first = io.with_meta_and_hash(ev.where(F.unix_timestamp("ts") < F.lit(mid)), "events_part1")
     target = io.scratch_path(ctx.spark, "events-target")
-    io.append_unique(first, target)
-    io.append_unique(io.with_meta_and_hash(ev, "events_full"), target)  # re-delivery of everything
-    return ctx.spark.read.parquet(target).select(*EVENT_COLS)
+    ledger.append(first, target, "part1")
+    ledger.append(io.with_meta_and_hash(ev, "events_full"), target, "full")  # re-delivery of everything
+    ledger.append(io.with_meta_and_hash(ev, "events_full"), target, "full")  # the same load, run again
+    return ledger.read(ctx.spark, target).select(*EVENT_COLS)
 
 
 @q("A10_enrich_in_place")
@@ -105,7 +108,7 @@ def p1(ctx):
     P.incremental_insert_only(ctx.spark, src, schema, os.path.join(base, "target"), os.path.join(base, "ckpt"))
     # a second run over the same feed appends nothing
     P.incremental_insert_only(ctx.spark, src, schema, os.path.join(base, "target"), os.path.join(base, "ckpt"))
-    return ctx.spark.read.parquet(os.path.join(base, "target")).select(*EVENT_COLS)
+    return ledger.read(ctx.spark, os.path.join(base, "target")).select(*EVENT_COLS)
 
 
 @q("P2_incremental_daily_summary")
@@ -113,7 +116,7 @@ def p2(ctx):
     src, schema = _feed(ctx)
     base = io.scratch_path(ctx.spark, "p2")
     P.incremental_daily_summary(ctx.spark, src, schema, os.path.join(base, "target"), os.path.join(base, "ckpt"))
-    return P.latest_summary(ctx.spark, os.path.join(base, "target"))
+    return P.daily_summary(ctx.spark, os.path.join(base, "target"))
 
 
 @q("M1_beneficiary_profile_stats")

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE coalesces the small shuffles of the gold
 # layer and splits skewed partitions of the pair x drug join at scale.
@@ -56,3 +57,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def shared_table(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step to the cluster's shared folder and read it back.
+
+    Cuts the lineage (a lost executor costs this step at most) and gives the planner the step's real size.
+    """
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store Spark reads it from; other errors (permissions) are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

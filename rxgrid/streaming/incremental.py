@@ -2,55 +2,34 @@
 
 Both run with ``trigger(availableNow=True)``: every file present is processed
 in bounded micro-batches and the query stops, so the same job serves backfills
-and periodic incremental runs.  Checkpoints live in the session's shared
-checkpoint directory, so a restarted job resumes exactly where it stopped.
+and periodic incremental runs.  Stream checkpoints live in the session's shared
+checkpoint directory, so a restarted job resumes exactly where it stopped; a
+micro-batch that is run again replaces its own earlier output.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rxgrid.operators.bronze import add_record_hash
-from rxgrid.sources.io import insert_unique_rows
+from rxgrid.session import path_exists
+from rxgrid.sources import ledger
 
 
 def split_by_day(df: DataFrame, ts_col: str, out_dir: str) -> str:
-    """Lay a table out as one folder of files per day - a replayable feed.  Each day's
-    files are stamped with the end of that day as their arrival time, so the file
-    source (which picks files in arrival order) sees the days in order, as a live
-    feed would deliver them."""
+    """Lay a table out as one folder of files per day - a replayable feed."""
     df.withColumn("day", F.to_date(ts_col)).write.mode("overwrite").partitionBy("day").parquet(out_dir)
-    if out_dir.startswith("/"):
-        import calendar
-        import datetime as dt
-
-        for entry in os.listdir(out_dir):
-            if not entry.startswith("day="):
-                continue
-            day = dt.date.fromisoformat(entry[4:])
-            stamp = calendar.timegm(day.timetuple()) + 86399
-            folder = os.path.join(out_dir, entry)
-            for f in os.listdir(folder):
-                os.utime(os.path.join(folder, f), (stamp, stamp))
     return out_dir
 
 
 def incremental_insert_only(spark: SparkSession, source_dir: str, schema: StructType, target_dir: str,
-                            checkpoint_dir: str, ignore_cols=("day",)) -> None:
-    """New files -> record hash (B5) -> per micro-batch anti-join against the target
-    and append (insert-only merge A9)."""
-
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        b = add_record_hash(batch, ignore_cols=ignore_cols)
-        try:
-            target = batch.sparkSession.read.parquet(target_dir)
-        except Exception:  # noqa: BLE001 - first batch: no target yet
-            target = None
-        insert_unique_rows(b, target).write.mode("append").parquet(target_dir)
+                            checkpoint_dir: str, ignore_cols=("day",), name: str = "feed") -> None:
+    """New files -> record hash (B5) -> each micro-batch is one epoch of the insert-only ledger."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        ledger.append(add_record_hash(batch, ignore_cols=ignore_cols), target_dir, f"{name}-{epoch:09d}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(source_dir)
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
@@ -60,38 +39,27 @@ def incremental_insert_only(spark: SparkSession, source_dir: str, schema: Struct
 
 def incremental_daily_summary(spark: SparkSession, source_dir: str, schema: StructType, target_dir: str,
                               checkpoint_dir: str, ts_col: str = "ts", key: str = "user_id",
-                              value_col: str = "value", watermark: str = "1 day") -> None:
-    """Per key and day, event count and value sum.  The watermark bounds the state
-    (finished days are dropped from it); update mode emits each changed (key, day)
-    row per micro-batch and the sink keeps every version tagged with its batch id,
-    so the latest version per (key, day) is the running result - and, once the
-    feed is drained, equals the batch aggregate, including the last open day."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(source_dir)
-    ntz = dict((f.name, f.dataType.simpleString()) for f in schema.fields).get(ts_col) == "timestamp_ntz"
-    # event time must be a session-zone timestamp for the watermark (wall clock kept, session zone UTC)
-    stream = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    agg = (stream.withWatermark(ts_col, watermark)
-           .groupBy(F.col(key), F.window(ts_col, "1 day").alias("w"))
-           .agg(F.count(F.lit(1)).alias("events"), F.sum(value_col).alias("value_sum")))
-    start = F.col("w.start").cast("timestamp_ntz") if ntz else F.col("w.start")
-    out = agg.select(key, start.alias("day_start"), "events", "value_sum")
+                              value_col: str = "value", name: str = "feed") -> None:
+    """Per key and day, event count and value sum.
 
+    Each micro-batch adds its own sums to the target as one epoch, and a reader adds the epochs up.  Sums
+    need no state between batches and no watermark, so a row counts however late it comes, and memory does
+    not grow with open days.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch)).write.mode("append").parquet(target_dir)
+        part = batch.groupBy(F.col(key), F.date_trunc("day", ts_col).cast(batch.schema[ts_col].dataType).alias("day_start")).agg(
+            F.count(F.lit(1)).alias("events"), F.sum(value_col).alias("value_sum"))
+        part.write.mode("overwrite").parquet(f"{target_dir}/epoch={name}-{epoch:09d}")
 
-    q = (out.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(source_dir)
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_summary(spark: SparkSession, target_dir: str, key: str = "user_id") -> DataFrame:
-    """Current P2 result: the last emitted version of each (key, day)."""
-    from pyspark.sql import Window
-
-    d = spark.read.parquet(target_dir)
-    w = Window.partitionBy(key, "day_start").orderBy(F.col("batch_id").desc())
-    return d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
-
-
-def paths(base: str) -> dict[str, str]:
-    return {k: os.path.join(base, k) for k in ("source", "target", "checkpoint")}
+def daily_summary(spark: SparkSession, target_dir: str, key: str = "user_id") -> DataFrame:
+    """Current P2 result: the epochs' sums added up."""
+    if not path_exists(spark, target_dir):
+        raise FileNotFoundError(target_dir)
+    return spark.read.option("basePath", target_dir).parquet(target_dir).groupBy(key, "day_start").agg(
+        F.sum("events").alias("events"), F.sum("value_sum").alias("value_sum"))

@@ -59,11 +59,42 @@ def test_exact_quantiles_match_numpy(spark):
         assert q[g].p95 == pytest.approx(np.quantile(x, 0.95))
 
 
-def test_ntile_large_path_matches_window(spark):
-    df = spark.range(0, 1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("v"))
-    small = {r.id: r.t for r in ntile(df, 3, ["v", "id"], out_col="t", max_window_rows=10_000).collect()}
-    large = {r.id: r.t for r in ntile(df, 3, ["v", "id"], out_col="t", max_window_rows=10).collect()}
-    assert small == large
+def test_exact_quantiles_with_mostly_equal_values_and_extremes(spark):
+    rng = np.random.default_rng(8)
+    odd = [float("inf"), float("-inf"), 5e-324, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308, 1 + 2**-52]
+    vals = np.where(rng.random(4000) < 0.9, 7.25, rng.normal(size=4000) * 1e3).tolist() + odd
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", v) for i, v in enumerate(vals)] + [("nothing", None), ("nan", float("nan")), ("one", -2.5)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    fractions = {"p0": 0.0, "p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r.g: r for r in exact_quantiles(df, "v", fractions, ["g"]).collect()}
+    assert set(got) == {None, "g1", "g2", "one"}
+    for g, r in got.items():
+        x = np.array([v for k, v in rows if k == g])
+        for name, q in fractions.items():
+            assert r[name] == pytest.approx(np.quantile(x, q, method="lower") if q in (0.0, 1.0) else np.quantile(x, q)), (g, name)
+    whole = exact_quantiles(df, "v", {"m": 0.5}).first()
+    assert whole.m == 7.25
+    assert exact_quantiles(df.limit(0), "v", {"m": 0.5}).collect() == []
+
+
+def test_quantile_plan_has_no_sort_of_rows(spark):
+    import inspect
+
+    from rxgrid.functions import stats
+
+    source = inspect.getsource(stats)
+    assert "repartitionByRange" not in source and "monotonically_increasing_id" not in source and "percentile(" not in source
+
+
+@pytest.mark.parametrize("rows, n", [(0, 3), (1, 3), (2, 3), (7, 3), (500, 4), (1000, 3)])
+def test_ntile_matches_window(spark, rows, n):
+    from pyspark.sql import Window
+
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 10 != 0, (F.col("id") * 7919 % 13) / 4 - 1).alias("v"), F.concat(F.lit("Pé"), (F.col("id") * 31 % 1009).cast("string")).alias("k")
+    )
+    want = {r.k: r.t for r in df.withColumn("t", F.ntile(n).over(Window.orderBy(F.col("v").asc_nulls_first(), "k"))).collect()}
+    assert {r.k: r.t for r in ntile(df, n, "v", "k", "t").collect()} == want
 
 
 def test_sampling_is_partition_invariant(spark):
