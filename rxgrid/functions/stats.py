@@ -7,8 +7,7 @@ equal: four rounds at most for any distribution of doubles, mostly one or two.
 each task sends at most 65,536 counts per group and open interval, and no group is ever sorted or held in a
 task, however many rows or equal values it has.  Rounds read the stored codes and write the open intervals
 (at most one per wanted rank) to the shared folder, so that Spark knows their size when it joins.
-NTILE finds the first row of every tile the same way, with eight bytes of the tie-breaking key at a time
-among the rows of one value, and compares each row with these few rows.
+NTILE finds the first row of every tile the same way and compares each row with these few rows.
 """
 
 from __future__ import annotations
@@ -112,44 +111,26 @@ def exact_quantiles(
     return hits.groupBy(*group).agg(*aggs).drop(_ALL)
 
 
-def _chunk(key: Column, i: int) -> Column:
-    """Bytes 8i .. 8i + 7 of a text as a 64-bit integer of the same order (missing bytes: 0)."""
-    bytes_ = F.substring(key.cast("binary"), 8 * i + 1, 8)
-    above = F.conv(F.rpad(F.hex(bytes_), 16, "0"), 16, 10).cast("decimal(20,0)")
-    return (above - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
-
-
 def ntile(df: DataFrame, n: int, value_col: str, tie_col: str, out_col: str = "ntile") -> DataFrame:
-    """``NTILE(n) OVER (ORDER BY value ASC NULLS FIRST, tie)``; (value, tie) is unique, tie is a text without zero bytes."""
-    v, tie = F.col(value_col).cast("double"), F.col(tie_col).cast("string")
+    """``NTILE(n) OVER (ORDER BY value ASC NULLS FIRST, tie)`` of a table of one row per (value, tie), e.g. of plans.
+
+    The value that starts each tile comes from digit selection; only the rows of these n - 1 values are put in
+    order by the tie-breaking key.
+    """
+    v, tie = F.col(value_col).cast("double"), F.col(tie_col)
     # a null is below all doubles, whose codes do not reach the smallest long
     bits = F.when(v.isNull(), F.lit(0).cast("long")).otherwise(_code(F.coalesce(v, F.lit(0.0))))
-    x = df.select(F.lit(0).alias(_ALL), tie.alias("_tie"), v.isNull().alias("_null"), bits.alias("_bits"))
-    code = F.when(F.col("_null"), F.lit(_BELOW)).otherwise(_ordered(F.col("_bits")))
-    rows = shared_table(x.select(_ALL, "_tie", code.alias("_code"), F.octet_length("_tie").alias("_bytes")), "codes")
-    total, widest = rows.agg(F.count(F.lit(1)), F.max("_bytes")).first()
-    size, more = divmod(total, n)
-    starts = [j * size + min(j, more) for j in range(1, n)]
-    wanted = [_ask(k, F.lit(s), F.lit(0.0)) for k, s in enumerate(starts) if s < total]
-    if not wanted:
-        return df.withColumn(out_col, F.lit(1))
+    code = F.when(v.isNull(), F.lit(_BELOW)).otherwise(_ordered(F.col("_bits")))
+    rows = df.select(F.lit(0).alias(_ALL), tie.alias("_tie"), v.alias(value_col), bits.alias("_bits"))
+    rows = shared_table(rows.select(_ALL, "_tie", code.alias("_code")), "codes")
+    size, more = F.floor(F.col("_n") / n), F.col("_n") % n
+    wanted = [_ask(j, j * size + F.least(F.lit(j), more), F.lit(0.0)) for j in range(1, n)]  # a rank that no row has is not found
     hits = _selected(rows, [_ALL], _asks(rows, [_ALL], wanted), "_code")
-    # the first row of each tile: its value, then eight bytes of its key after the other among the rows that share them
-    parts = hits.select("k", "rest", F.col("code").alias("_value"))
-    same = ["_value"]
-    chunks = [f"_c{i}" for i in range(-(-(widest or 0) // 8))]
-    keyed = rows.select(F.col("_code").alias("_value"), *[_chunk(F.col("_tie"), i).alias(c) for i, c in enumerate(chunks)])
-    for c in chunks:
-        ties = shared_table(keyed.withColumn("_code", F.col(c)).join(parts.select("k", "rest", *same), same).select("k", "rest", "_code"), "ties")
-        ends = ties.groupBy("k").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.max("rest").alias("rest"))
-        asks = ends.select(F.col("k").alias("tile"), "lo", "hi", F.lit(0).alias("k"), "rest", F.lit(0.0).alias("part"))
-        found = _selected(ties.select(F.col("k").alias("tile"), "_code"), ["tile"], asks, "_code")
-        parts = parts.drop("rest").join(found.select(F.col("tile").alias("k"), "rest", F.col("code").alias(c)), "k")
-        same.append(c)
-    place = F.struct(*same)
-    firsts = parts.groupBy().agg(F.collect_list(place).alias("_firsts"))  # one row of at most n - 1 places
-    out = df.withColumn("_tie_key", tie).withColumn("_null", v.isNull()).withColumn("_bits", bits)
-    out = out.withColumns({"_value": code, **{c: _chunk(F.col("_tie_key"), i) for i, c in enumerate(same[1:])}})
-    reached = F.size(F.filter("_firsts", lambda first: first <= place))
+    asked = hits.select("k", "rest", F.col("code").alias("_code"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("_tie")) - 1
+    first = rows.join(asked, "_code").withColumn("_at", place).where("_at = rest")
+    firsts = first.groupBy().agg(F.collect_list(F.struct("_code", "_tie")).alias("_firsts"))  # one row of at most n - 1 places
+    out = df.withColumn("_bits", bits).withColumn("_place", F.struct(code.alias("_code"), tie.alias("_tie")))
+    reached = F.size(F.filter("_firsts", lambda x: x <= F.col("_place")))
     out = out.crossJoin(F.broadcast(firsts)).withColumn(out_col, (reached + 1).cast("int"))
-    return out.drop("_firsts", "_tie_key", "_null", "_bits", *same)
+    return out.drop("_firsts", "_bits", "_place")

@@ -156,8 +156,11 @@ def service_pairs(inp: PairInputs, policy: CostPolicy = COST) -> DataFrame:
     return b.join(p, ["state", "county_code"])
 
 
-def _aqe(spark) -> bool:
-    return spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+def _bene_partitions(df: DataFrame) -> int:
+    """Partitions of everything dealt by beneficiary: the shuffle setting, which a job sizes by its data, and
+    at least two a core."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, policy: CostPolicy = COST,
@@ -173,10 +176,7 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
     # The drug rows are small next to what they expand into (x plans in the
     # county): spread them over at least two partitions per core, so AQE does
     # not coalesce the CPU-heavy expansion and cost expressions into a few tasks.
-    spark = inp.beneficiary.sparkSession
-    n_parts = max(2 * spark.sparkContext.defaultParallelism,
-                  int(spark.conf.get("spark.sql.shuffle.partitions")) if not _aqe(spark) else 0)
-    drugs = drugs.repartition(n_parts, "bene_synth_id")
+    drugs = drugs.repartition(_bene_partitions(inp.beneficiary), "bene_synth_id")
     # only what the cost needs travels with the pair x drug rows; the pair
     # attributes are attached after the aggregate (narrow shuffles)
     plans = broadcast_if_small(
@@ -246,14 +246,15 @@ def pair_drug_rows(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, pol
 def training_pairs(inp: PairInputs, pricing_policy: PricingPolicy = PRICING, policy: CostPolicy = COST) -> DataFrame:
     """The pair table with OOP parts, annual cost, objective and trade-off flag."""
     rows = pair_drug_rows(inp, pricing_policy, policy, keep_empty=True)
-    # Numeric sums per pair (a HashAggregate with map-side partial sums; the
-    # county rides along as a key, it is fixed per beneficiary), then the
-    # beneficiary attributes (one shuffle of the beneficiary table, by bene)
-    # and the plan attributes (size-checked broadcast) are attached.
+    # Numeric sums per pair (a HashAggregate; the county rides along as a key, it is
+    # fixed per beneficiary).  The rows are dealt by beneficiary already, and the
+    # beneficiary attributes are dealt the same way, so pair rows meet them where
+    # they are; the plan attributes are a size-checked broadcast.
     agg = rows.groupBy("bene_synth_id", "plan_key", "state", "county_code").agg(*G.pair_cost_aggregates())
-    bene = beneficiaries(inp.beneficiary, policy)
+    bene = beneficiaries(inp.beneficiary, policy).drop("state", "county_code")
+    bene = bene.repartition(_bene_partitions(inp.beneficiary), "bene_synth_id")
     plans = broadcast_if_small(plan_side(inp, policy).drop("formulary_id"), bound_from=inp.plan_info)
-    agg = agg.join(bene, ["bene_synth_id", "state", "county_code"]).join(plans, ["plan_key", "state", "county_code"])
+    agg = agg.join(bene, "bene_synth_id").join(plans, ["plan_key", "state", "county_code"])
     has_drugs = F.col("_n_drugs") > 0
     fallback = F.least(
         F.col("total_rx_cost_est"),
