@@ -13,9 +13,13 @@ side*side tables of 2*rows rows each: square-root work compared with separate ba
 5. Pairs are verified on full shingle sets; verified links become components (minimum label).
 6. A bucket that holds classes apart from its hub's component goes on without that hub: its next most
    central class is the hub, and pairs not in one component yet are verified again (`hub_rounds` times).
-7. In buckets still open after these rounds, each class outside the bucket's largest component is verified
-   against the classes of other components (sizes must allow the similarity).  So every pair of classes
-   that meets in a table ends in one component or is verified; nothing is capped.
+7. Classes of buckets still open after these rounds meet by left half.  A task compares the classes of one
+   half, in blocks of at most `2 * block` rows: a pair is taken at its first shared left half only, if it also
+   shares a right half (so it meets in a table), is in different components, and if sizes and bit sets allow
+   the similarity.  (A class's bit set marks the hashes of its shingles modulo `bits`; each bit of one class
+   that the other lacks is a shingle the other lacks, so the bound never rejects a link.)  The pairs left over
+   are verified.  So every pair of classes that meets in a table ends in one component or is ruled out
+   exactly; nothing is capped, and no pair that is ruled out becomes a row.
    A pair of similarity s shares no table with probability 2q - q^2, q = (1 - s^rows)^side, which is
    `miss`: 3.6e-6 at 0.75.
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxgrid.llm.common import U64, Words, mix, packed, slices, stored, text_bytes, windows_hash
+from rxgrid.llm.common import U64, Words, mix, packed, partitions, slices, stored, text_bytes, windows_hash
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,9 @@ class NearDup:
     side: int = 16
     rows: int = 2
     hub_rounds: int = 2
+    #: Rows of a block of one half's classes, and length of a class's bit set.
+    block: int = 2048
+    bits: int = 1024
 
 
 def miss(cfg: NearDup, similarity: float) -> float:
@@ -107,18 +114,26 @@ def signatures(docs: DataFrame, cfg: NearDup = NearDup(), text: str = "text", do
     return src.mapInArrow(_signature_batches(cfg), schema)
 
 
-def _set_batches(width: int):
+def _bit_set(shingles: np.ndarray, bits: int) -> bytes:
+    marks = np.zeros(bits, bool)
+    marks[(mix(shingles) % U64(bits)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def _set_batches(cfg: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(texts):
-                sets, at = shingle_sets(texts[lo:hi], width)
+                sets, at = shingle_sets(texts[lo:hi], cfg.width)
+                own = [sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array([packed(sets[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                        pa.array([packed(x) for x in own], pa.binary()),
+                        pa.array([_bit_set(x, cfg.bits) for x in own], pa.binary()),
                     ],
-                    names=["id", "shingles"],
+                    names=["id", "shingles", "bits"],
                 )
 
     return run
@@ -170,18 +185,75 @@ def _hub_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(hubs, "key").filter("a <> b").select("key", "a", "weight", "b")
 
 
-def _outsider_pairs(keys: DataFrame, labels: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """keys(key, a, ...) -> pairs (a < b) of one bucket but different components, a or b outside its largest one."""
-    in_bucket = keys.select("key", F.col("a").alias("id")).join(labels, "id", "left").join(size, "id")
-    in_bucket = in_bucket.select("key", "id", "n_shingles", F.coalesce("label", "id").alias("label"))
-    parts = in_bucket.groupBy("key", "label").agg(F.count("*").alias("n"))
-    home = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("home"), F.count("*").alias("parts"))
-    home = home.filter("parts > 1").select("key", F.col("home.label").alias("home"))
-    member = stored(in_bucket.join(home, "key"))
-    outsider = member.filter("label <> home").select("key", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n_shingles").alias("nx"))
-    both = outsider.join(member, "key").filter("lx <> label AND (label = home OR x < id)")
-    both = both.filter(100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles"))
-    return both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, words: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bit sets allow the similarity of rows i and j."""
+    a, b = words[i], words[j]
+    both = np.minimum(size[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), size[j] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return 100 * both >= percent * (size[i] + size[j] - both)
+
+
+def _half_pairs(cfg: NearDup, slot: int, first: int, second: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the possible links between the blocks `first` and `second` of one left half's classes."""
+    ids, labels, size, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    halves = np.array([r[4] for r in rows], np.int64)
+    words = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+    left, right = halves[:, : cfg.side], halves[:, cfg.side :]
+    found = []
+    others = np.flatnonzero(block == second)
+    for at in np.flatnonzero(block == first):
+        j = others[(labels[others] != labels[at]) & ((ids[others] > ids[at]) if first == second else True)]
+        j = j[100 * np.minimum(size[j], size[at]) >= cfg.percent * np.maximum(size[j], size[at])]
+        j = j[(right[j] == right[at]).any(axis=1)]
+        j = j[(left[j] == left[at]).argmax(axis=1) == slot]
+        if len(j):
+            i = np.full(len(j), at)
+            ok = _possible(i, j, size, words, cfg.percent)
+            found.append((i[ok], j[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def _half_batches(cfg: NearDup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            a, b = _half_pairs(cfg, at[0], at[2], at[3], rows)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for key in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+                if rows and key[:4] != at:
+                    yield pairs()
+                    rows = []
+                at = key[:4]
+                rows.append(key[4:])
+        if rows:
+            yield pairs()
+
+    return run
+
+
+def _outsider_pairs(keys: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
+    """keys(key, a, ...) -> possible links (a < b) between classes of different components that meet in a table."""
+    member = keys.select("key", F.col("a").alias("id")).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    apart = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    member = member.join(apart, "key", "left_semi").select("id", "label").distinct()
+    member = stored(member.join(classes.select("id", "n_shingles", "halves"), "id").join(sets.dropDuplicates(["id"]).select("id", "bits"), "id"))
+    row = member.select("id", "label", "n_shingles", F.posexplode(F.slice("halves", 1, cfg.side)).alias("slot", "half"))
+    groups = row.groupBy("slot", "half").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    groups = groups.filter("x <> y").select("slot", "half", F.ceil(F.col("n") / cfg.block).cast("int").alias("blocks"))
+    row = row.join(groups, ["slot", "half"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a row meets every block of its half: unordered pairs of blocks
+    row = row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = row.select("slot", "half", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "id", "label", "n_shingles", "block")
+    row = row.join(member.select("id", "halves", "bits"), "id")
+    row = row.select("slot", "half", "first", "second", "id", "label", "n_shingles", "block", "halves", "bits")
+    order = ["slot", "half", "first", "second"]
+    dealt = row.repartition(partitions(row.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(_half_batches(cfg), "a long, b long")
 
 
 def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -220,8 +292,8 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
     members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     members = stored(members.union(hubbed.select("a")).distinct())
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # an id may repeat with other texts: only the text with the class's own digest counts, below
-    sets = stored(src.join(members, "id", "left_semi").mapInArrow(_set_batches(cfg.width), "id long, shingles binary"), "neardup-sets")
+    # rows of one id are copies of each other: any of its texts stands for it
+    sets = stored(src.join(members, "id", "left_semi").mapInArrow(_set_batches(cfg), "id long, shingles binary, bits binary"), "neardup-sets")
     edges = stored(verified(pairs, sets, cfg.percent).distinct())
     labels = components(edges)
     tested = pairs
@@ -245,7 +317,7 @@ def classes_and_labels(docs: DataFrame, cfg: NearDup, text: str = "text", doc_id
         tested = stored(tested.union(fresh))
         labels = components(edges)
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(_outsider_pairs(left_over, labels, size, cfg.percent).join(known, ["a", "b"], "left_anti"))
+    rest = stored(_outsider_pairs(left_over, labels, classes, sets, cfg).join(known, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(stored(edges.union(verified(rest, sets, cfg.percent)).distinct()))
     out = classes.join(labels, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("component_id"))

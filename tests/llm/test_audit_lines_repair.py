@@ -249,3 +249,50 @@ def test_registered_queries(spark, name):
         rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
         assert got_repair(got) == brute_all(brute_damage(rows), {r[0] for r in rows})
         assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def test_bit_sets_never_reject_a_link():
+    import numpy as np
+
+    from rxgrid.llm import neardup
+
+    rng = np.random.default_rng(2)
+    for bits in (64, 1024):
+        base = [rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) for _ in range(30)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) < keep], rng.integers(0, 2**63, extra, dtype=np.uint64)]))
+                for b in base for keep, extra in ((1.0, 0), (0.95, 3), (0.85, 10), (0.7, 0))]
+        sets = [x for x in sets if len(x)]
+        size = np.array([len(x) for x in sets])
+        words = np.frombuffer(b"".join(neardup._bit_set(x, bits) for x in sets), np.uint64).reshape(len(sets), -1)
+        i, j = np.triu_indices(len(sets), 1)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+        link = 100 * both >= 75 * (size[i] + size[j] - both)
+        ok = neardup._possible(i, j, size, words, 75)
+        assert link.sum() > 20 and ok[link].all() and (bits < 1024 or ok.mean() < 0.2)
+
+
+def test_settlement_of_open_buckets_matches_brute_force(spark):
+    """A dense family with links that no hub sees, in blocks of a few rows."""
+    from rxgrid.llm import neardup
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    label = {i: i for i in sets}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in itertools.combinations(sets, 2):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    for cfg in (neardup.NearDup(), neardup.NearDup(hub_rounds=0, block=16)):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, cfg).collect()}
+        assert got == label
