@@ -158,9 +158,9 @@ def pharmacies_by_zip(pharmacy_network: DataFrame, zipcode: DataFrame, pharmacy_
 
     ``pharmacy_type`` filters on the derived type (T7); by default every retail-offering pharmacy counts.
     """
-    from rxgrid.operators.bronze import tf_pharmacy_network
+    from rxgrid.operators import bronze
 
-    net = tf_pharmacy_network(pharmacy_network)
+    net = bronze.network(pharmacy_network)
     if pharmacy_type:
         net = net.where(F.col("pharmacy_type") == pharmacy_type)
     elif retail_only:
@@ -232,14 +232,14 @@ def representative_zip(zip_with_county: DataFrame) -> DataFrame:
 def county_pharmacy_links(plan_info: DataFrame, pharmacy_network: DataFrame, zip_with_county: DataFrame) -> DataFrame:
     """One row per (county, plan, pharmacy) where the pharmacy's ZIP lies in the county
     the plan row serves (three equi-joins)."""
-    from rxgrid.operators.bronze import tf_pharmacy_network
+    from rxgrid.operators import bronze
 
     z = broadcast_if_small(zip_with_county.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
         F.col("zip_code").alias("pharmacy_zipcode"), "city", F.col("state").alias("z_state"), "county",
         F.col("county_code").alias("z_county"), "lat", "lng"))
     p = broadcast_if_small(plan_info.select("plan_key", "plan_name", "contract_name", "premium", "deductible",
                                             "state", "county_code"))
-    n = tf_pharmacy_network(pharmacy_network).select("plan_key", "pharmacy_number", "pharmacy_zipcode",
+    n = bronze.network(pharmacy_network).select("plan_key", "pharmacy_number", "pharmacy_zipcode",
                                                      "is_preferred_retail", "is_preferred_mail", "is_in_area")
     j = n.join(z, "pharmacy_zipcode").join(p, "plan_key").where(F.col("z_county") == F.col("county_code"))
     return j.drop("z_county")

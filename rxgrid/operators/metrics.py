@@ -162,7 +162,7 @@ def formulary_metrics(plan_info: DataFrame, formulary: DataFrame, insulin_ref: D
 
 def network_metrics(pharmacy_network: DataFrame) -> DataFrame:
     """Per-plan network size, preferred counts and shares, adequacy, fees."""
-    n = bronze.tf_pharmacy_network(pharmacy_network)
+    n = bronze.network(pharmacy_network)
     pref_any = F.col("is_preferred_retail") | F.col("is_preferred_mail")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     agg = n.groupBy("plan_key").agg(

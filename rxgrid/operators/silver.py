@@ -1,257 +1,154 @@
-"""Silver normalisation (B12-B24): padded ids, typed flags, decimals, keys."""
+"""Silver normalisation (B12-B24): padded ids, typed flags, decimals, keys.
+
+Each source is a rule table (``rules``); what needs several columns or another table follows it.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxgrid.functions.columns import flag_to_int, normalize_id, yn_to_bool
+from rxgrid.functions.columns import normalize_id
 from rxgrid.functions.joins import broadcast_if_small
-
-
-def to_snake(name: str) -> str:
-    """Snake-case one column name."""
-    s = re.sub(r"[^\w]+", "_", name.strip())
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
-    return re.sub(r"_+", "_", s).lower()
-
-
-def standardize_columns(df: DataFrame) -> DataFrame:
-    """Rename every column at once (one projection, not a rename loop)."""
-    return df.toDF(*[to_snake(c) for c in df.columns])
-
-
-def cast_decimal(c: str, p: int, s: int) -> F.Column:
-    """Lenient decimal cast."""
-    return F.trim(F.col(c).cast("string")).try_cast(f"decimal({p},{s})")
-
-
-def add_ingest_metadata(df: DataFrame) -> DataFrame:
-    """Add ingest timestamps only when missing."""
-    cols = {}
-    if "ingestion_ts" not in df.columns:
-        cols["ingestion_ts"] = F.current_timestamp()
-    if "updated_at" not in df.columns:
-        cols["updated_at"] = F.current_timestamp()
-    return df.withColumns(cols) if cols else df
-
-
-def days_supply_label_silver(c: str) -> F.Column:
-    """Days-supply code -> label including 3 = OTHER."""
-    v = F.col(c).cast("int")
-    return F.when(v == 1, "30_DAYS").when(v == 2, "90_DAYS").when(v == 3, "OTHER").when(v == 4, "60_DAYS")
-
-
-def slv_plan(plan_info: DataFrame) -> DataFrame:
-    """Padded ids, decimals, contract type letter, business key; plan_key kept or hashed."""
-    d = standardize_columns(plan_info).withColumns(
-        {
-            "contract_id": F.upper(F.trim("contract_id")),
-            "plan_id": normalize_id("plan_id", 3),
-            "segment_id": normalize_id("segment_id", 3),
-            "formulary_id": F.upper(F.trim("formulary_id")),
-            "state": normalize_id("state", 2),
-            "county_code": normalize_id("county_code", 5),
-            "premium": cast_decimal("premium", 12, 2),
-            "deductible": cast_decimal("deductible", 12, 2),
-        }
-    )
-    d = d.withColumns(
-        {
-            "contract_type": F.substring("contract_id", 1, 1),
-            "plan_bk": F.concat_ws("|", "contract_id", "plan_id", "segment_id"),
-        }
-    )
-    if "plan_key" not in d.columns:
-        d = d.withColumn("plan_key", F.xxhash64("plan_bk").cast("string"))
-    return d
-
-
-def slv_geo(geographic: DataFrame) -> DataFrame:
-    """Geography with padded codes and upper-cased names."""
-    return standardize_columns(geographic).withColumns(
-        {
-            "county_code": normalize_id("county_code", 5),
-            "statename": F.upper(F.trim("statename")),
-            "county": F.upper(F.trim("county")),
-            "ma_region_code": normalize_id("ma_region_code", 2),
-            "pdp_region_code": normalize_id("pdp_region_code", 2),
-        }
-    )
-
-
-def slv_beneficiary_cost(beneficiary_cost: DataFrame, plans: DataFrame) -> DataFrame:
-    """Typed codes and labels, decimals, regex-cleaned minimums, plan-key lookup."""
-    d = standardize_columns(beneficiary_cost).withColumns(
-        {
-            "contract_id": F.upper(F.trim("contract_id")),
-            "plan_id": normalize_id("plan_id", 3),
-            "segment_id": normalize_id("segment_id", 3),
-            "coverage_level": F.col("coverage_level").cast("int"),
-            "tier": F.col("tier").cast("int"),
-            "days_supply": F.col("days_supply").cast("int"),
-            "days_supply_label": days_supply_label_silver("days_supply"),
-            "tier_specialty": yn_to_bool("tier_specialty_yn"),
-            "deductible_applies": yn_to_bool("ded_applies_yn"),
-        }
-    )
-    for ch in ("pref", "nonpref", "mail_pref", "mail_nonpref"):
-        d = d.withColumns(
-            {
-                f"cost_type_{ch}": F.col(f"cost_type_{ch}").cast("int"),
-                f"cost_amt_{ch}": F.col(f"cost_amt_{ch}").cast("decimal(12,4)"),
-                f"cost_min_amt_{ch}": F.regexp_replace(F.col(f"cost_min_amt_{ch}").cast("string"), r"[^0-9.\-]", "")
-                .try_cast("decimal(12,4)"),
-                f"cost_max_amt_{ch}": F.col(f"cost_max_amt_{ch}").cast("decimal(12,4)"),
-            }
-        )
-    d = d.withColumn("plan_bk", F.concat_ws("|", "contract_id", "plan_id", "segment_id")).drop("plan_key")
-    keys = plans.select("plan_bk", "plan_key").dropDuplicates(["plan_bk"])
-    d = d.join(broadcast_if_small(keys), "plan_bk", "left")
-    return d.withColumn(
-        "cost_key",
-        F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("plan_key", "coverage_level", "tier", "days_supply")]), 256),
-    )
-
-
-def slv_pricing(pricing: DataFrame, plans: DataFrame) -> DataFrame:
-    """NDC padded to 11, unit cost decimal(12,4), plan-key lookup, pricing key."""
-    d = standardize_columns(pricing).withColumns(
-        {
-            "contract_id": F.upper(F.trim("contract_id")),
-            "plan_id": normalize_id("plan_id", 3),
-            "segment_id": normalize_id("segment_id", 3),
-            "ndc": normalize_id("ndc", 11),
-            "days_supply": F.col("days_supply").cast("int"),
-            # through 6 places first so a double on a rounding boundary lands the same way in every engine
-            "unit_cost": F.col("unit_cost").cast("decimal(24,6)").cast("decimal(12,4)"),
-        }
-    )
-    d = d.withColumn("plan_bk", F.concat_ws("|", "contract_id", "plan_id", "segment_id")).drop("plan_key")
-    keys = plans.select("plan_bk", "plan_key").dropDuplicates(["plan_bk"])
-    d = d.join(broadcast_if_small(keys), "plan_bk", "left")
-    return d.withColumn("pricing_key", F.concat_ws("|", "plan_key", "ndc", F.col("days_supply").cast("string")))
-
-
-def slv_pharmacy_network(pharmacy_network: DataFrame) -> DataFrame:
-    """Nullable booleans, decimal fees and averages with nulls as 0 over a fixed 3."""
-    d = standardize_columns(pharmacy_network)
-    fee = {c: F.col(c).cast("decimal(8,4)") for c in d.columns if "dispensing_fee" in c}
-    d = d.withColumns(
-        {
-            "contract_id": F.upper(F.trim("contract_id")),
-            "plan_id": normalize_id("plan_id", 3),
-            "segment_id": normalize_id("segment_id", 3),
-            "pharmacy_number": F.upper(F.trim("pharmacy_number")),
-            "pharmacy_zipcode": normalize_id("pharmacy_zipcode", 5),
-            "preferred_status_retail": yn_to_bool("preferred_status_retail"),
-            "preferred_status_mail": yn_to_bool("preferred_status_mail"),
-            "pharmacy_retail": yn_to_bool("pharmacy_retail"),
-            "pharmacy_mail": yn_to_bool("pharmacy_mail"),
-            "in_area_flag": F.col("in_area_flag").cast("int"),
-            "floor_price": F.col("floor_price").cast("decimal(8,4)"),
-            **fee,
-        }
-    )
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return d.withColumns(
-        {
-            "is_in_area": F.when(F.col("in_area_flag") == 1, True).when(F.col("in_area_flag") == 0, False),
-            "plan_bk": F.concat_ws("|", "contract_id", "plan_id", "segment_id"),
-            "avg_brand_fee": (z("brand_dispensing_fee_30") + z("brand_dispensing_fee_60") + z("brand_dispensing_fee_90")) / 3,
-            "avg_generic_fee": (z("generic_dispensing_fee_30") + z("generic_dispensing_fee_60")
-                                + z("generic_dispensing_fee_90")) / 3,
-        }
-    )
-
-
-def slv_basic_formulary(formulary: DataFrame, insulin_ndcs: DataFrame) -> DataFrame:
-    """Padded ids, 0/1 flags, restriction count, key hash and the insulin tag
-    (left join on the distinct insulin NDC list)."""
-    d = standardize_columns(formulary).withColumns(
-        {
-            "formulary_id": F.upper(F.trim("formulary_id")),
-            "formulary_version": F.upper(F.trim("formulary_version")),
-            "contract_year": normalize_id("contract_year", 4),
-            "rxcui": normalize_id("rxcui", 8),
-            "ndc": normalize_id("ndc", 11),
-            "tier_level_value": F.col("tier_level_value").cast("int"),
-            "quantity_limit_flag": flag_to_int("quantity_limit_yn"),
-            "prior_auth_flag": flag_to_int("prior_authorization_yn"),
-            "step_therapy_flag": flag_to_int("step_therapy_yn"),
-            "quantity_limit_amount": F.trim(F.col("quantity_limit_amount").cast("string")),
-            "quantity_limit_days": F.col("quantity_limit_days").cast("int"),
-        }
-    )
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    d = d.withColumns(
-        {
-            "restriction_count": z("quantity_limit_flag") + z("prior_auth_flag") + z("step_therapy_flag"),
-            "formulary_drug_key": F.sha2(
-                F.concat_ws("|", "formulary_id", "formulary_version", "contract_year", "rxcui", "ndc"), 256
-            ),
-        }
-    )
-    ins = insulin_ndcs.where(F.col("ndc").isNotNull()).select(normalize_id("ndc", 11).alias("ndc")).distinct()
-    ins = broadcast_if_small(ins.withColumn("is_insulin", F.lit(1)))
-    return d.join(ins, "ndc", "left").withColumn("is_insulin", F.coalesce("is_insulin", F.lit(0)))
-
-
-def slv_plan_insulin_cost(insulin_cost: DataFrame) -> DataFrame:
-    """Tier '.' or blank -> null with an ALL scope, channel copays, row-wise min / max and
-    the $35-per-month cap flag (the notebook's literal 'tier_raw' scope is read as intent: the
-    tier itself, T20)."""
-    raw = F.trim(F.col("tier").cast("string"))
+from rxgrid.operators.bronze import CHANNELS, COST_TYPES, DAYS_SUPPLY, FILL_DAYS, applied_fee
+from rxgrid.operators.rules import applied, coded, joined, total
+
+PLAN_IDS = {"contract_id": "text", "plan_id": "id:3", "segment_id": "id:3"}
+PLAN = {
+    **PLAN_IDS, "formulary_id": "text", "state": "id:2", "county_code": "id:5", "premium": "amount:12:2", "deductible": "amount:12:2",
+}
+GEOGRAPHY = {"county_code": "id:5", "statename": "text", "county": "text", "ma_region_code": "id:2", "pdp_region_code": "id:2"}
+COST = {
+    **PLAN_IDS, "coverage_level": "int", "tier": "int", "days_supply": "int",
+    "tier_specialty": "tier_specialty_yn > yn", "deductible_applies": "ded_applies_yn > yn",
+    **{f"cost_type_{c}": "int" for c in CHANNELS},
+    **{f"cost_{end}amt_{c}": "decimal:12:4" for c in CHANNELS for end in ("", "max_")},
+    **{f"cost_min_amt_{c}": "digits:12:4" for c in CHANNELS},
+}
+PRICING = {**PLAN_IDS, "ndc": "id:11", "days_supply": "int", "unit_cost": "price:12:4"}
+NETWORK = {
+    **PLAN_IDS, "pharmacy_number": "text", "pharmacy_zipcode": "id:5", "in_area_flag": "int", "floor_price": "decimal:8:4",
+    **dict.fromkeys(("preferred_status_retail", "preferred_status_mail", "pharmacy_retail", "pharmacy_mail"), "yn"),
+    **{f"{k}_dispensing_fee_{d}": "decimal:8:4" for k in ("brand", "generic") for d in FILL_DAYS},
+}
+FORMULARY = {
+    "formulary_id": "text", "formulary_version": "text", "contract_year": "id:4", "rxcui": "id:8", "ndc": "id:11",
+    "tier_level_value": "int", "quantity_limit_amount": "quantity_limit_amount > plain", "quantity_limit_days": "int",
+    "quantity_limit_flag": "quantity_limit_yn > bit",
+    "prior_auth_flag": "prior_authorization_yn > bit",
+    "step_therapy_flag": "step_therapy_yn > bit",
+}
+ACCESS = {
+    "rxcui_norm": "rxcui > id:8", "completely_excluded": "tier > null", "conditionally_covered": "tier > given",
+    "pa": "prior_auth_yn > yes01", "st": "step_therapy_yn > yes01", "ql": "quantity_limit_yn > yes01", "cap_benefit": "capped_benefit_yn > yes01",
+}
+INSULIN = {
+    **{f"copay_{c}": f"copay_amt_{c}_insln > double" for c in CHANNELS},
+    "tier_raw": "tier > plain",
+}
+# Days-supply labels of the silver cost table, months of a days code, and the monthly insulin cap.
+DAYS_LABELS = {1: "30_DAYS", 2: "90_DAYS", 3: "OTHER", 4: "60_DAYS"}
+MONTHS = {2: "3", 4: "2"}
+INSULIN_CAP = 35.0
+
+
+def snake(name: str) -> str:
+    """A header in snake case: words part at capitals after a lower-case letter or digit, and at anything else."""
+    words = re.split(r"\W+|_+|(?<=[a-z0-9])(?=[A-Z])", name.strip())
+    edge = ("_" if re.match(r"\W|_", name.strip()) else "", "_" if re.search(r"(\W|_)$", name.strip()) else "")
+    return edge[0] + "_".join(w for w in words if w).lower() + edge[1]
+
+
+def snake_columns(df: DataFrame) -> DataFrame:
+    """All columns renamed in one projection."""
+    return df.toDF(*map(snake, df.columns))
+
+
+def with_load_times(df: DataFrame) -> DataFrame:
+    """Load times where the table has none yet."""
+    missing = [c for c in ("ingestion_ts", "updated_at") if c not in df.columns]
+    return df.withColumns({c: F.current_timestamp() for c in missing}) if missing else df
+
+
+def _business_key() -> Column:
+    return joined("|", *PLAN_IDS)
+
+
+def _with_plan_of(df: DataFrame, plans: DataFrame) -> DataFrame:
+    """The plan key that the plan table has for a row's ids."""
+    keys = broadcast_if_small(plans.select("plan_bk", "plan_key").dropDuplicates(["plan_bk"]))
+    return df.withColumn("plan_bk", _business_key()).drop("plan_key").join(keys, "plan_bk", "left")
+
+
+def plan(plan_info: DataFrame) -> DataFrame:
+    """Typed plans with their contract letter and business key; a hash of it where there is no plan key."""
+    d = applied(snake_columns(plan_info), PLAN)
+    d = d.withColumns({"contract_type": F.left("contract_id", F.lit(1)), "plan_bk": _business_key()})
+    return d if "plan_key" in d.columns else d.withColumn("plan_key", F.xxhash64("plan_bk").cast("string"))
+
+
+def geography(geographic: DataFrame) -> DataFrame:
+    """Padded codes, upper-case names."""
+    return applied(snake_columns(geographic), GEOGRAPHY)
+
+
+def beneficiary_cost(costs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Typed codes, their labels and amounts, plan key and hashed cost key."""
+    d = _with_plan_of(applied(snake_columns(costs), COST), plans)
+    return d.withColumns({
+        "days_supply_label": coded(F.col("days_supply"), DAYS_LABELS),
+        **{f"cost_type_{c}_label": coded(F.col(f"cost_type_{c}"), COST_TYPES) for c in CHANNELS},
+        "cost_key": F.sha2(joined("|", "plan_key", "coverage_level", "tier", "days_supply"), 256),
+    })
+
+
+def pricing(prices: DataFrame, plans: DataFrame) -> DataFrame:
+    """Typed prices with plan key and pricing key."""
+    return _with_plan_of(applied(snake_columns(prices), PRICING), plans).withColumn("pricing_key", joined("|", "plan_key", "ndc", "days_supply"))
+
+
+def network(pharmacies: DataFrame) -> DataFrame:
+    """Flags that may be unknown, decimal fees and their means with 0 for a missing one."""
+    area = F.col("in_area_flag")
+    return applied(snake_columns(pharmacies), NETWORK).withColumns({
+        "is_in_area": F.when(area.isin(0, 1), area == 1),
+        "plan_bk": _business_key(),
+        **{f"avg_{k}_fee": applied_fee(k, missing=0) for k in ("brand", "generic")},
+    })
+
+
+def formulary(drugs: DataFrame, insulin: DataFrame) -> DataFrame:
+    """Typed drugs with their restriction count, hashed key and the insulin tag."""
+    d = applied(snake_columns(drugs), FORMULARY).withColumns({
+        "restriction_count": total(["quantity_limit_flag", "prior_auth_flag", "step_therapy_flag"], missing=0),
+        "formulary_drug_key": F.sha2(joined("|", "formulary_id", "formulary_version", "contract_year", "rxcui", "ndc"), 256),
+    })
+    tagged = insulin.select(normalize_id("ndc", 11).alias("ndc")).where("ndc IS NOT NULL").distinct().withColumn("is_insulin", F.lit(1))
+    return d.join(broadcast_if_small(tagged), "ndc", "left").fillna({"is_insulin": 0})
+
+
+def insulin_cost(costs: DataFrame) -> DataFrame:
+    """Copays of all channels with the lowest and highest, the tier they are for (none: ALL), and
+    whether the highest exceeds the monthly cap."""
+    d = applied(costs, INSULIN)
+    none = F.coalesce(F.col("tier_raw"), F.lit("")).isin("", ".")
     days = F.col("days_supply").cast("int")
-    months = F.when(days == 2, 3).when(days == 4, 2).otherwise(1)
-    ch = {
-        "copay_pref": F.col("copay_amt_pref_insln").cast("double"),
-        "copay_nonpref": F.col("copay_amt_nonpref_insln").cast("double"),
-        "copay_mail_pref": F.col("copay_amt_mail_pref_insln").cast("double"),
-        "copay_mail_nonpref": F.col("copay_amt_mail_nonpref_insln").cast("double"),
-    }
-    d = insulin_cost.withColumns(
-        {
-            "plan_key": F.concat_ws("", "contract_id", "plan_id", "segment_id"),
-            "tier_raw": raw,
-            "tier_int": F.when(raw.isNull() | (raw == ".") | (raw == ""), F.lit(None)).otherwise(raw.try_cast("int")),
-            "tier_scope": F.when(raw.isNull() | (raw == ".") | (raw == ""), "ALL").otherwise(F.concat(F.lit("TIER_"), raw)),
-            **ch,
-        }
-    )
-    d = d.withColumns(
-        {
-            "insulin_min_copay_all_channels": F.least(*[F.col(c) for c in ch]),
-            "insulin_max_copay_all_channels": F.greatest(*[F.col(c) for c in ch]),
-            "days_supply_label": F.when(days == 1, "30_days").when(days == 2, "90_days").when(days == 4, "60_days")
-            .otherwise("other"),
-        }
-    )
-    return d.withColumn(
-        "exceeds_cap_flag", F.when(F.col("insulin_max_copay_all_channels") > 35.0 * months, 1).otherwise(0)
-    )
-
-
-def slv_plan_drug_access_rules(excluded: DataFrame) -> DataFrame:
-    """PA / ST / QL / capped ints, access status EXCLUDED / CONDITIONAL / COVERED, score."""
-    y = lambda c: (F.upper(F.trim(F.col(c))) == "Y").cast("int")
-    d = excluded.withColumns(
-        {
-            "rxcui_norm": normalize_id("rxcui", 8),
-            "pa": y("prior_auth_yn"),
-            "st": y("step_therapy_yn"),
-            "ql": y("quantity_limit_yn"),
-            "cap_benefit": y("capped_benefit_yn"),
-            "completely_excluded": F.col("tier").isNull(),
-            "conditionally_covered": F.col("tier").isNotNull(),
-        }
-    )
-    return d.withColumns(
-        {
-            "drug_access_status": F.when(F.col("completely_excluded"), "EXCLUDED")
-            .when(F.col("conditionally_covered"), "CONDITIONAL").otherwise("COVERED"),
-            "restriction_score": F.col("pa") + F.col("st") + F.col("ql") + F.col("cap_benefit"),
-        }
-    )
+    copays = [f"copay_{c}" for c in CHANNELS]
+    d = d.withColumns({
+        "plan_key": joined("", *PLAN_IDS),
+        "tier_int": F.when(~none, F.col("tier_raw").try_cast("int")),
+        "tier_scope": F.when(none, "ALL").otherwise(F.concat(F.lit("TIER_"), "tier_raw")),
+        "insulin_min_copay_all_channels": F.least(*copays),
+        "insulin_max_copay_all_channels": F.greatest(*copays),
+        "days_supply_label": coded(days, DAYS_SUPPLY, "other"),
+    })
+    cap = INSULIN_CAP * coded(days, MONTHS, "1").cast("int")
+    return d.withColumn("exceeds_cap_flag", F.coalesce(F.col("insulin_max_copay_all_channels") > cap, F.lit(False)).cast("int"))
+
+
+def access_rules(excluded: DataFrame) -> DataFrame:
+    """Restriction bits and their sum, and the access status."""
+    status = F.when(F.col("completely_excluded"), "EXCLUDED").otherwise("CONDITIONAL")
+    return applied(excluded, ACCESS).withColumns({"drug_access_status": status, "restriction_score": total(["pa", "st", "ql", "cap_benefit"])})

@@ -67,12 +67,12 @@ def _land(ctx, name):
 
 @q("B6_region_codes_numeric")
 def b6(ctx):
-    return B.region_codes_numeric(ctx.t("plan_info").select("plan_key", "county_code", "ma_region_code", "pdp_region_code"))
+    return B.numeric_codes(ctx.t("plan_info").select("plan_key", "county_code", "ma_region_code", "pdp_region_code"))
 
 
 @q("B18_slv_geography")
 def b18(ctx):
-    return S.slv_geo(ctx.t("geographic")).select("county_code", "statename", "county", "ma_region_code", "pdp_region_code")
+    return S.geography(ctx.t("geographic")).select("county_code", "statename", "county", "ma_region_code", "pdp_region_code")
 
 
 @q("B25_ndc11_from_formatted")
@@ -161,7 +161,7 @@ def j26(ctx):
 @q("B4_B5_ingest_metadata")
 def b4(ctx):
     """Load metadata (B4: timestamps, so rows only) and the business-column record hash."""
-    return B.add_record_hash(B.add_ingest_meta(ctx.t("pricing"), "pricing", 2025, "Q3")).select(
+    return B.hashed(B.stamped(ctx.t("pricing"), "pricing", 2025, "Q3")).select(
         "plan_key", "ndc", "days_supply", "contract_year", "contract_quarter", "source_filename", "ingestion_ts",
         "record_hash")
 
@@ -171,4 +171,4 @@ def b12(ctx):
     """CMS-style upper / camel-case headers renamed in one projection."""
     raw = ctx.t("plan_info").toDF(*[c.upper() if i % 2 else "".join(w.title() for w in c.split("_"))
                                     for i, c in enumerate(ctx.t("plan_info").columns)])
-    return S.standardize_columns(raw)
+    return S.snake_columns(raw)

@@ -22,11 +22,11 @@ from rxgrid.session import shared_table
 def _plan_level(ctx):
     key = "_plan_level"
     if key not in ctx.__dict__:
-        slv_form = S.slv_basic_formulary(ctx.t("formulary"), ctx.t("insulin_ref"))
+        slv_form = S.formulary(ctx.t("formulary"), ctx.t("insulin_ref"))
         cost = GD.cost_metrics(ctx.t("beneficiary_cost"))
-        ins = GD.insulin_friendliness(GD.insulin_cost_metrics(S.slv_plan_insulin_cost(ctx.t("insulin_cost"))),
+        ins = GD.insulin_friendliness(GD.insulin_cost_metrics(S.insulin_cost(ctx.t("insulin_cost"))),
                                       GD.insulin_access_metrics(ctx.t("plan_info"), slv_form))
-        net = GD.network_metrics_nb(S.slv_pharmacy_network(ctx.t("pharmacy_network")).withColumn(
+        net = GD.network_metrics_nb(S.network(ctx.t("pharmacy_network")).withColumn(
             "plan_key", F.concat("contract_id", "plan_id", "segment_id")))
         ctx.__dict__[key] = (cost, ins, net)
     return ctx.__dict__[key]
@@ -37,7 +37,7 @@ def _summary(ctx):
     key = "_summary"
     if key not in ctx.__dict__:
         cost, ins, net = _plan_level(ctx)
-        form = GD.formulary_metrics_nb(ctx.t("plan_info"), S.slv_basic_formulary(ctx.t("formulary"), ctx.t("insulin_ref")))
+        form = GD.formulary_metrics_nb(ctx.t("plan_info"), S.formulary(ctx.t("formulary"), ctx.t("insulin_ref")))
         plans = GD.dim_plan(ctx.t("plan_info")).select(
             "plan_key", contract_type("is_ma_pd", "is_pdp").alias("contract_type"), "state", "county_code",
             F.col("snp").cast("string").alias("snp"), "premium", "deductible")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rxgrid.operators.bronze import add_record_hash
+from rxgrid.operators.bronze import hashed
 from rxgrid.session import path_exists
 from rxgrid.sources import ledger
 
@@ -29,7 +29,7 @@ def incremental_insert_only(spark: SparkSession, source_dir: str, schema: Struct
     """New files -> record hash (B5) -> each micro-batch is one epoch of the insert-only ledger."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        ledger.append(add_record_hash(batch, ignore_cols=ignore_cols), target_dir, f"{name}-{epoch:09d}")
+        ledger.append(hashed(batch, ignore_cols), target_dir, f"{name}-{epoch:09d}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(source_dir)
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)

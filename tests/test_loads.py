@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from rxgrid.operators.bronze import add_record_hash
+from rxgrid.operators.bronze import hashed
 from rxgrid.sources import io, ledger
 from rxgrid.streaming import incremental as P
 
@@ -33,7 +33,7 @@ def test_a_thousand_shards_of_three_headers_make_three_scans(spark, tmp_path):
 
 
 def _rows(spark, ids):
-    return add_record_hash(spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string"))
+    return hashed(spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string"))
 
 
 def test_ledger_appends_once_and_replays_add_nothing(spark, tmp_path):
