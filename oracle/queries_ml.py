@@ -168,6 +168,31 @@ register("I14_data_fingerprint", ["plan_info", "formulary", "prescriptions"], "S
              _fp("formulary", ["formulary_id", "ndc", "rxcui"]),
              _fp("prescriptions", ["bene_synth_id", "ndc", "fills_per_year"])]) + ")")
 
+# Whole tables: every cell, and every row as its cells' digests in order of column names; sums of 32-bit words.
+def _whole_table(table):
+    col = "COLUMNS('^([^_].*)$')"
+    number = f"TRY_CAST({col} AS DOUBLE)"
+    bits = f"CAST(CAST(CAST(CASE WHEN {number} = 0 THEN 0.0 ELSE {number} END AS BIT) AS BIGINT) AS varchar)"
+    text = f"CASE WHEN typeof({col}) = 'DOUBLE' THEN {bits} ELSE CAST({col} AS varchar) END"
+    every = "* REPLACE (round(total_rx_cost_est, 6) AS total_rx_cost_est)" if table == "beneficiary" else "*"
+    return f"""SELECT '{table}' AS table_name, _r, column_name, md5(column_name || '=' || txt) AS digest FROM (
+  UNPIVOT (SELECT _r, coalesce('v' || {text}, 'n') AS "\\1" FROM (SELECT {every}, row_number() OVER () AS _r FROM {table}) x)
+  ON COLUMNS('^[^_]') INTO NAME column_name VALUE txt) u"""
+
+
+WHOLE_TABLES = ["plan_info", "formulary", "insulin_ref", "beneficiary_cost", "insulin_cost", "excluded_drugs", "pricing",
+                "pharmacy_network", "zipcode", "geographic", "prescriptions", "beneficiary", "drug_names", "pde_events",
+                "requests", "request_medications", "indication_coverage", "drug_queries"]
+_WORD_SUMS = ", ".join(f"CAST(sum(CAST(('0x' || substr(digest, {8 * i + 1}, 8)) AS BIGINT)) AS varchar)" for i in range(4))
+register("I14_table_fingerprints", WHOLE_TABLES, f"""
+SELECT table_name, column_name, count(*) AS rows,
+  sha256(concat_ws('|', table_name, column_name, CAST(count(*) AS varchar), {_WORD_SUMS})) AS fingerprint
+FROM (WITH cell AS ({" UNION ALL ".join(_whole_table(t) for t in WHOLE_TABLES)})
+  SELECT table_name, column_name, digest FROM cell
+  UNION ALL SELECT table_name, '*', md5(string_agg(digest, '' ORDER BY column_name)) FROM cell GROUP BY table_name, _r) d
+GROUP BY table_name, column_name
+""")
+
 # Gradients of the first tree: equal scores leave every list in plan order, and each pair is wrong by a half.
 register("I11_lambda_gradients", ["o_labels"], """
 SELECT * FROM (WITH place AS (

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxgrid.functions.columns import contract_type
 from rxgrid.functions.draws import stable_fraction
 from rxgrid.operators import claims as D
 from rxgrid.operators import features as I
+from rxgrid.operators import fingerprint
 from rxgrid.operators import gold as GD
 from rxgrid.operators import lambdamart as LM
 from rxgrid.operators import metrics
@@ -17,6 +19,7 @@ from rxgrid.operators import ml
 from rxgrid.operators import silver as S
 from rxgrid.plans.registry import q
 from rxgrid.session import shared_table
+from rxgrid.sources.adapter import view_names
 
 
 def _plan_level(ctx):
@@ -189,3 +192,11 @@ def i14(ctx):
     b = ml.table_fingerprint(ctx.t("formulary"), "formulary", ["formulary_id", "ndc", "rxcui"])
     c = ml.table_fingerprint(ctx.t("prescriptions"), "prescriptions", ["bene_synth_id", "ndc", "fills_per_year"])
     return a.unionByName(b).unionByName(c)
+
+
+@q("I14_table_fingerprints")
+def i14_whole(ctx):
+    """All source tables: each column, and the rows as a whole."""
+    sums = {"beneficiary": {"total_rx_cost_est": 6}}  # added up by the view, in any order
+    states = [fingerprint.state(ctx.t(name), name, sums.get(name)) for name in view_names() if not name.startswith("_")]
+    return fingerprint.fingerprints(reduce(DataFrame.unionByName, states))
