@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxgrid.functions.columns import contract_type
@@ -198,5 +197,5 @@ def i14(ctx):
 def i14_whole(ctx):
     """All source tables: each column, and the rows as a whole."""
     sums = {"beneficiary": {"total_rx_cost_est": 6}}  # added up by the view, in any order
-    states = [fingerprint.state(ctx.t(name), name, sums.get(name)) for name in view_names() if not name.startswith("_")]
-    return fingerprint.fingerprints(reduce(DataFrame.unionByName, states))
+    tables = {name: ctx.t(name) for name in view_names() if not name.startswith("_")}
+    return fingerprint.fingerprints(fingerprint.states(tables, sums))
