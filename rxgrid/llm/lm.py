@@ -11,6 +11,7 @@ Training (two passes over the training texts, then a merge for each lower order)
    context; contexts so frequent that a range would grow large are spread by the key's hash instead;
    each bucket becomes one sorted file of keys and counts;
 3. per id: how many followers it has with count 1, 2 and 3+, and in how many contexts it occurs.
+Columns travel as differences and byte planes, compressed; the steps of 2 and 3 follow each other without a stored table.
 The driver sees only a few numbers for each bucket.  Nothing is pruned: the model grows with the corpus.
 
 Scoring maps the files (a folder that is not local is copied once per worker) and needs no shuffle.
@@ -25,6 +26,7 @@ token's one class (0.0); extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxgrid.llm.common import U64, Words, mix, new_folder, packed, partitions, slices, stored, text_bytes
+from rxgrid.llm.common import U64, Words, mix, new_folder, packed, partitions, slices, text_bytes
 
 FLUSH = 3_000_000
 _ROW = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -134,12 +136,35 @@ def _sorted_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """Rows of numbers as planes of their bytes, compressed (small numbers leave planes of zeros)."""
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T
+    return struct.pack("<QB", planes.size, len(planes)) + pa.compress(packed(planes), "zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, kind) -> np.ndarray:
+    """The rows of `_squeezed`, in two dimensions."""
+    size, width = struct.unpack_from("<QB", data)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[9:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind)
+
+
+def _squeezed_keys(keys: np.ndarray) -> bytes:
+    """Keys as differences modulo 2^64, which are small where keys are in order."""
+    return _squeezed(np.diff(keys, prepend=U64(0)))
+
+
+def _unsqueezed_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueezed(data, np.uint64)[:, 0], dtype=np.uint64)
+
+
 def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((a, bucket))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     a, b = a[order], b[order]
     full = np.flatnonzero(np.diff(edges)).tolist()
-    cols = [full, [packed(a[edges[k] : edges[k + 1]]) for k in full], [packed(b[edges[k] : edges[k + 1]]) for k in full]]
+    parts = [slice(edges[k], edges[k + 1]) for k in full]
+    cols = [full, [_squeezed_keys(a[x]) for x in parts], [_squeezed(b[x]) for x in parts]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
 
@@ -170,24 +195,61 @@ def _counted(keys_of, bucket_of, buckets: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch], kind_b=np.uint32) -> dict[int, tuple[list, list]]:
-    found: dict[int, tuple[list, list]] = {}
+def _received(batches: Iterator[pa.RecordBatch], totals: list[tuple[bytes, bytes]]) -> dict[int, list[tuple[bytes, bytes]]]:
+    """Columns by bucket; rows without a bucket carry totals."""
+    found: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
         for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            own = found.setdefault(k, ([], []))
-            own[0].append(np.frombuffer(a, np.uint64))
-            own[1].append(np.frombuffer(b, kind_b).astype(np.int64))
+            (totals if k < 0 else found.setdefault(k, [])).append((a, b))
     return found
 
 
+def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts."""
+    return _sorted_counts([_unsqueezed_keys(a) for a, _ in parts], [_unsqueezed(b, np.uint32)[:, 0].astype(np.int64) for _, b in parts])
+
+
+def _told(totals: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """Rows of totals on their way to the driver."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[-1] * len(totals), *map(list, zip(*totals, strict=True))], _ROW, strict=True)], schema=_ROW)
+
+
+def _coded(values: np.ndarray) -> np.ndarray:
+    """A file of rows of counts: the most frequent rows are one byte each, the others stand behind their places."""
+    flat = values[:, None] if values.ndim == 1 else values
+    flat = np.ascontiguousarray(flat.astype(np.uint64 if flat.max(initial=0) >> 32 else np.uint32))
+    whole = flat.view(np.dtype((np.void, flat.itemsize * flat.shape[1])))[:, 0]
+    _, first, back, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:255]
+    code = np.full(len(n), 255, np.uint8)
+    code[top] = np.arange(len(top))
+    code = code[back]
+    rest = np.flatnonzero(code == 255).astype(np.uint32)
+    words = [np.array([len(top), len(rest), flat.itemsize], np.uint32), flat[first[top]], rest, flat[rest]]
+    return np.concatenate([*[w.reshape(-1).view(np.uint8) for w in words], code])
+
+
+def _decoded(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The rows of `_coded` at places `at`."""
+    top, rest, size = data[:12].view(np.uint32).tolist()
+    ends = np.cumsum([12, size * top * width, 4 * rest, size * rest * width]).tolist()
+    table, place, rows = (data[lo:hi].view(f"u{n}") for lo, hi, n in zip(ends, ends[1:], (size, 4, size), strict=False))
+    code = data[ends[-1] :][at]
+    out = np.zeros((len(at), width), np.int64)
+    usual = code < top
+    out[usual] = table.reshape(-1, width)[code[usual]]
+    out[~usual] = rows.reshape(-1, width)[np.searchsorted(place, at[~usual])]
+    return out
+
+
 def _word_files(folder: str):
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("top", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (keys, counts) in _merged(batches).items():
-            k, n = _sorted_counts(keys, counts)
+        for bucket, parts in _received(batches, []).items():
+            k, n = _merged(parts)
             _write(folder, f"words-{bucket}", k)
-            _write(folder, f"counts-{bucket}", n.astype(np.uint64))
+            _write(folder, f"counts-{bucket}", _coded(n))
             top = np.argsort(-n, kind="stable")[:64]
             flat = np.stack([top, n[top]], 1).reshape(-1).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([bucket, len(k), int(n.sum()), flat], schema, strict=True)], schema=schema)
@@ -208,7 +270,7 @@ def _ids(h: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(words, part), len(words) - 1)
         hit = np.flatnonzero(words[at] == part)
         ids[edges[b] + hit] = model.offsets[b] + at[hit]
-        counts[edges[b] + hit] = _mapped(model.folder, f"counts-{b}", np.uint64)[at[hit]]
+        counts[edges[b] + hit] = _decoded(_mapped(model.folder, f"counts-{b}", np.uint8), at[hit], 1)[:, 0]
     return ids[back], counts[back]
 
 
@@ -248,18 +310,17 @@ def _bigram_files(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(4, np.int64)
         types = 0
-        for bucket, (keys, counts) in _merged(batches).items():
-            k, n = _sorted_counts(keys, counts)
+        for bucket, parts in _received(batches, []).items():
+            k, n = _merged(parts)
             _write(model.folder, f"bigrams-{bucket}", k)
-            _write(model.folder, f"bigram-counts-{bucket}", n.astype(np.uint32))
+            _write(model.folder, f"bigram-counts-{bucket}", _coded(n))
             types += len(k)
             tally += [int((n == c).sum()) for c in (1, 2, 3, 4)]
             code = (k >> U64(32)) << U64(3) | np.minimum(n, 3).astype(np.uint64)
             told = np.concatenate([code, (k & U64(0xFFFFFFFF)) << U64(3) | U64(4)])
             u, c = np.unique(told, return_counts=True)
             yield _rows_by(_range_of((u >> U64(3)), model), u, c.astype(np.uint32), model.buckets)
-        total = np.concatenate([[types], tally]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(total)]), pa.array([b""])], schema=_ROW)
+        yield _told([(packed(np.concatenate([[types], tally]).astype(np.int64)), b"bigrams")])
 
     return run
 
@@ -271,6 +332,11 @@ def _trigram_hash(pair: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(mix(pair) + token.astype(np.uint64))
 
 
+def _swapped(pair: np.ndarray) -> np.ndarray:
+    """Pairs by their second word first, as buckets hold them: their differences are small."""
+    return pair << U64(32) | pair >> U64(32)
+
+
 def _pairs(context: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The token before the context; -1 at the start of a text, whose context has no token before it."""
     before = np.concatenate([[-1], context[:-1]])
@@ -306,7 +372,7 @@ def _trigram_batches(model: Model):
 
     def rows(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         bucket = _trigram_bucket(pair, _trigram_hash(pair, token), model)
-        return _rows_by(bucket, pair, np.stack([token, n], 1), model.fine)
+        return _rows_by(bucket, _swapped(pair), np.stack([token, n], 1), model.fine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -335,17 +401,20 @@ def _trigram_batches(model: Model):
 def _trigram_files(model: Model):
     """Writes each bucket; sends, by bigram bucket, bigrams with (contexts) or (total, followers with count 1, 2, 3+)."""
 
+    def sent(told: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        for own in told:  # of several buckets at once
+            if own:
+                key, value = (np.concatenate(x) for x in zip(*own, strict=True))
+                if len(key):
+                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = found.setdefault(k, ([], []))
-                own[0].append(np.frombuffer(a, np.uint64))
-                own[1].append(np.frombuffer(b, np.uint32).reshape(-1, 2))
+        found = _received(batches, [])
         tally = np.zeros(4, np.int64)
+        told: tuple[list, list] = [], []
         for bucket in list(found):
-            pairs, more = found.pop(bucket)
-            pair, more = np.concatenate(pairs), np.concatenate(more)
+            parts = found.pop(bucket)
+            pair, more = _swapped(np.concatenate([_unsqueezed_keys(a) for a, _ in parts])), np.concatenate([_unsqueezed(b, np.uint32) for _, b in parts])
             h = _trigram_hash(pair, more[:, 0])
             order = np.argsort(h, kind="stable")
             h, pair, more = h[order], pair[order], more[order]
@@ -355,15 +424,18 @@ def _trigram_files(model: Model):
             del order, more
             start = pair == _key(np.array(model.begin), np.array(model.begin))
             _write(model.folder, f"trigrams-{bucket}", h[~start])
-            _write(model.folder, f"trigram-counts-{bucket}", n[~start].astype(np.uint32))
+            _write(model.folder, f"trigram-counts-{bucket}", _coded(n[~start]))
             tally += [int((n[~start] == c).sum()) for c in (1, 2, 3, 4)]
             low = _sums((pair & U64(0xFFFFFFFF)) << U64(32) | token.astype(np.uint64), np.where(start, n, 1))
             as_context = np.stack([n, n == 1, n == 2, n >= 3], 1)[~start]
             high = _sums(pair[~start], as_context)
-            for key, value in (low, high):
-                if len(key):
-                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(tally)]), pa.array([b""])], schema=_ROW)
+            for own, more in zip(told, (low, high), strict=True):
+                own.append(more)
+            if sum(len(key) for own in told for key, _ in own) > FLUSH // 2:
+                yield from sent(told)
+                told = [], []
+        yield from sent(told)
+        yield _told([(packed(tally), b"trigrams")])
 
     return run
 
@@ -372,44 +444,45 @@ def _middle_files(model: Model):
     """Writes each bucket's bigrams; sends, per id range, (id, kind) columns: kind 1, 2, 3 followers by count, 4 contexts, 5 total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found.setdefault(k, []).append((a, b))
+        totals: list[tuple[bytes, bytes]] = []
+        found = _received(batches, totals)
         tally = np.zeros(5, np.int64)
         for bucket in list(found):
             keys, values = [], []
             for a, b in found.pop(bucket):
-                keys.append(np.frombuffer(a, np.uint64))
-                own = np.frombuffer(b, np.uint32).astype(np.int64).reshape(len(keys[-1]), -1)
+                keys.append(_unsqueezed_keys(a))
+                own = _unsqueezed(b, np.uint32).astype(np.int64)
                 values.append(np.pad(own, ((0, 0), (0, 4) if own.shape[1] == 1 else (1, 0))))
             k, v = _sums(np.concatenate(keys), np.concatenate(values))
             _write(model.folder, f"bigrams-{bucket}", k)
-            _write(model.folder, f"bigram-values-{bucket}", v.astype(np.uint32))
+            _write(model.folder, f"bigram-values-{bucket}", _coded(v))
             n = v[:, 0]
             tally += [len(n), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
             context, token = k >> U64(32) << U64(3), (k & U64(0xFFFFFFFF)) << U64(3)
             code = np.concatenate([context | np.minimum(n, 3).astype(np.uint64), token | U64(4), context | U64(5)])
             u, c = _sums(code, np.concatenate([np.ones(2 * len(n), np.int64), n]))
             yield _rows_by(_range_of(u >> U64(3), model), u, c.astype(np.uint32), model.buckets)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(tally)]), pa.array([b""])], schema=_ROW)
+        yield _told([*totals, (packed(tally), b"bigrams")])
 
     return run
 
 
 def _id_files(model: Model):
-    schema = pa.schema([("tally", pa.list_(pa.int64()))])
+    """Writes each id range; sends all totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (keys, counts) in _merged(batches).items():
-            k, n = _sorted_counts(keys, counts)
+        totals: list[tuple[bytes, bytes]] = []
+        for bucket, parts in _received(batches, totals).items():
+            k, n = _merged(parts)
             lo, hi = _range_start(bucket, model), _range_start(bucket + 1, model)
             dense = np.zeros((hi - lo, 5), np.uint64)
             dense[(k >> U64(3)).astype(np.int64) - lo, (k & U64(7)).astype(np.int64) - 1] = n
-            _write(model.folder, f"ids-{bucket}", dense)
+            _write(model.folder, f"ids-{bucket}", _coded(dense))
             contexts = dense[:, 3]
             tally = [int((contexts == c).sum()) for c in (1, 2, 3, 4)] + [int((contexts >= 3).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([tally], schema[0].type)], schema=schema)
+            totals.append((packed(np.array(tally, np.int64)), b"ids"))
+        if totals:
+            yield _told(totals)
 
     return run
 
@@ -450,20 +523,17 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
         context, token, _ = _sequences(words, _ids(words.hashes, model)[0], model)
         return _key(context, token)
 
-    top = [0] * 4
     if order == 3:
         sent = src.mapInArrow(_trigram_batches(model), _ROW_SQL)
-        told = stored(sent.repartition(n, "bucket").mapInArrow(_trigram_files(model), _ROW_SQL), "lm-bigrams")
-        totals = [np.frombuffer(r.a, np.int64) for r in told.filter("bucket < 0").collect()]
-        top = np.sum(totals, axis=0).tolist() if totals else top
-        sent, files = told.filter("bucket >= 0"), _middle_files(model)
+        sent = sent.repartition(n, "bucket").mapInArrow(_trigram_files(model), _ROW_SQL)
+        files = _middle_files(model)
     else:
         sent, files = src.mapInArrow(_counted(keys, lambda k: _bigram_bucket(k, model), n), _ROW_SQL), _bigram_files(model)
-    told = stored(sent.repartition(n, "bucket").mapInArrow(files, _ROW_SQL), "lm-followers")
-    totals = [np.frombuffer(r.a, np.int64) for r in told.filter("bucket < 0").collect()]
-    types, *tally = np.sum(totals, axis=0).tolist() if totals else [0] * 5
-    parts = told.filter("bucket >= 0").repartition(n, "bucket").mapInArrow(_id_files(model), "tally array<long>").collect()
-    low = np.sum([r.tally for r in parts], axis=0).tolist() if parts else [0] * 5
+    followers = sent.repartition(n, "bucket").mapInArrow(files, _ROW_SQL)
+    totals = {"trigrams": np.zeros(4, np.int64), "bigrams": np.zeros(5, np.int64), "ids": np.zeros(5, np.int64)}
+    for r in followers.repartition(n, "bucket").mapInArrow(_id_files(model), _ROW_SQL).collect():  # a few numbers a task
+        totals[r.b.decode()] += np.frombuffer(r.a, np.int64)
+    (types, *tally), low, top = (totals[x].tolist() for x in ("bigrams", "ids", "trigrams"))
     low_d = _discounts(*low[:4])
     backoff = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * low[4]) / types if types else 1.0
     return Model(folder, n, offsets, model.hot, n_texts, n_tokens, _discounts(*tally), low_d, types, backoff, order, _discounts(*top))
@@ -475,10 +545,10 @@ def _by_id(ids: np.ndarray, model: Model) -> np.ndarray:
     out = np.zeros((len(u), 5), np.int64)
     bucket = np.where(u >= 0, _range_of(u, model), -1)
     for b in np.unique(bucket[bucket >= 0]).tolist():
-        dense = _mapped(model.folder, f"ids-{b}", np.uint64).reshape(-1, 5)
+        dense = _mapped(model.folder, f"ids-{b}", np.uint8)
         if len(dense):
             here = np.flatnonzero(bucket == b)
-            out[here] = dense[u[here] - _range_start(b, model)]
+            out[here] = _decoded(dense, u[here] - _range_start(b, model), 5)
     return out[back]
 
 
@@ -493,7 +563,7 @@ def _found(key: np.ndarray, bucket: np.ndarray, model: Model, names: tuple[str,
             here = order[edges[b] : edges[b + 1]]
             at = np.minimum(np.searchsorted(keys, key[here]), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == key[here])
-            out[here[hit]] = _mapped(model.folder, f"{names[1]}-{b}", np.uint32).reshape(-1, width)[at[hit]]
+            out[here[hit]] = _decoded(_mapped(model.folder, f"{names[1]}-{b}", np.uint8), at[hit], width)
     return out
 
 

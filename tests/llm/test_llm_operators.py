@@ -276,6 +276,23 @@ def test_kneser_ney_orders(spark, order):
     assert lm.train(docs.limit(0)).order == 3
 
 
+def test_kneser_ney_columns_travel_compressed():
+    rng = np.random.default_rng(7)
+    middle, first, token = (np.minimum(rng.zipf(1.3, 20_000), 50_000).astype(np.uint64) for _ in range(3))
+    pair, more = first << np.uint64(32) | middle, np.stack([token, np.ones(20_000, np.uint64)], 1).astype(np.uint32)
+    bucket = (middle % np.uint64(3)).astype(np.int64)
+    sent = lm._rows_by(bucket, pair, more, 4).to_pylist()
+    assert sum(len(r["a"]) + len(r["b"]) for r in sent) < 8 * len(pair)  # 16 bytes a row as they are
+    for r in sent:
+        own = bucket == r["bucket"]
+        got = zip(lm._unsqueezed_keys(r["a"]).tolist(), *lm._unsqueezed(r["b"], np.uint32).T.tolist(), strict=True)
+        assert sorted(got) == sorted(zip(pair[own].tolist(), *more[own].T.tolist(), strict=True))
+    values = np.concatenate([np.stack([np.ones(20_000, int), token.astype(int) % 3], 1), [[300, 70_000]], np.arange(800).reshape(-1, 2)])
+    data, at = lm._coded(values), rng.permutation(len(values))
+    assert (lm._decoded(data, at, 2) == values[at]).all() and len(data) < 2 * len(values)  # 8 bytes a row as they are
+    assert lm._decoded(lm._coded(values << 20), at, 2)[:, 1].max() == 70_000 << 20 and len(lm._coded(values[:0])) == 12
+
+
 PAGE = (
     '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="#">Home {0}</a></nav><div class="cookie-notice">We use</div>'
     "<div id='c{0}'><article><h1>Head {0}</h1><p>One &amp;  two<br>three <b>bo</b>ld {0}<p>Four</article></div><div class=comments><p>Nice {0}</div>"
