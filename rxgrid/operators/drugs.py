@@ -135,29 +135,28 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, limit: int = 20) -> D
     NDC; a query looks up the rows holding one of its own grams (its first
     trigram, the whole 2-character query, or its last four digits) by an
     equi-join and only those are checked with ``contains``.  A row containing
-    the query necessarily holds that gram, so nothing is missed."""
+    the query necessarily holds that gram, so nothing is missed.  The queries are the (size-checked) broadcast side:
+    grams are made and checked where the catalogue rows are, and only hits are shuffled."""
     q = queries.select(F.col("query_text"), F.lower(F.trim("query_text")).alias("_q"),
                        F.regexp_replace(F.col("query_text"), "[^0-9]", "").alias("_d")).distinct()
     q = q.where((F.length("_q") >= 2) | (F.length("_d") >= 4))
-    cat = catalog.withColumn("_lname", F.lower("drug_name")).withColumn("_lsyn", F.lower("drug_synonym"))
     keys = ["drug_name", "drug_synonym", "ndc"]
-    text_grams = lambda n: F.array_distinct(F.concat(_grams(F.col("_lname"), n), _grams(F.col("_lsyn"), n)))
-    idx = (
-        cat.select(*keys, F.lit("t3").alias("_kind"), F.explode(text_grams(3)).alias("_gram"))
-        .unionByName(cat.select(*keys, F.lit("t2").alias("_kind"), F.explode(text_grams(2)).alias("_gram")))
-        .unionByName(cat.select(*keys, F.lit("n4").alias("_kind"), F.explode(_grams(F.col("ndc"), 4)).alias("_gram")))
-        .distinct()
-    )
+    cat = catalog.dropna(subset=keys).dropDuplicates(keys).withColumn("_lname", F.lower("drug_name")).withColumn("_lsyn", F.lower("drug_synonym"))
+    grams = {"t3": F.concat(_grams(F.col("_lname"), 3), _grams(F.col("_lsyn"), 3)),
+             "t2": F.concat(_grams(F.col("_lname"), 2), _grams(F.col("_lsyn"), 2)), "n4": _grams(F.col("ndc"), 4)}
+    tagged = [F.arrays_zip(F.array_repeat(F.lit(k), F.size(c)).alias("_kind"), c.alias("_gram")) for k, c in ((k, F.array_distinct(c)) for k, c in grams.items())]
+    idx = cat.select("*", F.inline(F.concat(*tagged)).alias("_kind", "_gram"))
     text_q = q.where(F.length("_q") >= 2).select(
         "query_text", "_q", "_d", F.when(F.length("_q") >= 3, "t3").otherwise("t2").alias("_kind"),
         F.when(F.length("_q") >= 3, F.substring("_q", 1, 3)).otherwise(F.col("_q")).alias("_gram"))
     num_q = q.where(F.length("_d") >= 4).select(
         "query_text", "_q", "_d", F.lit("n4").alias("_kind"), F.substring("_d", -4, 4).alias("_gram"))
-    hits = text_q.unionByName(num_q).join(idx, ["_kind", "_gram"]).select("query_text", "_q", "_d", *keys)
-    hits = hits.join(cat, keys)
-    ok = ((F.length("_q") >= 2) & (F.col("_lname").contains(F.col("_q")) | F.col("_lsyn").contains(F.col("_q")))) | (
-        (F.length("_d") >= 4) & F.col("ndc").contains(F.col("_d")))
-    hits = hits.where(ok).dropDuplicates(["query_text", *keys])
+    # (never the index: its size is underestimated before the grams are made)
+    hits = idx.hint("merge").join(broadcast_if_small(text_q.unionByName(num_q)), ["_kind", "_gram"])
+    by_text = (F.length("_q") >= 2) & (F.col("_lname").contains(F.col("_q")) | F.col("_lsyn").contains(F.col("_q")))
+    by_ndc = (F.length("_d") >= 4) & F.col("ndc").contains(F.col("_d"))
+    # a row found by text and by NDC counts once, by its text
+    hits = hits.where(F.when(F.col("_kind") == "n4", by_ndc & ~by_text).otherwise(by_text))
     g = hits.groupBy("query_text", "drug_name", "ndc").agg(
         F.min("_tier").alias("_tier"), F.sum("_days_sum").alias("_ds"), F.sum("_days_n").alias("_dn"),
         F.sum("_fills_sum").alias("_fs"), F.sum("_fills_n").alias("_fn"), F.max("_ins").alias("_ins"),
@@ -180,11 +179,14 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, limit: int = 20) -> D
 
 def name_dictionary_search(queries: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
     """Exact (1.0) or contains (0.5) match of the query against drug names, ranked by
-    score then name; prefix matches first for autocomplete (``prefix`` flag)."""
+    score then name; prefix matches first for autocomplete (``prefix`` flag).  The queries are the (size-checked)
+    broadcast side: grams are made and checked where the names are, and only hits are shuffled."""
     q = queries.select("query_text", F.lower(F.trim("query_text")).alias("_q")).where(F.length("_q") >= 2).distinct()
-    n = names.select(F.col("drug_name"), F.lower("drug_name").alias("_n"), "ndc").distinct()
-    idx = n.select("drug_name", "_n", "ndc", F.explode(_grams(F.col("_n"), 2)).alias("_gram")).distinct()
-    j = q.withColumn("_gram", F.substring("_q", 1, 2)).join(idx, "_gram").where(F.col("_n").contains(F.col("_q")))
+    n = names.select(F.col("drug_name"), F.lower("drug_name").alias("_n"), "ndc")
+    idx = n.select("drug_name", "_n", "ndc", F.explode(_grams(F.col("_n"), 2)).alias("_gram"))
+    # (never the index: its size is underestimated before the grams are made)
+    q = broadcast_if_small(q.withColumn("_gram", F.substring("_q", 1, 2)))
+    j = idx.hint("merge").join(q, "_gram").where(F.col("_n").contains(F.col("_q")))
     j = j.dropDuplicates(["query_text", "drug_name", "ndc"])
     scored = j.withColumns({
         "score": F.when(F.col("_n") == F.col("_q"), 1.0).otherwise(0.5),
