@@ -9,13 +9,18 @@ from a sample of at most ``SAMPLE`` rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxgrid.session import shared_table
+
 #: Rows whose values choose the cut points, and bits of a column's range number.
 SAMPLE, BITS = 20_000, 6
+#: A file's rows are sorted by one task.
+FILE_ROWS = 1_000_000
 
 
 def cut_points(df: DataFrame, cols: list[str], bits: int = BITS, sample: int = SAMPLE) -> dict[str, list]:
@@ -47,7 +52,11 @@ def interleaved(numbers: list[Column], bits: int = BITS) -> Column:
 
 
 def write_clustered(df: DataFrame, path: str, cols: list[str], files: int, bits: int = BITS) -> DataFrame:
-    """Full-refresh write of `df` in about `files` files, clustered by all of `cols`."""
+    """Full-refresh write of `df`, clustered by all of `cols`, in about `files` files, or more where they would be large.
+
+    The rows are made once: cut points, the sampling of ranges and the write read them stored."""
+    df = shared_table(df, "unclustered")
+    files = max(files, math.ceil(df.count() / FILE_ROWS))
     cuts = cut_points(df, cols, bits)
     place = interleaved([range_number(F.col(c), cuts[c]) for c in cols], bits)
     ordered = df.withColumn("_place", place).repartitionByRange(files, "_place", *cols).sortWithinPartitions("_place", *cols)
