@@ -121,16 +121,14 @@ def c11(ctx):
 @q("J20_request_bundle")
 def j20(ctx):
     req = ctx.t("requests")
-    meds = ctx.t("request_medications")
-    m = meds.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(
-        "ndc", "drug_name", "fills_per_year", "days_supply_mode", "tier_level", "is_insulin", "annual_cost_est"))).alias(
-        "medication_list"))
-    prof = J.effective_profile(req, ctx.t("beneficiary"), meds)
+    views = ctx.by_beneficiary()
+    prof = J.effective_profile(req, views("beneficiary"), J.medication_lists(views("request_medications")))
     pref = req.select("request_id", F.struct("ml_influence_pct", "cost_priority", "access_priority", "coverage_priority",
                                               "distance_penalty_rate", "min_drug_coverage_pct", "local_only")
                       .alias("preference_weights"))
-    p = prof.select("request_id", F.struct(*[c for c in prof.columns if c != "request_id"]).alias("profile"))
-    return p.join(m, "request_id", "left").join(pref, "request_id").select(
+    fields = [c for c in prof.columns if c not in ("request_id", "medication_list")]
+    p = prof.select("request_id", F.struct(*fields).alias("profile"), "medication_list")
+    return p.join(pref, "request_id").select(
         "request_id", F.to_json(F.struct("profile", "medication_list", "preference_weights")).alias("bundle"))
 
 
