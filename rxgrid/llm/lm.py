@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxgrid.llm.common import U64, Words, mix, new_folder, packed, partitions, slices, text_bytes
+from rxgrid.llm.common import SLICE_BYTES, U64, Words, mix, new_folder, packed, partitions, slices, text_bytes
 
 FLUSH = 3_000_000
 _ROW = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -158,13 +158,17 @@ def _unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unsqueezed(data, np.uint64)[:, 0], dtype=np.uint64)
 
 
-def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int, fine: int = 1) -> pa.RecordBatch:
+    """A row for each `fine` buckets in turn, of `buckets`: their numbers and sizes and `a` columns, and their `b` columns."""
     order = np.lexsort((a, bucket))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     a, b = a[order], b[order]
-    full = np.flatnonzero(np.diff(edges)).tolist()
-    parts = [slice(edges[k], edges[k + 1]) for k in full]
-    cols = [full, [_squeezed_keys(a[x]) for x in parts], [_squeezed(b[x]) for x in parts]]
+    rows: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[k], edges[k + 1])
+        rows.setdefault(k // fine, []).append((k, _squeezed_keys(a[part]), _squeezed(b[part])))
+    head = [packed(np.array([len(x), *[v for k, p, r in x for v in (k, len(p), len(r))]], np.int64)) for x in rows.values()]
+    cols = [list(rows), [h + b"".join(p for _, p, _ in x) for h, x in zip(head, rows.values(), strict=True)], [b"".join(r for _, _, r in x) for x in rows.values()]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
 
@@ -199,8 +203,15 @@ def _received(batches: Iterator[pa.RecordBatch], totals: list[tuple[bytes, bytes
     """Columns by bucket; rows without a bucket carry totals."""
     found: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
-        for k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            (totals if k < 0 else found.setdefault(k, [])).append((a, b))
+        for row, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row < 0:
+                totals.append((a, b))
+                continue
+            n = struct.unpack_from("<q", a)[0]
+            at, from_b = 8 + 24 * n, 0
+            for k, size_a, size_b in np.frombuffer(a, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+                found.setdefault(k, []).append((a[at : at + size_a], b[from_b : from_b + size_b]))
+                at, from_b = at + size_a, from_b + size_b
     return found
 
 
@@ -372,7 +383,7 @@ def _trigram_batches(model: Model):
 
     def rows(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         bucket = _trigram_bucket(pair, _trigram_hash(pair, token), model)
-        return _rows_by(bucket, _swapped(pair), np.stack([token, n], 1), model.fine)
+        return _rows_by(bucket, _swapped(pair), np.stack([token, n], 1), model.fine, model.fine // model.buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -406,7 +417,7 @@ def _trigram_files(model: Model):
             if own:
                 key, value = (np.concatenate(x) for x in zip(*own, strict=True))
                 if len(key):
-                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine)
+                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine, model.fine // model.buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _received(batches, [])
@@ -508,7 +519,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
     system.create_dir(at)
     src = texts.select(F.col(text).cast("string").alias("text"))
     sent = src.mapInArrow(_counted(lambda w: w.hashes, lambda k: _word_range(k, n), n), _ROW_SQL)
-    words = sent.repartition(n, "bucket").mapInArrow(_word_files(folder), "bucket int, n long, total long, top array<long>").collect()
+    words = sent.repartitionById(n, F.col("bucket")).mapInArrow(_word_files(folder), "bucket int, n long, total long, top array<long>").collect()
     size = {r.bucket: r.n for r in words}
     offsets = tuple(np.concatenate([[0], np.cumsum([size.get(b, 0) for b in range(n)])]).tolist())
     if offsets[-1] >= 2**32 - 2:
@@ -525,13 +536,13 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
 
     if order == 3:
         sent = src.mapInArrow(_trigram_batches(model), _ROW_SQL)
-        sent = sent.repartition(n, "bucket").mapInArrow(_trigram_files(model), _ROW_SQL)
+        sent = sent.repartitionById(n, F.col("bucket")).mapInArrow(_trigram_files(model), _ROW_SQL)
         files = _middle_files(model)
     else:
         sent, files = src.mapInArrow(_counted(keys, lambda k: _bigram_bucket(k, model), n), _ROW_SQL), _bigram_files(model)
-    followers = sent.repartition(n, "bucket").mapInArrow(files, _ROW_SQL)
+    followers = sent.repartitionById(n, F.col("bucket")).mapInArrow(files, _ROW_SQL)
     totals = {"trigrams": np.zeros(4, np.int64), "bigrams": np.zeros(5, np.int64), "ids": np.zeros(5, np.int64)}
-    for r in followers.repartition(n, "bucket").mapInArrow(_id_files(model), _ROW_SQL).collect():  # a few numbers a task
+    for r in followers.repartitionById(n, F.col("bucket")).mapInArrow(_id_files(model), _ROW_SQL).collect():  # a few numbers a task
         totals[r.b.decode()] += np.frombuffer(r.a, np.int64)
     (types, *tally), low, top = (totals[x].tolist() for x in ("bigrams", "ids", "trigrams"))
     low_d = _discounts(*low[:4])
@@ -590,14 +601,17 @@ def log10_probabilities(words: Words, model: Model) -> tuple[np.ndarray, np.ndar
     count = np.full(len(token), model.n_texts)
     count[token != model.end] = counts
     uniform = 1.0 / (model.vocabulary + 1)
-    contexts = _by_id(token, model)[:, 3]
+    by_id = _by_id(token, model)
+    contexts = by_id[:, 3]
     p = _discounted(contexts, model.low_discounts) / max(model.types, 1) + model.low_backoff * uniform
-    followers = _by_id(context, model)
+    followers = np.roll(by_id, 1, axis=0)  # a token's context is the token before it
+    followers[off[:-1]] = _by_id(np.array([model.begin]), model)
     seen = np.concatenate([[0], count[:-1]])
     seen[off[:-1]] = model.n_texts
     both = (context >= 0) & (token >= 0)
-    c = np.zeros(len(token), np.int64)
-    c[both] = _bigram_values(_key(context[both], token[both]), model)[:, 0]
+    values = np.zeros((len(token), 5 if model.order == 3 else 1), np.int64)
+    values[both] = _bigram_values(_key(context[both], token[both]), model)
+    c = values[:, 0]
     if model.order == 3:
         seen = np.where(context == model.begin, model.n_texts, followers[:, 4])
     known = seen > 0
@@ -607,7 +621,7 @@ def log10_probabilities(words: Words, model: Model) -> tuple[np.ndarray, np.ndar
         before = _pairs(context, off)
         pairs = np.flatnonzero((before >= 0) & (context >= 0))
         pair = _key(before[pairs], context[pairs])
-        value = _bigram_values(pair, model)
+        value = values[pairs - 1]  # the pair before a token is the bigram that ends one token earlier
         pairs, pair, value = pairs[value[:, 1] > 0], pair[value[:, 1] > 0], value[value[:, 1] > 0]
         c = np.zeros(len(pairs), np.int64)
         met = token[pairs] >= 0
@@ -620,7 +634,7 @@ def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 2 * SLICE_BYTES):
                 logp, count, off = log10_probabilities(Words(texts[lo:hi], lower=True), model)
                 base = np.log10((count + 1.0) / (model.n_tokens + model.vocabulary + 1.0))
                 start = off[:-1]
