@@ -158,17 +158,23 @@ def _unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unsqueezed(data, np.uint64)[:, 0], dtype=np.uint64)
 
 
-def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int, fine: int = 1) -> pa.RecordBatch:
-    """A row for each `fine` buckets in turn, of `buckets`: their numbers and sizes and `a` columns, and their `b` columns."""
+def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
     order = np.lexsort((a, bucket))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     a, b = a[order], b[order]
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    parts = [slice(edges[k], edges[k + 1]) for k in full]
+    cols = [full, [_squeezed_keys(a[x]) for x in parts], [_squeezed(b[x]) for x in parts]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
+
+
+def _bundled(sent: pa.RecordBatch, fine: int = 1) -> pa.RecordBatch:
+    """A row for each `fine` buckets in turn: their numbers, sizes and `a` columns, and their `b` columns."""
     rows: dict[int, list[tuple[int, bytes, bytes]]] = {}
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[k], edges[k + 1])
-        rows.setdefault(k // fine, []).append((k, _squeezed_keys(a[part]), _squeezed(b[part])))
-    head = [packed(np.array([len(x), *[v for k, p, r in x for v in (k, len(p), len(r))]], np.int64)) for x in rows.values()]
-    cols = [list(rows), [h + b"".join(p for _, p, _ in x) for h, x in zip(head, rows.values(), strict=True)], [b"".join(r for _, _, r in x) for x in rows.values()]]
+    for k, a, b in zip(*[c.to_pylist() for c in sent.columns], strict=True):
+        rows.setdefault(k // fine, []).append((k, a, b))
+    head = [packed(np.array([len(x), *[v for k, a, b in x for v in (k, len(a), len(b))]], np.int64)) for x in rows.values()]
+    cols = [list(rows), [h + b"".join(a for _, a, _ in x) for h, x in zip(head, rows.values(), strict=True)], [b"".join(b for _, _, b in x) for x in rows.values()]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
 
@@ -190,11 +196,11 @@ def _counted(keys_of, bucket_of, buckets: int):
                     k, n = _sorted_counts(keys, counts)
                     keys, counts, size = [k], [n], len(k)
                     if size > FLUSH // 2:
-                        yield _rows_by(bucket_of(k), k, n.astype(np.uint32), buckets)
+                        yield _bundled(_rows_by(bucket_of(k), k, n.astype(np.uint32), buckets))
                         keys, counts, size = [], [], 0
         if keys:
             k, n = _sorted_counts(keys, counts)
-            yield _rows_by(bucket_of(k), k, n.astype(np.uint32), buckets)
+            yield _bundled(_rows_by(bucket_of(k), k, n.astype(np.uint32), buckets))
 
     return run
 
@@ -330,7 +336,7 @@ def _bigram_files(model: Model):
             code = (k >> U64(32)) << U64(3) | np.minimum(n, 3).astype(np.uint64)
             told = np.concatenate([code, (k & U64(0xFFFFFFFF)) << U64(3) | U64(4)])
             u, c = np.unique(told, return_counts=True)
-            yield _rows_by(_range_of((u >> U64(3)), model), u, c.astype(np.uint32), model.buckets)
+            yield _bundled(_rows_by(_range_of((u >> U64(3)), model), u, c.astype(np.uint32), model.buckets))
         yield _told([(packed(np.concatenate([[types], tally]).astype(np.int64)), b"bigrams")])
 
     return run
@@ -383,7 +389,7 @@ def _trigram_batches(model: Model):
 
     def rows(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         bucket = _trigram_bucket(pair, _trigram_hash(pair, token), model)
-        return _rows_by(bucket, _swapped(pair), np.stack([token, n], 1), model.fine, model.fine // model.buckets)
+        return _bundled(_rows_by(bucket, _swapped(pair), np.stack([token, n], 1), model.fine), model.fine // model.buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -417,7 +423,7 @@ def _trigram_files(model: Model):
             if own:
                 key, value = (np.concatenate(x) for x in zip(*own, strict=True))
                 if len(key):
-                    yield _rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine, model.fine // model.buckets)
+                    yield _bundled(_rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine), model.fine // model.buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _received(batches, [])
@@ -472,7 +478,7 @@ def _middle_files(model: Model):
             context, token = k >> U64(32) << U64(3), (k & U64(0xFFFFFFFF)) << U64(3)
             code = np.concatenate([context | np.minimum(n, 3).astype(np.uint64), token | U64(4), context | U64(5)])
             u, c = _sums(code, np.concatenate([np.ones(2 * len(n), np.int64), n]))
-            yield _rows_by(_range_of(u >> U64(3), model), u, c.astype(np.uint32), model.buckets)
+            yield _bundled(_rows_by(_range_of(u >> U64(3), model), u, c.astype(np.uint32), model.buckets))
         yield _told([*totals, (packed(tally), b"bigrams")])
 
     return run

@@ -9,7 +9,7 @@ def test_fine_buckets_share_a_row():
     rng = np.random.default_rng(5)
     bucket, key = rng.integers(0, 64, 500), rng.integers(0, 2**63, 500, dtype=np.uint64)
     count = rng.integers(1, 9, 500).astype(np.uint32)
-    batch = lm._rows_by(bucket, key, count, 64, 16)
+    batch = lm._bundled(lm._rows_by(bucket, key, count, 64), 16)
     assert batch.column(0).to_pylist() == [0, 1, 2, 3]  # not one for each of the 64
     totals = []
     found = lm._received([batch, lm._told([(b"x", b"y")])], totals)
