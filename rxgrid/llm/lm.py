@@ -1,16 +1,20 @@
 """Interpolated modified Kneser-Ney model of order 3 or 2: counted in Spark, stored as sorted arrays, memory-mapped by workers.
 
-Training (two passes over the training texts, then a merge for each lower order):
+Training (two passes over the training texts, after one for their size, then a merge for each lower order):
 1. words: tasks count their words' 64-bit hashes and send sorted (hash, count) columns by hash range;
    each range becomes one sorted file, a word's id is its rank over all ranges;
-2. order 3: trigrams (id of context << 32 | id of context, id of word) are counted by tasks and sent by hash of
+2. order 3: trigrams (id of context << 32 | id of context, id of word) are counted by tasks and sent by range of
    the middle word; a frequent one is spread by the context pair's hash, and a pair of two frequent words by
-   the trigram's; each bucket (`fine` of them, so that one is small in memory) becomes one file of counts sorted by 64-bit hash, and tells for each bigram in how many contexts it occurs (its count
-   at order 2; a bigram that begins a text keeps its plain count) and its total and followers as a context;
+   the trigram's.  Each bucket is read in `fine` parts, so that one is small in memory, and becomes files: trigrams
+   as sorted 64-bit hashes (the first 16 bits by place), the bigrams that begin with a middle word, and the pairs that
+   end with one and are no context met once.  A bigram's value is in how many contexts it occurs (one that begins
+   a text keeps its plain count), a context's its total and followers.  Only bigrams that begin with a frequent word
+   and contexts of two of them are whole in no bucket; their parts are sent once more by hash;
    order 2: keys (id of context << 32 | id of word) are counted by tasks and sent by range of the
    context; contexts so frequent that a range would grow large are spread by the key's hash instead;
    each bucket becomes one sorted file of keys and counts;
 3. per id: how many followers it has with count 1, 2 and 3+, and in how many contexts it occurs.
+There are as many buckets as shuffle partitions, fewer where there is little text: each task sends a row to each.
 Columns travel as differences and byte planes, compressed; the steps of 2 and 3 follow each other without a stored table.
 The driver sees only a few numbers for each bucket.  Nothing is pruned: the model grows with the corpus.
 
@@ -40,6 +44,10 @@ from pyspark.sql import functions as F
 from rxgrid.llm.common import SLICE_BYTES, U64, Words, mix, new_folder, packed, partitions, slices, text_bytes
 
 FLUSH = 3_000_000
+#: Text bytes whose tokens are looked up together.
+CHUNK_BYTES = 6 * SLICE_BYTES
+#: Text bytes a bucket holds at least (fewer buckets than shuffle partitions where there is little text).
+BUCKET_BYTES = 4 << 20
 _ROW = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 _ROW_SQL = "bucket int, a binary, b binary"
 
@@ -117,7 +125,7 @@ def _mapped(folder: str, name: str, kind) -> np.ndarray:
                 while block := source.read(1 << 22):
                     copy.write(block)
             path = own
-        _MAPPED[folder, name] = np.memmap(path, kind, "r")
+        _MAPPED[folder, name] = np.memmap(path, kind, "r").view(np.ndarray)
     return _MAPPED[folder, name]
 
 
@@ -130,7 +138,7 @@ def _word_range(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _sorted_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, n = key[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
     return key[first], np.add.reduceat(n, first) if len(first) else n
@@ -159,7 +167,8 @@ def _unsqueezed_keys(data: bytes) -> np.ndarray:
 
 
 def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.lexsort((a, bucket))
+    order = np.argsort(a)
+    order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     a, b = a[order], b[order]
     full = np.flatnonzero(np.diff(edges)).tolist()
@@ -168,12 +177,12 @@ def _rows_by(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) ->
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
 
-def _bundled(sent: pa.RecordBatch, fine: int = 1) -> pa.RecordBatch:
-    """A row for each `fine` buckets in turn: their numbers, sizes and `a` columns, and their `b` columns."""
+def _bundled(sent: pa.RecordBatch, fine: int = 1, kind: int = 0) -> pa.RecordBatch:
+    """A row for each `fine` buckets in turn: their numbers (and kind), sizes and `a` columns, and their `b` columns."""
     rows: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for k, a, b in zip(*[c.to_pylist() for c in sent.columns], strict=True):
         rows.setdefault(k // fine, []).append((k, a, b))
-    head = [packed(np.array([len(x), *[v for k, a, b in x for v in (k, len(a), len(b))]], np.int64)) for x in rows.values()]
+    head = [packed(np.array([len(x), *[v for k, a, b in x for v in (kind << 32 | k, len(a), len(b))]], np.int64)) for x in rows.values()]
     cols = [list(rows), [h + b"".join(a for _, a, _ in x) for h, x in zip(head, rows.values(), strict=True)], [b"".join(b for _, _, b in x) for x in rows.values()]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
@@ -274,9 +283,8 @@ def _word_files(folder: str):
     return run
 
 
-def _ids(h: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (-1: never met) and counts of words, given by their hashes."""
-    u, back = np.unique(h, return_inverse=True)
+def _ids(u: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1: never met) and counts of distinct words, given by their hashes in order."""
     ids, counts = np.full(len(u), -1), np.zeros(len(u), np.int64)
     edges = np.searchsorted(_word_range(u, model.buckets), np.arange(model.buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -288,17 +296,40 @@ def _ids(h: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
         hit = np.flatnonzero(words[at] == part)
         ids[edges[b] + hit] = model.offsets[b] + at[hit]
         counts[edges[b] + hit] = _decoded(_mapped(model.folder, f"counts-{b}", np.uint8), at[hit], 1)[:, 0]
-    return ids[back], counts[back]
+    return ids, counts
+
+
+def _met(h: np.ndarray, model: Model) -> np.ndarray:
+    """Ids of words that all were met."""
+    u, back = np.unique(h, return_inverse=True)
+    return _ids(u, model)[0][back]
+
+
+class _Chunk:
+    """Word hashes of consecutive texts and word offsets per text, as `Words` has them."""
+
+    __slots__ = ("hashes", "at")
 
+    def __init__(self, parts: list[Words]):
+        self.hashes = np.concatenate([w.hashes for w in parts])
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.at) for w in parts]))])
 
-def _sequences(words: Words, ids: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int, _Chunk]]:
+    """Ranges of texts looked up together, read a slice at a time."""
+    for lo, hi in slices(texts, CHUNK_BYTES):
+        own = texts[lo:hi]
+        yield lo, hi, _Chunk([Words(own[a:b], lower=True) for a, b in slices(own)])
+
+
+def _sequences(words: Words | _Chunk, ids: np.ndarray, end: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words (with the end tokens) and offsets per text."""
     n = np.diff(words.at) + 1
     off = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-    token = np.full(off[-1], model.end)
+    token = np.full(off[-1], end)
     token[np.arange(len(ids)) + np.repeat(np.arange(len(n)), np.diff(words.at))] = ids
-    context = np.concatenate([[model.begin], token[:-1]])
-    context[off[:-1]] = model.begin
+    context = np.concatenate([[begin], token[:-1]])
+    context[off[:-1]] = begin
     return context, token, off
 
 
@@ -361,16 +392,26 @@ def _pairs(context: np.ndarray, off: np.ndarray) -> np.ndarray:
     return before
 
 
+def _is_hot(ids: np.ndarray, model: Model) -> np.ndarray:
+    return np.isin(ids.astype(np.int64), np.array(model.hot, np.int64))
+
+
 def _trigram_bucket(pair: np.ndarray, h: np.ndarray, model: Model) -> np.ndarray:
-    hot = np.array(model.hot, np.int64)
-    middle = pair & U64(0xFFFFFFFF)
-    by_pair = np.where(np.isin((pair >> U64(32)).astype(np.int64), hot), mix(h), mix(pair))
-    return (np.where(np.isin(middle.astype(np.int64), hot), by_pair, mix(middle)) % U64(model.fine)).astype(np.int64)
+    middle = (pair & U64(0xFFFFFFFF)).astype(np.int64)
+    bucket = middle * model.fine // (model.begin + 1)
+    hot = np.flatnonzero(_is_hot(middle, model))
+    own = np.where(_is_hot(pair[hot] >> U64(32), model), mix(h[hot]), mix(pair[hot]))
+    bucket[hot] = (own % U64(model.fine)).astype(np.int64)
+    return bucket
+
+
+def _spread(keys: np.ndarray, model: Model) -> np.ndarray:
+    return (mix(keys) % U64(model.buckets)).astype(np.int64)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of the rows of `values`."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
@@ -381,7 +422,7 @@ def _trigram_batches(model: Model):
 
     def counted(pair: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = _trigram_hash(pair, token)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h = h[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         at = order[first]
@@ -395,14 +436,12 @@ def _trigram_batches(model: Model):
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for lo, hi in slices(texts):
-                words = Words(texts[lo:hi], lower=True)
-                context, token, off = _sequences(words, _ids(words.hashes, model)[0], model)
+            for _, _, words in _chunks(text_bytes(batch.column(0))):
+                context, token, off = _sequences(words, _met(words.hashes, model), model.end, model.begin)
                 before = _pairs(context, off)
                 before[before < 0] = model.begin  # two begins: the first token of a text
-                own.append(counted(_key(before, context), token.astype(np.uint32), np.ones(len(token), np.uint32)))
-                size += len(own[-1][0])
+                own.append((_key(before, context), token.astype(np.uint32), np.ones(len(token), np.uint32)))
+                size += len(token)
                 if size > FLUSH // 2:
                     own = [counted(*[np.concatenate(x) for x in zip(*own, strict=True)])]
                     size = len(own[0][0])
@@ -415,75 +454,207 @@ def _trigram_batches(model: Model):
     return run
 
 
+def _id_codes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, kind) codes of bigrams and their sums: kind 1, 2, 3 followers by count, 4 contexts, 5 total."""
+    context, token = keys >> U64(32) << U64(3), (keys & U64(0xFFFFFFFF)) << U64(3)
+    code = np.concatenate([context | np.minimum(n, 3).astype(np.uint64), token | U64(4), context | U64(5)])
+    return _sums(code, np.concatenate([np.ones(2 * len(n), np.int64), n]))
+
+
+def _id_rows(own: list[tuple[np.ndarray, np.ndarray]], model: Model, kind: int = 0) -> pa.RecordBatch:
+    """Rows of codes by id range."""
+    code, n = _sums(*[np.concatenate(x) for x in zip(*own, strict=True)])
+    return _bundled(_rows_by(_range_of(code >> U64(3), model), code, n.astype(np.uint32), model.buckets), kind=kind)
+
+
+def _by_count(n: np.ndarray) -> list[int]:
+    return [int((n == c).sum()) for c in (1, 2, 3, 4)]
+
+
+#: A context met once: its total, and followers with count 1, 2 and 3+.  Only other contexts are stored.
+_ONCE = np.array([1, 1, 0, 0])
+#: Kinds of rows sent by `_trigram_files`: parts of a frequent word's bigrams, parts of contexts of two frequent words, id codes.
+_LOW, _HIGH, _CODES = range(3)
+
+
 def _trigram_files(model: Model):
-    """Writes each bucket; sends, by bigram bucket, bigrams with (contexts) or (total, followers with count 1, 2, 3+)."""
+    """Writes each bucket's trigrams, bigrams and contexts; sends what is whole in no bucket, and (id, kind) columns by id range."""
 
-    def sent(told: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        for own in told:  # of several buckets at once
-            if own:
-                key, value = (np.concatenate(x) for x in zip(*own, strict=True))
-                if len(key):
-                    yield _bundled(_rows_by(_bigram_bucket(key, model), key, value.astype(np.uint32), model.fine), model.fine // model.buckets)
+    def sent(own: list, kind: int) -> Iterator[pa.RecordBatch]:
+        if own:
+            key, value = (np.concatenate(x) for x in zip(*own, strict=True))
+            if len(key):
+                yield _bundled(_rows_by(_spread(key, model), key, value.astype(np.uint32), model.buckets), kind=kind)
+
+    def one(parts: list[tuple[bytes, bytes]]):
+        """Distinct trigrams (hashes, counts), and bigrams and contexts with their values."""
+        pair, more = _swapped(np.concatenate([_unsqueezed_keys(a) for a, _ in parts])), np.concatenate([_unsqueezed(b, np.uint32) for _, b in parts])
+        h = _trigram_hash(pair, more[:, 0])
+        order = np.argsort(h)
+        h, pair, more = h[order], pair[order], more[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.add.reduceat(more[:, 1].astype(np.int64), first)
+        h, pair, token = h[first], pair[first], more[first, 0]
+        start = pair == _key(np.array(model.begin), np.array(model.begin))
+        low = _sums((pair & U64(0xFFFFFFFF)) << U64(32) | token.astype(np.uint64), np.where(start, n, 1))
+        high = _sums(_swapped(pair[~start]), np.stack([n, n == 1, n == 2, n >= 3], 1)[~start])
+        return (h[~start], n[~start]), low, high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _received(batches, [])
-        tally = np.zeros(4, np.int64)
-        told: tuple[list, list] = [], []
-        for bucket in list(found):
-            parts = found.pop(bucket)
-            pair, more = _swapped(np.concatenate([_unsqueezed_keys(a) for a, _ in parts])), np.concatenate([_unsqueezed(b, np.uint32) for _, b in parts])
-            h = _trigram_hash(pair, more[:, 0])
-            order = np.argsort(h, kind="stable")
-            h, pair, more = h[order], pair[order], more[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.add.reduceat(more[:, 1].astype(np.int64), first)
-            h, pair, token = h[first], pair[first], more[first, 0]
-            del order, more
-            start = pair == _key(np.array(model.begin), np.array(model.begin))
-            _write(model.folder, f"trigrams-{bucket}", h[~start])
-            _write(model.folder, f"trigram-counts-{bucket}", _coded(n[~start]))
-            tally += [int((n[~start] == c).sum()) for c in (1, 2, 3, 4)]
-            low = _sums((pair & U64(0xFFFFFFFF)) << U64(32) | token.astype(np.uint64), np.where(start, n, 1))
-            as_context = np.stack([n, n == 1, n == 2, n >= 3], 1)[~start]
-            high = _sums(pair[~start], as_context)
-            for own, more in zip(told, (low, high), strict=True):
-                own.append(more)
-            if sum(len(key) for own in told for key, _ in own) > FLUSH // 2:
-                yield from sent(told)
-                told = [], []
-        yield from sent(told)
-        yield _told([(packed(tally), b"trigrams")])
+        top, types = np.zeros(4, np.int64), np.zeros(5, np.int64)
+        each = model.fine // model.buckets
+        for bucket in sorted({b // each for b in found}):
+            grams, bigrams, contexts, spread, codes = [], [], [], [], []
+            parts_low: list = []
+            parts_high: list = []
+            for b in range(bucket * each, (bucket + 1) * each):
+                if b not in found:
+                    continue
+                gram, (key, n), (pair, values) = one(found.pop(b))
+                top += _by_count(gram[1])
+                grams.append(gram)
+                hot = _is_hot(key >> U64(32), model)
+                parts_low.append((key[hot], n[hot]))
+                bigrams.append((key[~hot], n[~hot]))
+                codes.append(_id_codes(*bigrams[-1]))
+                hot, other = _is_hot(pair >> U64(32), model), (values != _ONCE).any(axis=1)
+                both = hot & _is_hot(pair & U64(0xFFFFFFFF), model)  # a context of two frequent words is whole in no bucket
+                parts_high.append((_swapped(pair[both]), values[both]))
+                contexts.append((pair[other & ~hot], values[other & ~hot]))
+                spread.append((_swapped(pair[other & hot & ~both]), values[other & hot & ~both]))
+                if sum(len(k) for k, _ in (*parts_low, *parts_high)) > FLUSH // 4:
+                    yield from sent(parts_low, _LOW)
+                    yield from sent(parts_high, _HIGH)
+                    parts_low, parts_high = [], []
+            yield from sent(parts_low, _LOW)
+            yield from sent(parts_high, _HIGH)
+            yield _id_rows(codes, model, _CODES)
+            n = _write_pairs(model, "bigrams", bucket, bigrams)
+            types += [len(n), *_by_count(n)]
+            _write_pairs(model, "contexts", bucket, contexts)
+            _write_sorted(model, "spread-contexts", bucket, spread)
+            _write_hashes(model, bucket, grams)
+        yield _told([(packed(top), b"trigrams"), (packed(types), b"bigrams")])
 
     return run
 
 
-def _middle_files(model: Model):
-    """Writes each bucket's bigrams; sends, per id range, (id, kind) columns: kind 1, 2, 3 followers by count, 4 contexts, 5 total."""
+def _hot_files(model: Model):
+    """Writes the bigrams of frequent words and contexts of two of them; sends (id, kind) columns by id range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: list[tuple[bytes, bytes]] = []
-        found = _received(batches, totals)
-        tally = np.zeros(5, np.int64)
-        for bucket in list(found):
-            keys, values = [], []
-            for a, b in found.pop(bucket):
-                keys.append(_unsqueezed_keys(a))
-                own = _unsqueezed(b, np.uint32).astype(np.int64)
-                values.append(np.pad(own, ((0, 0), (0, 4) if own.shape[1] == 1 else (1, 0))))
-            k, v = _sums(np.concatenate(keys), np.concatenate(values))
-            _write(model.folder, f"bigrams-{bucket}", k)
-            _write(model.folder, f"bigram-values-{bucket}", _coded(v))
-            n = v[:, 0]
-            tally += [len(n), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
-            context, token = k >> U64(32) << U64(3), (k & U64(0xFFFFFFFF)) << U64(3)
-            code = np.concatenate([context | np.minimum(n, 3).astype(np.uint64), token | U64(4), context | U64(5)])
-            u, c = _sums(code, np.concatenate([np.ones(2 * len(n), np.int64), n]))
-            yield _bundled(_rows_by(_range_of(u >> U64(3), model), u, c.astype(np.uint32), model.buckets))
-        yield _told([*totals, (packed(tally), b"bigrams")])
+        types = np.zeros(5, np.int64)
+        codes = []
+        for name, parts in _received(batches, totals).items():
+            kind, bucket = name >> 32, name & 0xFFFFFFFF
+            if kind == _HIGH:
+                pair, values = _sums(np.concatenate([_unsqueezed_keys(a) for a, _ in parts]), np.concatenate([_unsqueezed(b, np.uint32) for _, b in parts]).astype(np.int64))
+                other = (values != _ONCE).any(axis=1)
+                _write_sorted(model, "hot-contexts", bucket, [(pair[other], values[other])])
+                continue
+            key, n = _merged(parts)
+            if kind == _LOW:
+                _write_sorted(model, "hot-bigrams", bucket, [(key, n)])
+                types += [len(n), *_by_count(n)]
+                key, n = _id_codes(key, n)
+            codes.append((key, n))
+        if codes:
+            yield _id_rows(codes, model)
+        yield _told([*totals, (packed(types), b"bigrams")])
 
     return run
 
 
+# files of order 3
+
+
+def _write_pairs(model: Model, name: str, bucket: int, own: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Pairs of an id range, in order: where the pairs of each first id start, the second ids, and the values (returned)."""
+    keys, values = (np.concatenate(x) for x in zip(*own, strict=True))
+    lo, hi = _range_start(bucket, model), _range_start(bucket + 1, model)
+    starts = np.searchsorted(keys, np.arange(lo, hi + 1).astype(np.uint64) << U64(32)).astype(np.uint32)
+    _write(model.folder, f"{name}-{bucket}", np.concatenate([starts, (keys & U64(0xFFFFFFFF)).astype(np.uint32)]))
+    _write(model.folder, f"{name}-values-{bucket}", _coded(values))
+    return values
+
+
+def _write_sorted(model: Model, name: str, bucket: int, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    keys, values = (np.concatenate(x) for x in zip(*own, strict=True))
+    order = np.argsort(keys, kind="stable")
+    _write(model.folder, f"{name}-{bucket}", keys[order])
+    _write(model.folder, f"{name}-values-{bucket}", _coded(values[order]))
+
+
+def _write_hashes(model: Model, bucket: int, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Sorted hashes: where each value of their first 16 bits starts, the next 32 bits, and the last 16."""
+    h, n = (np.concatenate(x) for x in zip(*own, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    starts = np.searchsorted(h >> U64(48), np.arange(1 << 16).astype(np.uint64)).astype(np.uint32)
+    parts = [np.append(starts, np.uint32(len(h))), (h >> U64(16)).astype(np.uint32), h.astype(np.uint16)]
+    if len(h) < 1 << 15:  # the starts would be larger than what they save
+        parts = [h]
+    _write(model.folder, f"trigrams-{bucket}", np.concatenate([x.view(np.uint8) for x in parts]))
+    _write(model.folder, f"trigrams-values-{bucket}", _coded(n))
+
+
+def _places(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """First places in stretches lo to hi of `values`, each in order, that are not below the wanted values."""
+    at = lo.copy()
+    own = np.flatnonzero(lo < hi)
+    lo, n, want = lo[own], (hi - lo)[own], want[own]
+    while len(own):
+        for _ in range(4):  # stretches that are through stay where they are
+            half = n >> 1
+            less = (n > 0) & (values[np.minimum(lo + half, len(values) - 1)] < want)
+            lo += np.where(less, half + 1, 0)
+            n = np.where(less, n - half - 1, half)
+        at[own] = lo
+        live = np.flatnonzero(n)
+        own, lo, n, want = own[live], lo[live], n[live], want[live]
+    return at
+
+
+def _found_pairs(data: np.ndarray, keys: np.ndarray, bucket: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys a file of `_write_pairs` holds, and at which places."""
+    base, end = _range_start(bucket, model), _range_start(bucket + 1, model)
+    starts, second = data[: end - base + 1], data[end - base + 1 :]
+    first, want = (keys >> U64(32)).astype(np.int64) - base, (keys & U64(0xFFFFFFFF)).astype(np.uint32)
+    hi = starts[first + 1].astype(np.int64)
+    at = _places(second, starts[first].astype(np.int64), hi, want)
+    hit = np.flatnonzero(at < hi)
+    hit = hit[second[at[hit]] == want[hit]]
+    return hit, at[hit]
+
+
+def _found_sorted(data: np.ndarray, keys: np.ndarray, bucket: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(data, keys), len(data) - 1)
+    hit = np.flatnonzero(data[at] == keys)
+    return hit, at[hit]
+
+
+def _found_hashes(data: np.ndarray, keys: np.ndarray, bucket: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    head = 4 * ((1 << 16) + 1)
+    if len(data) < head + 6 * (1 << 15):
+        return _found_sorted(data.view(np.uint64), keys, bucket, model)
+    n = (len(data) - head) // 6
+    starts, near, last = data[:head].view(np.uint32), data[head : head + 4 * n].view(np.uint32), data[head + 4 * n :].view(np.uint16)
+    first, want, rest = (keys >> U64(48)).astype(np.int64), (keys >> U64(16)).astype(np.uint32), keys.astype(np.uint16)
+    hi = starts[first + 1].astype(np.int64)
+    at = _places(near, starts[first].astype(np.int64), hi, want)
+    hits, own = [], np.flatnonzero(at < hi)
+    while len(own := own[near[at[own]] == want[own]]):  # hashes of equal first 48 bits stand together
+        same = last[at[own]] == rest[own]
+        hits.append(own[same])
+        own = own[~same]
+        at[own] += 1
+        own = own[at[own] < hi[own]]
+    hit = np.concatenate([*hits, np.zeros(0, np.int64)])
+    return hit, at[hit]
+
+
 def _id_files(model: Model):
     """Writes each id range; sends all totals."""
 
@@ -519,31 +690,31 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
     if order not in (2, 3):
         raise ValueError("order 2 or 3")
     spark = texts.sparkSession
-    n = partitions(spark)
+    src = texts.select(F.col(text).cast("string").alias("text"))
+    n_texts, size = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, min(partitions(spark), -(-size // BUCKET_BYTES)))
     folder = new_folder(spark, "lm")
     system, at = _filesystem(folder)
     system.create_dir(at)
-    src = texts.select(F.col(text).cast("string").alias("text"))
     sent = src.mapInArrow(_counted(lambda w: w.hashes, lambda k: _word_range(k, n), n), _ROW_SQL)
     words = sent.repartitionById(n, F.col("bucket")).mapInArrow(_word_files(folder), "bucket int, n long, total long, top array<long>").collect()
     size = {r.bucket: r.n for r in words}
     offsets = tuple(np.concatenate([[0], np.cumsum([size.get(b, 0) for b in range(n)])]).tolist())
     if offsets[-1] >= 2**32 - 2:
         raise ValueError("more than 2^32 distinct words")
-    n_texts = src.count()
     n_tokens = sum(r.total for r in words) + n_texts
-    limit = n_tokens / (8 * n)
+    limit = n_tokens / (4 * n)
     hot = [offsets[r.bucket] + i for r in words for i, c in zip(r.top[::2], r.top[1::2], strict=True) if c > limit]
     model = Model(folder, n, offsets, (*sorted(hot), offsets[-1] + 1), n_texts, n_tokens, order=order)
 
     def keys(words: Words) -> np.ndarray:
-        context, token, _ = _sequences(words, _ids(words.hashes, model)[0], model)
+        context, token, _ = _sequences(words, _met(words.hashes, model), model.end, model.begin)
         return _key(context, token)
 
     if order == 3:
         sent = src.mapInArrow(_trigram_batches(model), _ROW_SQL)
         sent = sent.repartitionById(n, F.col("bucket")).mapInArrow(_trigram_files(model), _ROW_SQL)
-        files = _middle_files(model)
+        files = _hot_files(model)
     else:
         sent, files = src.mapInArrow(_counted(keys, lambda k: _bigram_bucket(k, model), n), _ROW_SQL), _bigram_files(model)
     followers = sent.repartitionById(n, F.col("bucket")).mapInArrow(files, _ROW_SQL)
@@ -558,15 +729,14 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
 
 def _by_id(ids: np.ndarray, model: Model) -> np.ndarray:
     """(followers with count 1, 2, 3+, contexts, total at order 2 of a model of order 3) of ids; zeros for -1."""
-    u, back = np.unique(ids, return_inverse=True)
-    out = np.zeros((len(u), 5), np.int64)
-    bucket = np.where(u >= 0, _range_of(u, model), -1)
+    out = np.zeros((len(ids), 5), np.int64)
+    bucket = np.where(ids >= 0, _range_of(ids, model), -1)
     for b in np.unique(bucket[bucket >= 0]).tolist():
         dense = _mapped(model.folder, f"ids-{b}", np.uint8)
         if len(dense):
             here = np.flatnonzero(bucket == b)
-            out[here] = _decoded(dense, u[here] - _range_start(b, model), 5)
-    return out[back]
+            out[here] = _decoded(dense, ids[here] - _range_start(b, model), 5)
+    return out
 
 
 def _found(key: np.ndarray, bucket: np.ndarray, model: Model, names: tuple[str, str], width: int) -> np.ndarray:
@@ -584,55 +754,85 @@ def _found(key: np.ndarray, bucket: np.ndarray, model: Model, names: tuple[str,
     return out
 
 
-def _bigram_values(key: np.ndarray, model: Model) -> np.ndarray:
-    """Counts of bigrams; for order 3 with (total, followers with count 1, 2, 3+) as a context."""
-    u, back = np.unique(key, return_inverse=True)
-    names, width = (("bigrams", "bigram-values"), 5) if model.order == 3 else (("bigrams", "bigram-counts"), 1)
-    return _found(u, _bigram_bucket(u, model), model, names, width)[back]
+def _looked_up(keys: np.ndarray, bucket: np.ndarray, model: Model, name: str, find, kind, width: int = 1) -> np.ndarray:
+    """Rows of `width` values of keys in the files `name` of their buckets; zeros where a key is not there."""
+    out = np.zeros((len(keys), width), np.int64)
+    order = np.argsort(bucket.astype(np.uint16 if model.buckets <= 1 << 16 else np.int64), kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(model.buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        data = _mapped(model.folder, f"{name}-{b}", kind)
+        if len(data):
+            here = order[edges[b] : edges[b + 1]]
+            hit, at = find(data, keys[here], b, model)
+            out[here[hit]] = _decoded(_mapped(model.folder, f"{name}-values-{b}", np.uint8), at, width)
+    return out
+
+
+def _bigram_counts(keys: np.ndarray, model: Model) -> np.ndarray:
+    if model.order == 2:
+        return _found(keys, _bigram_bucket(keys, model), model, ("bigrams", "bigram-counts"), 1)[:, 0]
+    hot = _is_hot(keys >> U64(32), model)
+    out = np.zeros(len(keys), np.int64)
+    out[~hot] = _looked_up(keys[~hot], _range_of(keys[~hot] >> U64(32), model), model, "bigrams", _found_pairs, np.uint32)[:, 0]
+    out[hot] = _looked_up(keys[hot], _spread(keys[hot], model), model, "hot-bigrams", _found_sorted, np.uint64)[:, 0]
+    return out
+
+
+def _context_values(pair: np.ndarray, model: Model) -> np.ndarray:
+    """(total, followers with count 1, 2, 3+) of contexts that were met."""
+    hot, first_hot = _is_hot(pair & U64(0xFFFFFFFF), model), _is_hot(pair >> U64(32), model)
+    whole, both, own = hot & ~first_hot, hot & first_hot, _swapped(pair[~hot])
+    out = np.zeros((len(pair), 4), np.int64)
+    out[~hot] = _looked_up(own, _range_of(own >> U64(32), model), model, "contexts", _found_pairs, np.uint32, 4)
+    bucket = _trigram_bucket(pair[whole], pair[whole], model) // (model.fine // model.buckets)
+    out[whole] = _looked_up(pair[whole], bucket, model, "spread-contexts", _found_sorted, np.uint64, 4)
+    out[both] = _looked_up(pair[both], _spread(pair[both], model), model, "hot-contexts", _found_sorted, np.uint64, 4)
+    out[out[:, 0] == 0] = _ONCE
+    return out
 
 
 def _trigram_counts(pair: np.ndarray, token: np.ndarray, model: Model) -> np.ndarray:
-    h, first, back = np.unique(_trigram_hash(pair, token), return_index=True, return_inverse=True)
-    return _found(h, _trigram_bucket(pair[first], h, model), model, ("trigrams", "trigram-counts"), 1)[back, 0]
+    h = _trigram_hash(pair, token)
+    bucket = _trigram_bucket(pair, h, model) // (model.fine // model.buckets)
+    return _looked_up(h, bucket, model, "trigrams", _found_hashes, np.uint8)[:, 0]
 
 
 def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return c - np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def log10_probabilities(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log10_probabilities(words: Words | _Chunk, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 p of every token, token counts, and offsets per text."""
-    ids, counts = _ids(words.hashes, model)
-    context, token, off = _sequences(words, ids, model)
-    count = np.full(len(token), model.n_texts)
-    count[token != model.end] = counts
-    uniform = 1.0 / (model.vocabulary + 1)
-    by_id = _by_id(token, model)
-    contexts = by_id[:, 3]
-    p = _discounted(contexts, model.low_discounts) / max(model.types, 1) + model.low_backoff * uniform
-    followers = np.roll(by_id, 1, axis=0)  # a token's context is the token before it
-    followers[off[:-1]] = _by_id(np.array([model.begin]), model)
-    seen = np.concatenate([[0], count[:-1]])
-    seen[off[:-1]] = model.n_texts
-    both = (context >= 0) & (token >= 0)
-    values = np.zeros((len(token), 5 if model.order == 3 else 1), np.int64)
-    values[both] = _bigram_values(_key(context[both], token[both]), model)
-    c = values[:, 0]
-    if model.order == 3:
-        seen = np.where(context == model.begin, model.n_texts, followers[:, 4])
+    # distinct words first, with the end token and the begin after them
+    u, back = np.unique(words.hashes, return_inverse=True)
+    ids, counts = _ids(u, model)
+    ids, counts = np.append(ids, [model.end, model.begin]), np.append(counts, [model.n_texts] * 2)
+    by_id = _by_id(ids, model)
+    lowest = _discounted(by_id[:, 3], model.low_discounts) / max(model.types, 1) + model.low_backoff / (model.vocabulary + 1)
+    backoff = by_id[:, :3] @ np.array(model.discounts)
+    totals = counts if model.order == 2 else np.append(by_id[:-1, 4], model.n_texts)
+    before, own, off = _sequences(words, back, len(u), len(u) + 1)
+    context, token, seen, p = ids[before], ids[own], totals[before], lowest[own]
+    both = np.flatnonzero((context >= 0) & (token >= 0))
+    keys, place = np.unique(_key(context[both], token[both]), return_inverse=True)
+    n = _bigram_counts(keys, model)
+    c = np.zeros(len(token), np.int64)
+    c[both] = n[place]
     known = seen > 0
-    back = followers[:, :3] @ np.array(model.discounts)
-    p[known] = (_discounted(c, model.discounts)[known] + back[known] * p[known]) / seen[known]
+    p[known] = (_discounted(c, model.discounts)[known] + backoff[before[known]] * p[known]) / seen[known]
     if model.order == 3:
-        before = _pairs(context, off)
-        pairs = np.flatnonzero((before >= 0) & (context >= 0))
-        pair = _key(before[pairs], context[pairs])
-        value = values[pairs - 1]  # the pair before a token is the bigram that ends one token earlier
-        pairs, pair, value = pairs[value[:, 1] > 0], pair[value[:, 1] > 0], value[value[:, 1] > 0]
+        # the pair before a token is the bigram that ends one token earlier; where it was met, it is a context
+        wanted = np.flatnonzero((n > 0) & (keys & U64(0xFFFFFFFF) != U64(model.end)))
+        values = np.zeros((len(keys), 4), np.int64)
+        values[wanted] = _context_values(keys[wanted], model)
+        backoff = values[:, 1:] @ np.array(model.top_discounts)
+        ends = np.flatnonzero(values[place, 0] > 0)
+        pairs, place = both[ends] + 1, place[ends]
         c = np.zeros(len(pairs), np.int64)
-        met = token[pairs] >= 0
-        c[met] = _trigram_counts(pair[met], token[pairs[met]], model)
-        p[pairs] = (_discounted(c, model.top_discounts) + value[:, 2:] @ np.array(model.top_discounts) * p[pairs]) / value[:, 1]
+        met = np.flatnonzero(token[pairs] >= 0)
+        c[met] = _trigram_counts(keys[place[met]], token[pairs[met]], model)
+        p[pairs] = (_discounted(c, model.top_discounts) + backoff[place] * p[pairs]) / values[place, 0]
+    count = counts[own]
     return np.log10(p), count, off
 
 
@@ -640,8 +840,8 @@ def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            for lo, hi in slices(texts, 2 * SLICE_BYTES):
-                logp, count, off = log10_probabilities(Words(texts[lo:hi], lower=True), model)
+            for lo, hi, words in _chunks(texts):
+                logp, count, off = log10_probabilities(words, model)
                 base = np.log10((count + 1.0) / (model.n_tokens + model.vocabulary + 1.0))
                 start = off[:-1]
                 cols = [
